@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lakewarden.llm import near_dup
+from lakewarden.llm import near_dup, packing, tokens
 
 QUERIES = {
     "op3_near_dup": near_dup.op3_near_dup,
+    "op8_token_planes": tokens.op8_token_planes,
+    "op9_packing": packing.op9_packing,
 }
 ORACLES = {
     "op3_near_dup": near_dup.OP3_SQL,
