@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from lakewarden.llm import near_dup, packing, tokens
+from lakewarden.llm import matroska, mixing, near_dup, packing, quality, tokens, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_near_dup": near_dup.op3_near_dup,
+    "op5_quality": quality.op5_quality,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_matroska": matroska.op7_matroska,
     "op8_token_planes": tokens.op8_token_planes,
     "op9_packing": packing.op9_packing,
 }
 ORACLES = {
     "op3_near_dup": near_dup.OP3_SQL,
+    "op6_mixing": mixing.OP6_SQL,
 }

@@ -42,17 +42,26 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> U(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of data[start:end] for each run."""
-    if not len(starts):
-        return np.empty(0, U)
-    power, inverse = _powers_to(len(data) + 1)
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    power, _ = _powers_to(len(data) + 1)
     prefix = np.empty(len(data) + 1, U)
     prefix[0] = 0
     np.cumsum((data.astype(U) + U(1)) * power[: len(data)], out=prefix[1:])
+    return prefix
+
+
+def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of data[start:end] for each run, from data's prefix sums."""
+    if not len(starts):
+        return np.empty(0, U)
+    _, inverse = _powers_to(len(prefix))
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return range_hashes(prefix_sums(data), starts, ends)
+
+
 def lay(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts in one array, a space after each, and where each begins (one more entry for the end)."""
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
@@ -70,6 +79,22 @@ def word_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: 0 white space, 1 part of a word (letters, digits, all beyond ASCII), 2 anything else.
+CLASS = np.full(256, 2, np.uint8)
+CLASS[128:] = CLASS[48:58] = CLASS[65:91] = CLASS[97:123] = 1
+CLASS[IS_SPACE] = 0
+
+
+def class_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and classes of the runs of one class, white space left out."""
+    c = CLASS[data]
+    edges = np.flatnonzero(np.diff(c)) + 1
+    starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(c)]])
+    kind = c[starts]
+    keep = kind > 0
+    return starts[keep], ends[keep], kind[keep]
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, lower-cased A-Z, and the first word's position of each text (one more entry for the end)."""
     data, begins = lay(texts)
