@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from lakewarden.llm import matroska, mixing, near_dup, packing, quality, tokens, toxicity
+from lakewarden.llm import html_text, matroska, mixing, near_dup, packing, pii, quality, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_posting_lists": vectors.op2_posting_lists,
     "op3_near_dup": near_dup.op3_near_dup,
+    "op4_html_text": html_text.op4_html_text,
     "op5_quality": quality.op5_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_matroska": matroska.op7_matroska,
     "op8_token_planes": tokens.op8_token_planes,
     "op9_packing": packing.op9_packing,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES = {
     "op3_near_dup": near_dup.OP3_SQL,
