@@ -9,13 +9,14 @@ non-white-space). Steps, each a Spark job over all documents:
    elements need one value only. Sketches of two parts merge by the larger register.
 2. Documents with equal sets form one class, kept once (its smallest id) from here on.
 3. Bands of register values put classes into buckets. Buckets of one are left.
-4. In each bucket all members meet three pivots; a joint likelihood estimate of the
+4. In each bucket all members meet one pivot; a joint likelihood estimate of the
    similarity from both sketches drops pairs far below the threshold, the rest are
    verified on full sets. Verified links give connected components.
 5. In buckets whose members are still in several components, every member outside the
-   bucket's first component meets all members of other components, in blocks of bounded
-   size; again estimate, then verification. Pairs within a component can no longer change
-   the result and are not made.
+   bucket's first component meets the members of other components, in blocks of bounded
+   size: first the likeliest of each component and block, and in a second round all that
+   are likely. Again estimate, then verification. Pairs within a component can no longer
+   change the result and are not made.
 
 Nothing is capped: a bucket of any size is cut into blocks. The chance that a pair at
 similarity 0.8 shares no band is (1 - 0.8^6)^42 = 3e-6.
@@ -42,7 +43,8 @@ REGISTERS, ROWS, BANDS = 256, 6, 42
 BASE = 1.001
 #: Estimates of similarity have a standard error of about 0.025; pairs 4 of these below the threshold are dropped.
 MARGIN = 0.1
-BLOCK = 256
+#: Texts, and members of a bucket by their sketches, that one task holds at a time.
+BLOCK, MEET = 256, 4096
 U = np.uint64
 
 
@@ -55,15 +57,13 @@ def sketch(s: np.ndarray, m: int = REGISTERS) -> np.ndarray:
     seed = tx.mix(s ^ U(0xA0761D6478BD642F))
     place = (seed & U(m - 1)).astype(np.int64)
     step = ((seed >> U(20)) | U(1)).astype(np.int64) & (m - 1)
-    q = min(1.0, (np.log(m) + 4) / n)
-    done = 0.0
+    q, done = min(1.0, (np.log(m) + 4) / n), 0.0
     while True:
         # All values whose quantile lies in [done, q); stratum j covers [j/m, (j+1)/m).
-        for j in range(int(done * m), int(np.ceil(q * m))):
-            u = (j + tx.uniform(tx.mix(s + U((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))) / m
-            hit = np.flatnonzero((u >= done) & (u < q))
-            if len(hit):
-                np.minimum.at(least, (place[hit] + j * step[hit]) & (m - 1), u[hit])
+        j = np.arange(int(done * m), int(np.ceil(q * m)))
+        u = (j[:, None] + tx.uniform(tx.mix(s + ((j + 1).astype(U) * U(0x9E3779B97F4A7C15))[:, None]))) / m
+        at, of = np.nonzero((u >= done) & (u < q))
+        np.minimum.at(least, (place[of] + j[at] * step[of]) & (m - 1), u[at, of])
         if q >= 1 or np.isfinite(least).all():
             break
         done, q = q, min(1.0, q * 2)
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, id) for every band of every class; a band's key hashes its number and register values."""
+    """(key, band, id) for every band of every class; a band's key hashes its number and register values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = tx.mix(np.arange(1, BANDS + 1).astype(U))
@@ -124,9 +124,9 @@ def _bands(classes: DataFrame) -> DataFrame:
             h = np.broadcast_to(salt, k.shape[:2]).copy()
             for r in range(ROWS):
                 h = tx.mix(h ^ k[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(regs))), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "band", "id"])
 
-    return classes.select("id", "registers").mapInArrow(run, "key long, id long")
+    return classes.select("id", "registers").mapInArrow(run, "key long, band int, id long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -146,6 +146,15 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are as similar as asked for."""
+    union = np.concatenate([a, b])
+    union.sort(kind="stable")
+    size = 1 + np.count_nonzero(union[1:] != union[:-1]) if len(union) else 0
+    both = len(a) + len(b) - size
+    return both > 0 and 100 * both >= percent * size
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on full sets.
 
@@ -153,47 +162,91 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     BLOCK partners, so that an a with many partners is spread over many tasks.
     """
     pairs = cut(pairs)
+    slots = max(1, pairs.count() // BLOCK)
+    slot = F.pmod(F.xxhash64("a", "block"), F.lit(slots)).alias("slot")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("b"), F.col("text").cast("string").alias("text"))
-    right = placed.select("a", "block", "b").join(texts, "b").select(F.col("a").alias("of"), F.col("block").alias("in_block"), "b", F.col("text").alias("theirs"))
-    left = blocks.join(texts.withColumnRenamed("b", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text")
+    right = placed.join(texts, "b").select(slot.alias("in_slot"), F.col("a").alias("of"), "b", F.col("text").alias("theirs"))
+    left = blocks.join(texts.withColumnRenamed("b", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text").select(slot, "a", "text")
 
     def check(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        sets = tx.shingle_sets([(t or "").encode() for t in [*ours["text"][:1], *theirs["theirs"]]], k)
-        a, good = sets[0], []
-        for s in sets[1:]:
-            both = len(np.intersect1d(a, s, assume_unique=True))
-            good.append(100 * both >= percent * (len(a) + len(s) - both) and both > 0)
+        ours = ours.drop_duplicates("a")
+        firsts = dict(zip(ours["a"], tx.shingle_sets([(t or "").encode() for t in ours["text"]], k)))
+        sets = tx.shingle_sets([(t or "").encode() for t in theirs["theirs"]], k)
+        good = [_linked(firsts[of], s, percent) for of, s in zip(theirs["of"], sets)]
         return theirs.loc[good, ["of", "b"]].rename(columns={"of": "a"})
 
-    return left.groupBy("a", "block").cogroup(right.groupBy("of", "in_block")).applyInPandas(check, "a long, b long")
+    return left.groupBy("slot").cogroup(right.groupBy("in_slot")).applyInPandas(check, "a long, b long")
 
 
-def _crossing(buckets: DataFrame, comp: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components that share a bucket, for buckets that still hold several components."""
-    label = F.coalesce(F.col("component"), F.col("id"))
-    members = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label.alias("comp"))
-    parts = members.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.ceil(F.count("*") / F.lit(2 * BLOCK)).cast("int").alias("blocks")).where("first <> last")
-    held = cut(members.join(parts, "key").join(classes.select("id", "n", "registers"), "id").select("key", "id", "comp", "n", "registers", "blocks", (F.col("comp") != F.col("first")).alias("asks")))
-    theirs = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks", "asks")
-    ours = held.where("asks").select(F.col("key").alias("k"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to_block"), *[F.col(c).alias(f"a_{c}") for c in ("id", "comp", "n", "registers")])
+def _crossing(buckets: DataFrame, comp: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Who is to be compared in buckets that still hold several components: (key, block, id, partners).
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    A row with partners asks, one without is among the partners of others of its block. A
+    pair is asked about in the first band that it shares only. With `best`, each member asks
+    about the likeliest of each other component and block; without, about all that are likely. The
+    pivot has met all members already."""
+    label = F.coalesce(F.col("component"), F.col("id"))
+    others = buckets.where("id <> pivot").select("key", "band", "id")
+    members = others.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", label.alias("comp"))
+    parts = members.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.ceil(F.count("*") / F.lit(MEET)).cast("int").alias("blocks")).where("first <> last")
+    held = cut(members.join(parts, "key").select("key", "band", "id", "comp", "blocks", (F.col("comp") != F.col("first")).alias("asks")))
+    slots = max(1, held.count() // BLOCK)
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # A member stands in its own block; one that asks goes to the others too.
+    places = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    rows = held.withColumn("own", own).withColumn("block", F.explode(places)).join(classes.select("id", "n", "registers"), "id")
+    rows = rows.select(F.pmod(F.xxhash64("key", "block"), F.lit(slots)).alias("slot"), "key", "band", "block", "id", "comp", "n", "registers", "asks", (F.col("own") == F.col("block")).alias("answers"))
+
+    def meet(slot: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(a) and len(b):
-            regs = np.frombuffer(b"".join(b["registers"]), np.uint16).reshape(len(b), REGISTERS)
-            n, ids, comps = b["n"].to_numpy(), b["id"].to_numpy(), b["comp"].to_numpy()
-            for i, c, size, r in zip(a["a_id"], a["a_comp"], a["a_n"], a["a_registers"]):
+        for place, group in slot.groupby(["key", "block"]):
+            who, group = group[group["asks"]], group[group["answers"]]
+            if not len(who) or not len(group):
+                continue
+            regs = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(len(group), REGISTERS)
+            n, ids, comps, band = group["n"].to_numpy(), group["id"].to_numpy(), group["comp"].to_numpy(), group["band"].iloc[0]
+            wanted = set()
+            for i, c, size, r in zip(who["id"], who["comp"], who["n"], who["registers"]):
+                mine = np.frombuffer(r, np.uint16)
                 ok = np.flatnonzero((comps != c) & (np.minimum(n, size) * 100 >= np.maximum(n, size) * percent))
+                if len(ok) and band:
+                    earlier = (regs[ok, : band * ROWS] == mine[: band * ROWS]).reshape(len(ok), band, ROWS).all(axis=2).any(axis=1)
+                    ok = ok[~earlier]
+                if not len(ok):
+                    continue
+                j = similarity(np.broadcast_to(mine, (len(ok), REGISTERS)), regs[ok], np.full(len(ok), float(size)), n[ok].astype(float))
+                near = j * 100 >= percent - 100 * MARGIN
+                ok, j = ok[near], j[near]
+                if best:
+                    order = np.argsort(-j, kind="stable")
+                    ok = ok[order[np.unique(comps[ok[order]], return_index=True)[1]]]
                 if len(ok):
-                    mine = np.broadcast_to(np.frombuffer(r, np.uint16), (len(ok), REGISTERS))
-                    j = similarity(mine, regs[ok], np.full(len(ok), float(size)), n[ok].astype(float))
-                    hit = ids[ok[j * 100 >= percent - 100 * MARGIN]]
-                    out += [(min(i, x), max(i, x)) for x in hit.tolist()]
+                    out.append((*place, i, ids[ok].tolist()))
+                    wanted.update(ids[ok].tolist())
+            out += [(*place, i, None) for i in wanted]
+        return pd.DataFrame(out, columns=["key", "block", "id", "partners"])
+
+    return rows.groupBy("slot").applyInPandas(meet, "key long, block int, id long, partners array<long>")
+
+
+def _answered(asked: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs that _crossing asks about, verified on full sets, a block's texts at a time."""
+    asked = cut(asked)
+    slots = max(1, asked.count() // BLOCK)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = asked.join(texts, "id").select(F.pmod(F.xxhash64("key", "block"), F.lit(slots)).alias("slot"), "key", "block", "id", "partners", "text")
+
+    def check(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, rows in group.groupby(["key", "block"]):
+            sets = dict(zip(rows["id"], tx.shingle_sets([(t or "").encode() for t in rows["text"]], k)))
+            for i, partners in zip(rows["id"], rows["partners"]):
+                out += [(min(i, x), max(i, x)) for x in (partners if partners is not None else ()) if x in sets and _linked(sets[i], sets[x], percent)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return ours.groupBy("k", "to_block").cogroup(theirs.groupBy("key", "block")).applyInPandas(meet, "a long, b long").distinct()
+    return rows.groupBy("slot").applyInPandas(check, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -207,15 +260,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     texts = docs.select("doc_id", "text")
 
     bands = _bands(classes)
-    seeds = [F.min(F.struct(F.xxhash64("id", F.lit(s)), "id"))["id"].alias(f"p{s}") for s in range(2)]
-    crowded = cut(bands.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p2"), *seeds).where("c > 1").drop("c"))
+    # The pivot is the least by one hash, so that buckets of the same documents tend to share it.
+    crowded = cut(bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("pivot")).where("c > 1").drop("c"))
     buckets = cut(_bands(classes).join(crowded, "key"))
-    pairs = buckets.select("id", F.explode(F.array("p0", "p1", "p2")).alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    pairs = buckets.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = cut(verified(_likely(pairs, classes, percent), texts, k, percent))
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more = verified(_crossing(buckets.select("key", "id"), comp, classes, percent), texts, k, percent)
-    edges = comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    comp = components(edges)
+    for best in (True, False):
+        more = _answered(_crossing(buckets, comp, classes, percent, best), texts, k, percent)
+        edges = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        comp = components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     by_class = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("n", "digest", F.coalesce("component", "id").alias("component"))
     out = found.join(by_class, ["n", "digest"], "left")
