@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -116,14 +117,14 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str = "be
     return summed.withColumn(out, F.col(out) + offsets_column(starts, F.col("__pid"))).drop("__pid")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of at most `rows` labelled documents that aren't held out: those with the least hash of their id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int]) -> tuple[list[bytes], list[int]]:
+    """Texts and labels of at most rows[y] documents of each label y that aren't held out: those with the least hash of their id.
 
     A document with several labels has their least; null labels count as none. The bound
     is on rows, so what the driver receives doesn't grow with the table.
     """
-    kept = labels.where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__y")).where("__y in (0, 1)")
-    kept = kept.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    kept = labels.where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__y"))
+    ranked = [kept.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in rows.items()]
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"))
-    found = texts.join(F.broadcast(kept), "__id").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(rows).collect()
+    found = texts.join(F.broadcast(reduce(DataFrame.unionByName, ranked)), "__id").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(sum(rows.values())).collect()
     return [(r["__text"] or "").encode() for r in found], [r["__y"] for r in found]

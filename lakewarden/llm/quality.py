@@ -20,8 +20,8 @@ from lakewarden.llm.common import held_out, labelled_sample, map_text, table, ut
 
 U = np.uint64
 BITS = 18
-#: At most so many labelled documents are learnt from.
-SAMPLE = 4000
+#: At most so many documents of each label are learnt from.
+SAMPLE = {1: 2400, 0: 600}
 SCALE = 20.0
 
 
@@ -79,7 +79,7 @@ def score(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: dict[int, int] = SAMPLE) -> np.ndarray:
     """Weights learnt from a bounded sample of labelled rows. Without labelled rows every weight is 0 and every score a half."""
     return train(*labelled_sample(docs, labels, label, rows))
 

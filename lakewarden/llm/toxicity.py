@@ -26,7 +26,10 @@ from lakewarden.llm.common import held_out, labelled_sample, map_text, table, ut
 
 U = np.uint64
 BITS = 18
-SAMPLE = 6000
+#: At most so many documents of each label are learnt from.
+SAMPLE = {1: 1000, 0: 5000}
+#: Documents that training looks at together.
+SLAB = 200
 #: A feature's beginnings in bytes; 0 is the whole word.
 BEGINNINGS = (0, 3, 4, 5, 6)
 BLOCK = 64
@@ -36,11 +39,11 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Hashed features (one row a word), starts and ends in the laid bytes, each text's first word, and where texts begin."""
     data, begins = tx.lay(texts)
     if not len(data):
-        return np.empty((0, len(BEGINNINGS)), np.int64), *[np.empty(0, np.int64)] * 2, np.zeros(len(texts) + 1, np.int64), begins
+        return np.empty((0, len(BEGINNINGS)), np.int32), *[np.empty(0, np.int64)] * 2, np.zeros(len(texts) + 1, np.int64), begins
     starts, ends, kind = tx.class_runs(data)
     starts, ends = starts[kind == 1], ends[kind == 1]
     prefix = tx.prefix_sums(tx.LOWER[data])
-    out = np.empty((len(starts), len(BEGINNINGS)), np.int64)
+    out = np.empty((len(starts), len(BEGINNINGS)), np.int32)
     for i, n in enumerate(BEGINNINGS):
         h = tx.range_hashes(prefix, starts, ends if not n else np.minimum(starts + n, ends))
         out[:, i] = tx.mix(h + U(i)) & U((1 << BITS) - 1)
@@ -95,24 +98,49 @@ def marginals(e: np.ndarray, head: np.ndarray, trans: np.ndarray, init: float) -
     return both[:, 1] / both.sum(axis=1), forward, backward, m
 
 
-def weak_labels(f: np.ndarray, doc: np.ndarray, y: np.ndarray, least: int = 5, share: float = 0.9) -> np.ndarray:
-    """Words of toxic documents that have a feature seen in `least` or more toxic documents and nearly no others."""
-    toxic_docs, clean_docs = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    hit = np.zeros(len(f), bool)
-    for i in range(f.shape[1]):
-        pair = np.unique(doc.astype(np.int64) << BITS | f[:, i])
-        np.add.at(toxic_docs, pair[y[pair >> BITS] == 1] & ((1 << BITS) - 1), 1)
-        np.add.at(clean_docs, pair[y[pair >> BITS] == 0] & ((1 << BITS) - 1), 1)
-    good = (toxic_docs >= least) & (toxic_docs >= share * (toxic_docs + clean_docs))
-    for i in range(f.shape[1]):
-        hit |= good[f[:, i]]
-    return hit & (y[doc] == 1)
-
-
-def _climb(model: dict, f: np.ndarray, doc: np.ndarray, tag: np.ndarray, keep: np.ndarray, steps: int, rate: float, l2: float) -> dict:
-    """Adagrad steps on the likelihood of the kept words' tags; a gap in them begins a new chain."""
-    f, doc, tag, at = f[keep], doc[keep], tag[keep].astype(int), np.flatnonzero(keep)
-    head = np.concatenate([[True], (np.diff(doc) > 0) | (np.diff(at) > 1)])
+def toxic_features(texts: list[bytes], y: np.ndarray, share: float = 0.95) -> tuple[np.ndarray, int]:
+    """Which features are of toxic documents (seen in so many of them that chance can't be why, and in nearly no others), and how many words clean documents have."""
+    toxic, clean, words = max(1, int((y == 1).sum())), max(1, int((y == 0).sum())), 0
+    least = max(4, int(np.ceil(np.log(1e-4) / np.log(toxic / (toxic + clean)))))
+    counts = np.zeros((2, 1 << BITS))
+    for k in range(0, len(texts), SLAB):
+        f, _, _, first, _ = tokens(texts[k : k + SLAB])
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        words += int((y[k + doc] == 0).sum())
+        for i in range(f.shape[1]):
+            pair = np.unique(doc << BITS | f[:, i])
+            np.add.at(counts, (y[k + (pair >> BITS)], pair & ((1 << BITS) - 1)), 1)
+    rate = counts[1] / toxic
+    return (counts[1] >= least) & (rate >= share * (rate + (counts[0] + 0.5) / clean)), words
+
+
+def _chains(texts: list[bytes], y: np.ndarray, good: np.ndarray, every: int, around: int, model: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, tags and chain heads of the words to learn from, a slab of documents at a time.
+
+    Words of toxic documents near labelled ones; each every-th stretch of clean documents; and, with a model,
+    words of clean documents that it takes for toxic, with those beside them."""
+    out = []
+    for k in range(0, len(texts), SLAB):
+        f, _, _, first, _ = tokens(texts[k : k + SLAB])
+        if not len(f):
+            continue
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        toxic = y[k + doc] == 1
+        tag = good[f].any(axis=1) & toxic
+        keep = (np.convolve(tag, np.ones(2 * around + 1, np.float32), "same")[: len(f)] > 0) & toxic
+        keep |= (np.arange(len(f)) // (2 * around) % every == 0) & ~toxic
+        if model:
+            head = np.concatenate([[True], np.diff(doc) > 0])
+            wrong = (marginals(model["w"][f].sum(axis=1) + model["bias"], head, model["trans"], model["init"])[0] > 0.1) & ~toxic
+            keep |= (np.convolve(wrong, np.ones(7, np.float32), "same")[: len(f)] > 0) & ~toxic
+        at = np.flatnonzero(keep)
+        if len(at):
+            out.append((f[at], tag[at].astype(np.int8), np.concatenate([[True], (np.diff(doc[at]) > 0) | (np.diff(at) > 1)])))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _climb(model: dict, f: np.ndarray, tag: np.ndarray, head: np.ndarray, steps: int, rate: float, l2: float) -> dict:
+    """Adagrad steps on the likelihood of the words' tags."""
     g2, gb2, gt2, gi2 = np.full(1 << BITS, 1e-3), 1e-3, np.full((2, 2), 1e-3), 1e-3
     inner, n = np.flatnonzero(~head), len(f)
     w, trans, bias, init = model["w"].copy(), model["trans"].copy(), model["bias"], model["init"]
@@ -141,21 +169,16 @@ def train(texts: list[bytes], labels: list[int], steps: int = 40, rate: float =
     Fitted twice: on words near labelled ones and stretches of clean documents, then also on the words of clean
     documents that the first fit takes for toxic."""
     model = {"w": np.zeros(1 << BITS), "bias": -3.0, "trans": np.zeros((2, 2)), "init": 0.0, "scale": np.array([0.0, 0.0, 0.0, -5.0])}
-    f, _, _, first, _ = tokens(texts)
-    y = np.array(labels)
-    if not len(f) or not y.any() or y.all():
+    y = np.array(labels, np.int64)
+    if not y.any() or y.all():
+        return model
+    good, words = toxic_features(texts, y)
+    if not good.any():
         return model
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    tag = weak_labels(f, doc, y)
-    keep = (np.convolve(tag, np.ones(2 * around + 1), "same") > 0) & (y[doc] == 1)
-    every = max(1, int((y[doc] == 0).sum() // max(3 * keep.sum(), 1)))
-    keep |= (np.arange(len(f)) // (2 * around) % every == 0) & (y[doc] == 0)
-    model = _climb(model, f, doc, tag, keep, steps, rate, l2)
-    head = np.concatenate([[True], np.diff(doc) > 0])
-    p = marginals(model["w"][f].sum(axis=1) + model["bias"], head, model["trans"], model["init"])[0]
-    wrong = (p > 0.1) & (y[doc] == 0)
-    model = _climb(model, f, doc, tag, keep | (np.convolve(wrong, np.ones(7), "same") > 0) & (y[doc] == 0), steps, rate, l2)
-    x, _ = summaries(texts, model)
+    every = max(1, words // (20 * around * int(y.sum())))
+    for before in (None, True):
+        model = _climb(model, *_chains(texts, y, good, every, around, before and model), steps, rate, l2)
+    x = np.concatenate([summaries(texts[i : i + SLAB], model)[0] for i in range(0, len(texts), SLAB)])
     scale = np.zeros(4)
     for _ in range(100):  # damped Newton steps of a logistic regression with a weak prior
         q = 1 / (1 + np.exp(-np.clip(x @ scale, -35, 35)))
@@ -195,7 +218,7 @@ def score(texts: list[bytes], model: dict) -> tuple[np.ndarray, list[list[tuple[
     return 1 / (1 + np.exp(-np.clip(x @ model["scale"], -35, 35))), spans
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[int, int] = SAMPLE) -> dict:
     return train(*labelled_sample(docs, labels, label, rows))
 
 
