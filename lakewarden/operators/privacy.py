@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakewarden import config
 from lakewarden.functions.columns import as_text, contains, mask, normalised
 from lakewarden.operators.findings import Finding, articles
+from lakewarden.operators.quality import CELL
 from lakewarden.operators.typing import Typed, type_from_name
 from lakewarden.sources.tables import ROW, column
 
@@ -26,6 +27,8 @@ def classify(types: list[Typed], total: int) -> list[Finding]:
 
 def scan(df: DataFrame, wanted: dict[str, list[str]], issue: str, row: str = ROW) -> DataFrame:
     """issue_type, column, kind, row_id of cells that contain a pattern: every column and kind in one pass, without a shuffle."""
+    if not any(wanted.values()):
+        return df.sparkSession.createDataFrame([], CELL)
     records = []
     for name, kinds in wanted.items():
         text = as_text(normalised(column(name), df.schema[name].dataType), df.schema[name].dataType)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from lakewarden.functions import columns as fx
 from lakewarden.operators import assistant, evaluate, privacy, profiling, quality, retrieval, review, risk, typing
 from lakewarden.plans import fixtures, pipeline
 from lakewarden.plans.fixtures import dirty_cte, findings_cte
+from lakewarden.streaming import monitors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -525,6 +527,18 @@ def described_terms(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "part").select("p_partkey", fx.described(text).alias("d")).select("p_partkey", "d.description", "d.glossary_term")
 
 
+# Streams
+
+
+@_query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, count(*) FILTER (value IS NULL) AS missing, round_even(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
+def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Windowed counts of a replayed stream; what reaches the driver is a row a window and type."""
+    stream = monitors.read(spark, f"{sf}/events.parquet*", _t(spark, sf, "events"))
+    name = f"events_{uuid.uuid4().hex}"
+    monitors.counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).withColumn("mean_value", F.bround("mean_value", 6)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 # Whole assessments
 
 

@@ -25,12 +25,12 @@ def hits(stream: DataFrame, name: str, key: str) -> DataFrame:
 def counts(stream: DataFrame, time: str = "ts", by: str = "event_type", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events, missing values and mean value by time window, for events at most `late` late."""
     w = F.window(time, width)
-    return stream.withWatermark(time, late).groupBy(w, by).agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean_value")).select(F.col("window.start").alias("window_start"), by, "n", "missing", "mean_value")
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(w, by).agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean_value")).select(F.col("window.start").alias("window_start"), by, "n", "missing", "mean_value")
 
 
 def first_only(stream: DataFrame, keys: list[str], time: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Rows without repeats of a key within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
