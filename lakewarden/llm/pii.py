@@ -2,7 +2,7 @@
 
 Base spans are the leftmost non-overlapping matches of one pattern a kind that also pass
 its check. The field reads zones: stretches of words with a digit or an `@`. A zone is
-cut into segments of at most LONGEST tokens, each email, ip, card, phone or (one token)
+cut into segments of whole words and at most LONGEST tokens, each a kind that its characters allow or (one token)
 nothing; features look at whole segments (digits, separators, checksum, parts, what
 stands beside it), and dynamic programming over boundaries and kinds picks the best cut.
 It is trained by gradient steps on the likelihood of base spans in a bounded sample of
@@ -154,6 +154,14 @@ def _whole(s: str, left: str, right: str) -> list[str]:
 
 
 WHOLE = 12
+_PLAUSIBLE = [re.compile(p) for p in (r"[^@]+@[^@]*[A-Za-z][^@]*", r"[0-9]+(?:\.[0-9]+){3}", r"[0-9](?:[ -]?[0-9])+", r"[+(]?[0-9][0-9 ().+-]*[0-9]")]
+_PLAUSIBLE_DIGITS = [(0, 99), (4, 12), (13, 19), (9, 15)]
+
+
+def plausible(s: str) -> list[int]:
+    """Kinds that a segment may be at all."""
+    d = len(_digits(s))
+    return [k for k, (p, (a, b)) in enumerate(zip(_PLAUSIBLE, _PLAUSIBLE_DIGITS)) if a <= d <= b and p.fullmatch(s)]
 
 
 def lattice(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int, int]], np.ndarray]:
@@ -165,14 +173,15 @@ def lattice(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int,
         kind = "d" + str(min(len(token), 20)) if token.isdigit() else "a" if token.isalpha() else token
         segments.append((i, i + 1, -1))
         rows.append([*_numbers(["O:bias", f"O:{kind}"]), *[0] * (WHOLE - 2)])
-        if not (token[0].isalnum() or token[0] in "+("):
+        if not (token[0].isalnum() or token[0] in "+(") or text[max(edges[i] - 1, 0) : edges[i]].isalnum():
             continue
         for j in range(i + 1, min(n, i + LONGEST) + 1):
             s = text[edges[i] : edges[j]]
-            if not s[-1].isalnum() or not (("@" in s) or sum("0" <= c <= "9" for c in s) >= 4):
+            kinds = plausible(s) if s[-1].isalnum() and not text[edges[j] : edges[j] + 1].isalnum() else []
+            if not kinds:
                 continue
-            names = _whole(s, text[edges[i] - 1 : edges[i]], text[edges[j] : edges[j] + 1])
-            for k in range(len(KINDS)):
+            names = _whole(s, text[max(edges[i] - 1, 0) : edges[i]], text[edges[j] : edges[j] + 1])
+            for k in kinds:
                 segments.append((i, j, k))
                 rows.append(_numbers([f"{k}:{x}" for x in names]))
     return edges, segments, np.array(rows, np.int64).reshape(-1, WHOLE)
