@@ -72,11 +72,11 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 4, alpha: float =
 
 
 def score(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """The probability of label 1 of each text."""
+    """The probability of label 1 of each text, to 9 digits, so that a text's neighbours don't show in it."""
     f, first = features(texts)
     sums = np.concatenate([[0.0], np.cumsum(weights[f])])
     dot = (sums[first[1:]] - sums[first[:-1]]) * SCALE / np.maximum(first[1:] - first[:-1], 1) + weights[-1]
-    return 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
+    return np.round(1 / (1 + np.exp(-np.clip(dot, -35, 35))), 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: dict[int, int] = SAMPLE) -> np.ndarray:

@@ -214,8 +214,9 @@ def summaries(texts: list[bytes], model: dict, least: float = 0.5) -> tuple[np.n
 
 
 def score(texts: list[bytes], model: dict) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Scores, to 9 digits, so that a text's neighbours don't show in them, and offending byte offsets."""
     x, spans = summaries(texts, model)
-    return 1 / (1 + np.exp(-np.clip(x @ model["scale"], -35, 35))), spans
+    return np.round(1 / (1 + np.exp(-np.clip(x @ model["scale"], -35, 35))), 9), spans
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[int, int] = SAMPLE) -> dict:
