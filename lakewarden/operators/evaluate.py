@@ -34,6 +34,11 @@ def metrics(marks: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
+def meets_targets(scores: DataFrame, recall: float = 0.95, precision: float = 0.80) -> DataFrame:
+    """scores with whether both targets are met."""
+    return scores.withColumn("meets_targets", (F.col("recall") >= recall) & (F.col("precision") >= precision))
+
+
 def listing(marks: DataFrame, missed: bool, n: int = 15) -> DataFrame:
     """The first missed keys or false alarms, in order."""
     return marks.where("expected and not observed" if missed else "observed and not expected").orderBy(*[c for c in marks.columns if c not in ("expected", "observed")]).limit(n)

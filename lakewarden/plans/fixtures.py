@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Customers with repeated and malformed emails, missing cells, long-form states, inverted dates, hidden ids and emails in prose.
 DIRTY = """
@@ -63,3 +64,29 @@ def dirty_cte() -> str:
 
 def findings_cte() -> str:
     return f"findings AS ({FINDINGS.format(orders='orders')})"
+
+
+def synthetic(spark: SparkSession, rows: int = 500) -> DataFrame:
+    """The dirty table over made customers, of any size."""
+    customer = spark.range(rows).selectExpr("id as c_custkey", "cast(pmod(xxhash64(id), 480000) as double) / 100 as c_acctbal")
+    return dirty(spark, customer)
+
+
+#: Which rows the dirty table's defects were planted in, by the same remainders; null rows stand for whole columns.
+PLANTED = {
+    ("duplicate_record", "customer_email"): "c % 25 = 24",
+    ("invalid_email", "customer_email"): "c % 25 <> 24 AND c % 40 = 7",
+    ("inconsistent_value", "state"): "c % 17 = 0",
+    ("inconsistent_value", "signup_date"): "c % 50 >= 19 AND c % 97 = 30",
+    ("pii_in_mislabeled_column", "cust_ref"): "c % 61 = 5",
+    ("pii_in_freetext", "notes"): "c % 41 = 3",
+}
+PLANTED_COLUMNS = [("null_heavy_column", c) for c in ("phone_no", "street_address", "last_order_date")] + [("unmasked_pii_column", c) for c in ("customer_id", "first_name", "last_name", "customer_email", "phone_no", "street_address", "postcode")]
+
+
+def ground_truth(dirty_rows: DataFrame) -> DataFrame:
+    """Distinct (defect_type, column, row_id) of everything planted in rows of the dirty table."""
+    keys = F.array(*[F.when(F.expr(rule.replace("c %", "row_id %")), F.struct(F.lit(t).alias("defect_type"), F.lit(c).alias("column"))) for (t, c), rule in PLANTED.items()])
+    cells = dirty_rows.select(F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k"), "row_id").select("k.defect_type", "k.column", F.col("row_id").cast("long").alias("row_id"))
+    whole = dirty_rows.sparkSession.createDataFrame([(t, c, None) for t, c in PLANTED_COLUMNS], "defect_type string, column string, row_id long")
+    return cells.unionByName(whole)
