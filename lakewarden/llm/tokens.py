@@ -44,31 +44,47 @@ class Encoder:
 
     The byte-level pre-tokenizer always ends a token before a space or line break that
     stands between two other characters, so such pieces are encoded once each and joined;
-    a text in which white space adjoins white space is encoded whole. Two generations of
-    at most `remember` pieces are held.
+    a text in which white space adjoins white space is encoded whole. New pieces are
+    encoded many at a time as one text, and parted again where a token begins with the
+    space (or is the line break) that led each. Two generations of at most `remember` pieces are held.
     """
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        # How the vocabulary writes a space and a line break.
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
+        self.line = vocabulary["\u010a"]
+        self.line_bytes = array("I", [self.line]).tobytes()
         self.remember, self.young, self.old = remember, {}, {}
         self.heads: dict[str, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, cache: dict, keys: list[str], lead: str) -> None:
+    def _learn(self, cache: dict, pieces: list[str], spaced: bool) -> None:
+        """Pieces without white space at their ends, as they are encoded after a space, or at the start of a line."""
         clean = []
-        for p in keys:
-            body = p[1:] if p[:1] == "\n" else p
-            if body and not body[0].isspace() and not body[-1].isspace():
+        for p in pieces:
+            if p.isalpha() or p and not p[0].isspace() and not p[-1].isspace():
                 clean.append(p)
             else:
                 cache[p] = None
-        texts = [p if p[0] == "\n" else lead + p for p in clean]
-        for p, e in zip(clean, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            cache[p] = array("I", e.ids).tobytes()
+        for k in range(0, len(clean), 20_000):
+            part = clean[k : k + 20_000]
+            text = " " + " ".join(part) if spaced else "\n" + "\n".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids] if spaced else ids == self.line)
+            if len(starts) != len(part):  # a piece holds white space of another kind; take them one by one
+                for p in part:
+                    cache[p] = self.whole(" " + p if spaced else p)
+                continue
+            raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            for p, a, b in zip(part, (4 * starts + (0 if spaced else 4)).tolist(), ends):
+                cache[p] = raw[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " \n").split(" ") for t in texts]
@@ -76,10 +92,7 @@ class Encoder:
             self.young, self.old = {}, self.young
         if len(self.heads) > self.remember // 4:
             self.heads = {}
-        young, old = self.young, self.old
-        new = {p[0] for p in split}.difference(self.heads)
-        self._learn(self.heads, [p for p in new if p[:1] != "\n"], "")
-        self.heads |= {p: None for p in new if p[:1] == "\n"}
+        young, old, heads = self.young, self.old, self.heads
         new = set()
         for p in split:
             new.update(p[1:])
@@ -87,12 +100,19 @@ class Encoder:
         known = new & old.keys() if old else set()
         for p in known:
             young[p] = old[p]
-        self._learn(young, list(new - known), " ")
+        new -= known
+        lines = [p for p in new if p[:1] == "\n"]
+        first = {p[1:] for p in lines} | {p[0] for p in split if p[0][:1] != "\n"}
+        self._learn(heads, list(first.difference(heads)), spaced=False)
+        self._learn(young, [p for p in new if p[:1] != "\n"], spaced=True)
+        for p in lines:
+            body = heads[p[1:]]
+            young[p] = None if body is None else self.line_bytes + body
+        heads |= {p[0]: None for p in split if p[0][:1] == "\n"}
         out = []
         for text, p in zip(texts, split):
-            head = self.heads[p[0]]
             try:
-                out.append(head + b"".join(map(young.__getitem__, p[1:])))
+                out.append(heads[p[0]] + b"".join(map(young.__getitem__, p[1:])))
             except TypeError:  # a piece, None, that can't be encoded alone
                 out.append(self.whole(text))
         return out
