@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,12 +29,18 @@ WINDOW = 2048
 GROUP_IDS = 4_000_000
 
 
-def fill(counts: dict[int, int], room: int) -> tuple[dict[int, int], int]:
-    """The multiset of available lengths whose sum is closest to room from below, and what is left of room."""
+def fill(counts: dict[int, int], room: int, lengths: list[int] | None = None) -> tuple[dict[int, int], int]:
+    """The multiset of available lengths whose sum is closest to room from below, and what is left of room.
+
+    `lengths`: counts' keys in order, if at hand. Longer ones are tried first, and the search ends at an exact fit."""
+    lengths = sorted(counts) if lengths is None else lengths
     bits, mask, layers = 1, (1 << (room + 1)) - 1, []
-    for length in sorted((x for x in counts if 0 < x <= room and counts[x] > 0), reverse=True):
+    for i in range(bisect_right(lengths, room) - 1, -1, -1):
+        length = lengths[i]
+        left, step = min(counts.get(length, 0), room // length), 1
+        if not left:
+            continue
         layers.append((length, bits))
-        left, step = min(counts[length], room // length), 1
         while left:
             step = min(step, left)
             bits |= (bits << (length * step)) & mask
@@ -56,17 +63,19 @@ def fill(counts: dict[int, int], room: int) -> tuple[dict[int, int], int]:
 def patterns(counts: dict[int, int], window: int = WINDOW) -> Iterator[tuple[dict[int, int], int, int]]:
     """(lengths with counts, times, slack) until every length is used."""
     counts = {k: v for k, v in counts.items() if v}
-    while counts:
-        largest = max(counts)
-        rest = dict(counts)
-        rest[largest] -= 1
-        chosen, slack = fill(rest, window - largest)
+    lengths = sorted(counts)
+    while lengths:
+        largest = lengths[-1]
+        if not counts.get(largest):
+            lengths.pop()
+            continue
+        counts[largest] -= 1
+        chosen, slack = fill(counts, window - largest, lengths)
+        counts[largest] += 1
         chosen[largest] = chosen.get(largest, 0) + 1
         times = min(counts[x] // k for x, k in chosen.items())
         for x, k in chosen.items():
             counts[x] -= k * times
-            if not counts[x]:
-                del counts[x]
         yield chosen, times, slack
 
 
