@@ -82,14 +82,6 @@ def partition_sums(df: DataFrame, pid: str, value: str) -> dict[int, int]:
     return out
 
 
-def offsets_column(offsets: dict[int, int], pid: Column) -> Column:
-    """The entry of `pid` as a literal map lookup; one entry a partition."""
-    if not offsets:
-        return F.lit(0).cast("long")
-    entries = [F.lit(x).cast("long") for kv in offsets.items() for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*entries), pid.cast("long")), F.lit(0).cast("long"))
-
-
 def running_total(df: DataFrame, order: list[Column], value: str, out: str = "before", partitions: int | None = None) -> DataFrame:
     """Adds to each row the sum of `value` over all rows before it in `order`.
 
@@ -106,15 +98,16 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str = "be
     schema = T.StructType([*with_pid.schema.fields, T.StructField(out, T.LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total = None
         for b in batches:
+            if total is None and b.num_rows:
+                total = starts[b.column(b.schema.get_field_index("__pid"))[0].as_py()]
             v = b.column(b.schema.get_field_index(value)).to_numpy(zero_copy_only=False).astype("int64")
             c = v.cumsum()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total + c - v, pa.int64())], names=[*b.schema.names, out])
-            total += int(c[-1]) if len(c) else 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((total or 0) + c - v, pa.int64())], names=[*b.schema.names, out])
+            total = total + int(c[-1]) if len(c) else total
 
-    summed = with_pid.mapInArrow(add, schema)
-    return summed.withColumn(out, F.col(out) + offsets_column(starts, F.col("__pid"))).drop("__pid")
+    return with_pid.mapInArrow(add, schema).drop("__pid")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int]) -> tuple[list[bytes], list[int]]:

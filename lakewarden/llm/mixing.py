@@ -10,7 +10,7 @@ end, divided by the source's target. Served in that order, every source has had
 virtual time 1, which is where the budget (all words) ends, so the mix is cut there, by words.
 `mixture` returns documents dealt and sorted by virtual finish time.
 
-Only one row a source and one sum a partition pass the driver or one task; documents of a hot source are
+One row a source goes through one task and one sum a partition through the driver; documents of a hot source are
 dealt by range of their hash. Repeated ids and texts are documents of their own.
 """
 
@@ -25,6 +25,8 @@ from lakewarden.llm import text as tx
 from lakewarden.llm.common import cut, map_text, running_total, table, utf8
 
 SEED = ":mix"
+#: Up to so many sources their targets are sent to all tasks; beyond, rows are joined by source.
+SOURCES = 100_000
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -66,10 +68,11 @@ def targets(sized: DataFrame, copies: int = 3) -> DataFrame:
 def queued(docs: DataFrame, copies: int = 3) -> DataFrame:
     """doc_id, source, mark, size, source_size, target and start (words of its source before it)."""
     sized = cut(_sized(docs))
-    by = targets(sized, copies).withColumnRenamed("source", "of")
+    by = cut(targets(sized, copies).withColumnRenamed("source", "of"))
+    by = F.broadcast(by) if by.count() <= SOURCES else by
     order = [*_source_order(), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED)).cast("binary")), F.col("doc_id"), F.col("mark")]
     rows = running_total(sized, order, "size")
-    return rows.join(F.broadcast(by), F.col("source").eqNullSafe(F.col("of"))).withColumn("start", F.col("before") - F.col("base")).drop("of", "before", "base")
+    return rows.join(by, F.col("source").eqNullSafe(F.col("of"))).withColumn("start", F.col("before") - F.col("base")).drop("of", "before", "base")
 
 
 def _taken(copies: int) -> list[Column]:

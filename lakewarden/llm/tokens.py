@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import ensure_checkpoint_dir, offsets_column, partition_sums, slabs, table
+from lakewarden.llm.common import ensure_checkpoint_dir, partition_sums, slabs, table
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK_IDS = 1 << 16
@@ -230,7 +230,8 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for begin, data in zip(b.column(0).to_pylist(), b.column(1)):
+            for part, before, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                begin = starts[part] + before
                 doc_ids, lengths, ids = from_file(data.as_buffer().to_pybytes())
                 ends = np.cumsum(lengths.astype(np.int64))
                 first = ends - lengths
@@ -241,8 +242,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     columns.append(pa.array([ids[i:j].astype(np.int32) for i, j in zip(first.tolist(), ends.tolist())], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    begin = (F.col("before") + offsets_column(starts, F.col("part"))).alias("begin")
-    return files.select(begin, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return files.select("part", "before", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
