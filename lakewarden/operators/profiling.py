@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +29,17 @@ def _number(c: Column, kind: T.DataType) -> Column:
     return (c.cast("int") if isinstance(kind, T.BooleanType) else c).cast("double")
 
 
+def in_chunks(fields: list[T.StructField], one: Callable[[list[T.StructField]], DataFrame], size: int = 60) -> DataFrame:
+    """What `one` gives for so many columns at a time, so that a wide table's aggregates still compile."""
+    return reduce(DataFrame.unionByName, [one(fields[i : i + size]) for i in range(0, max(len(fields), 1), size)])
+
+
 def basics(df: DataFrame) -> DataFrame:
-    """name, dtype, rows, null_count, null_pct, mean_length, numeric_min, numeric_max, numeric_mean: one pass without a distinct."""
-    fields = profiled_fields(df)
+    """name, dtype, rows, null_count, null_pct, mean_length, numeric_min, numeric_max, numeric_mean: one pass without a distinct for each 60 columns."""
+    return in_chunks(profiled_fields(df), lambda fields: _basics(df, fields))
+
+
+def _basics(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
         c = normalised(column(f.name), f.dataType)

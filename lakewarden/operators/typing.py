@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lakewarden import config
 from lakewarden.functions.columns import as_text, as_timestamp, normalised, whole_match
-from lakewarden.operators.profiling import profiled_fields
+from lakewarden.operators.profiling import in_chunks, profiled_fields
 from lakewarden.sources.tables import column, normal_name
 
 _HINTS = sorted(((hint, kind) for kind, hints in config.NAME_HINTS.items() for hint in hints), key=lambda h: -len(h[0]))
@@ -23,8 +23,11 @@ def type_from_name(name: str) -> str | None:
 
 
 def match_rates(df: DataFrame) -> DataFrame:
-    """name, non_null, date_rate and one rate a pattern: the share of non-null values that match as a whole. One pass."""
-    fields = profiled_fields(df)
+    """name, non_null, date_rate and one rate a pattern: the share of non-null values that match as a whole. One pass for each 20 columns."""
+    return in_chunks(profiled_fields(df), lambda fields: _rates(df, fields), 20)
+
+
+def _rates(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     aggs = []
     for i, f in enumerate(fields):
         c = normalised(column(f.name), f.dataType)

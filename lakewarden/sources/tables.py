@@ -26,13 +26,12 @@ def with_row_id(df: DataFrame) -> DataFrame:
     counts = df.select(F.shiftright(at, 33).alias("p")).groupBy("p").count().collect()
     starts, total = [], 0
     for r in sorted(counts, key=lambda r: r["p"]):
-        starts += [F.lit(r["p"]), F.lit(total)]
+        starts.append((r["p"], total))
         total += r["count"]
-    numbered = df.withColumn("__at", at)
-    if not starts:
-        return numbered.withColumnRenamed("__at", ROW)
-    start = F.element_at(F.create_map(*[x.cast("long") for x in starts]), F.shiftright("__at", 33))
-    return numbered.withColumn(ROW, start + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
+    offsets = df.sparkSession.createDataFrame(starts, "__p long, __start long")
+    numbered = df.withColumn("__at", at).withColumn("__q", F.shiftright("__at", 33))
+    joined = numbered.join(F.broadcast(offsets), F.col("__q") == F.col("__p"))  # one row a partition
+    return joined.withColumn(ROW, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__q", "__p", "__start")
 
 
 def unique_names(names: list[str]) -> tuple[list[str], dict[str, str]]:
