@@ -32,7 +32,7 @@ def test_ties_copies_and_unusable_vectors(spark):
     x = base[r.integers(0, 30, 400)]
     x[:150] = base[0]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    bad = [(1000, None, 1), (1020, [0.0] * 8, 1), (1040, [float("nan")] + [1.0] * 7, 1), (1060, [None] + [1.0] * 7, 1), (1080, [float("inf")] + [1.0] * 7, 1), (None, [1.0] * 8, 1)]
+    bad = [(1000, None, 1), (1020, [0.0] * 8, 1), (1040, [float("nan")] + [1.0] * 7, 1), (1060, [None] + [1.0] * 7, 1), (1080, [float("inf")] + [1.0] * 7, 1), (None, [1.0] * 8, 1), (1100, [1.0] * 7, 1), (1120, [], 1)]
     got = found(vectors.nearest(spark.createDataFrame(rows + bad + rows[:3], SCHEMA)))
     want = exact(np.arange(400), x.astype(float))
     assert got.keys() == want.keys()
