@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden import config
 from lakewarden.functions.columns import question_tokens
 
 
@@ -31,7 +32,7 @@ def matches(findings: DataFrame, question: Column, k: int = 4) -> DataFrame:
 
 
 def line() -> Column:
-    return F.format_string("[%s] %s - %s: %s Risk %d (%s), status %s.", "id", "column", F.replace("issue_type", F.lit("_"), F.lit(" ")), "description", "risk", "band", "status")
+    return F.format_string(config.ANSWER_LINE, "id", "column", F.replace("issue_type", F.lit("_"), F.lit(" ")), "description", "risk", "band", "status")
 
 
 def ask(findings: DataFrame, question: str) -> Answer:

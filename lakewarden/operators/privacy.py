@@ -21,7 +21,7 @@ def classify(types: list[Typed], total: int) -> list[Finding]:
         if t.data_class == config.NON_PERSONAL or not (by_name or by_value):
             continue
         evidence = "name+value" if by_name and by_value else "value" if by_value else "name"
-        out.append(Finding("compliance", "unmasked_pii_column", t.name, f"'{t.name}' holds {t.data_class.replace('_', ' ')} data ({t.semantic_type}) and is stored in the clear.", t.data_class, total, scope="column", evidence={"classified_by": evidence, "match_rate_pct": round(t.rate * 100, 2), "semantic_type": t.semantic_type}, articles=articles(t.data_class, "unmasked_pii_column")))
+        out.append(Finding("compliance", "unmasked_pii_column", t.name, config.DESCRIPTIONS["unmasked_pii_column"].format(column=t.name, data_class=t.data_class.replace("_", " "), kind=t.semantic_type), t.data_class, total, scope="column", evidence={"classified_by": evidence, "match_rate_pct": round(t.rate * 100, 2), "semantic_type": t.semantic_type}, articles=articles(t.data_class, "unmasked_pii_column")))
     return out
 
 
@@ -52,11 +52,10 @@ def scan_findings(counts: list, types: list[Typed], total: int) -> list[Finding]
     out = []
     for r in sorted(counts, key=lambda r: (r["issue_type"], list(by).index(r["column"]), list(config.PATTERNS).index(r["kind"]))):
         kind, data_class = r["kind"].replace("_", " "), config.DATA_CLASS.get(r["kind"], config.NON_PERSONAL)
-        if r["issue_type"] == "pii_in_freetext":
-            text, evidence = f"{r['n']} free-text values in '{r['column']}' contain an embedded {kind}.", {"pii_type": r["kind"]}
-        else:
-            text = f"{r['n']} values in '{r['column']}' match the {kind} format. The column name does not indicate that it holds personal data."
-            evidence = {"pii_type": r["kind"], "column_classified_as": by[r["column"]].semantic_type}
+        text = config.DESCRIPTIONS[r["issue_type"]].format(n=r["n"], column=r["column"], kind=kind)
+        evidence = {"pii_type": r["kind"]}
+        if r["issue_type"] == "pii_in_mislabeled_column":
+            evidence["column_classified_as"] = by[r["column"]].semantic_type
         out.append(Finding("compliance", r["issue_type"], r["column"], text, data_class, total, r["n"], evidence=evidence, articles=articles(data_class, "pii_in_freetext"), kind=r["kind"]))
     return out
 

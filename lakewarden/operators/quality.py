@@ -74,7 +74,7 @@ def completeness(df: DataFrame, types: list[Typed], required: list[str] | None)
     for r in rows:
         if r["null_pct"] > config.NULL_HEAVY_PCT:
             out.failing.append(r["column"])
-            out.findings.append(Finding("quality", "null_heavy_column", r["column"], f"{r['null_pct']:.1f}% of values in '{r['column']}' are missing.", _class_of(types, r["column"]), total, scope="column", evidence={"null_pct": r["null_pct"], "threshold": config.NULL_HEAVY_PCT}, articles=tuple(config.ISSUE_ARTICLES["null_heavy_column"])))
+            out.findings.append(Finding("quality", "null_heavy_column", r["column"], config.DESCRIPTIONS["null_heavy_column"].format(pct=r["null_pct"], column=r["column"]), _class_of(types, r["column"]), total, scope="column", evidence={"null_pct": r["null_pct"], "threshold": config.NULL_HEAVY_PCT}, articles=tuple(config.ISSUE_ARTICLES["null_heavy_column"])))
     return out
 
 
@@ -110,7 +110,7 @@ def uniqueness(df: DataFrame, types: list[Typed], key: list[str] | None, total:
     out = Dimension("uniqueness", round(100 * (1 - n / max(total, 1)), 2), limit, key if n else [], {"business_key": key, "duplicate_count": n})
     if n:
         label = " + ".join(key)
-        out.findings.append(Finding("quality", "duplicate_record", label, f"{n} records repeat an earlier row with the same {label}.", worst_class(types), total, n, evidence={"business_key": key, "duplicate_count": n}, articles=tuple(config.ISSUE_ARTICLES["duplicate_record"])))
+        out.findings.append(Finding("quality", "duplicate_record", label, config.DESCRIPTIONS["duplicate_record"].format(n=n, key=label), worst_class(types), total, n, evidence={"business_key": key, "duplicate_count": n}, articles=tuple(config.ISSUE_ARTICLES["duplicate_record"])))
     return out, rows
 
 
@@ -148,7 +148,7 @@ def validity(df: DataFrame, types: list[Typed], total: int) -> tuple[Dimension,
             out.failing.append(r["column"])
         if bad:
             issue = f"invalid_{r['kind']}" if f"invalid_{r['kind']}" in config.SEVERITY else "invalid_format"
-            out.findings.append(Finding("quality", issue, r["column"], f"{bad} values in '{r['column']}' are not a valid {r['kind'].replace('_', ' ')}.", _class_of(types, r["column"]), total, bad, evidence={"semantic_type": r["kind"], "checked": r["checked"]}, kind=r["kind"]))
+            out.findings.append(Finding("quality", issue, r["column"], config.DESCRIPTIONS["invalid_format"].format(n=bad, column=r["column"], kind=r["kind"].replace("_", " ")), _class_of(types, r["column"]), total, bad, evidence={"expected_type": r["kind"], "conformance_pct": round(100 * r["valid"] / r["checked"], 2)}, kind=r["kind"]))
     return out, invalid_cells(df, kinds)
 
 
@@ -188,7 +188,7 @@ def consistency(df: DataFrame, types: list[Typed], rules: list, total: int) -> t
         agreements.append(1 - r["odd"] / r["n"])
         if r["odd"]:
             out.failing.append(name)
-            out.findings.append(Finding("quality", "inconsistent_value", name, f"{r['odd']} values in '{name}' use a non-standard spelling of a value that appears elsewhere in its agreed form.", _class_of(types, name), total, r["odd"], evidence={"agreement_pct": round(100 * agreements[-1], 2)}, kind="spelling"))
+            out.findings.append(Finding("quality", "inconsistent_value", name, config.DESCRIPTIONS["spelling"].format(n=r["odd"], column=name), _class_of(types, name), total, r["odd"], evidence={"agreement_pct": round(100 * agreements[-1], 2)}, kind="spelling"))
             rows.append(checked.where("odd").select(F.lit("inconsistent_value").alias("issue_type"), F.lit(name).alias("column"), F.lit("spelling").alias("kind"), "row_id"))
     for rule, names, expression in rules:
         if not set(names) <= set(df.columns):
@@ -204,7 +204,7 @@ def consistency(df: DataFrame, types: list[Typed], rules: list, total: int) -> t
         agreements.append(r["ok"] / r["n"])
         if bad := r["n"] - r["ok"]:
             out.failing.append(names[0])
-            out.findings.append(Finding("quality", "inconsistent_value", names[0], f"{bad} rows break the rule '{expression}'.", _class_of(types, names[0]), total, bad, evidence={"rule": rule, "expression": expression, "rows_evaluated": r["n"]}, kind=rule))
+            out.findings.append(Finding("quality", "inconsistent_value", names[0], config.DESCRIPTIONS["rule"].format(n=bad, expression=expression), _class_of(types, names[0]), total, bad, evidence={"rule": rule, "expression": expression, "rows_evaluated": r["n"]}, kind=rule))
             rows.append(checked.where("not coalesce(ok, false)").select(F.lit("inconsistent_value").alias("issue_type"), F.lit(names[0]).alias("column"), F.lit(rule).alias("kind"), "row_id"))
     if agreements:
         out.score = round(100 * sum(agreements) / len(agreements), 2)

@@ -56,7 +56,7 @@ def pending(findings: DataFrame) -> DataFrame:
 
 
 def rationale() -> Column:
-    return F.format_string("%s risk (%d/100): %s Affects %d of %d rows.", "band", "risk", "description", "affected_rows", "total_rows")
+    return F.format_string(config.RATIONALE, "band", "risk", "description", "affected_rows", "total_rows")
 
 
 def recommendations(findings: DataFrame) -> DataFrame:
