@@ -390,12 +390,20 @@ def citation_queries(spark: SparkSession, sf: str) -> DataFrame:
     return _found(spark, sf).select("finding_key", retrieval.query_text(F.col("issue_type"), F.col("data_class")).alias("query"))
 
 
-@_query()
+_PASSAGES = [(i, f"Art. {i}", k.replace("_", " "), v) for i, (k, v) in enumerate(config.ISSUE_QUERY.items())]
+_PASSAGE_ROWS = ", ".join(f"({i}, '{r}', '{t}', '{x}')" for i, r, t, x in _PASSAGES)
+
+
+@_query(f"""WITH {findings_cte()}, p(chunk_no, reference, title, body) AS (VALUES {_PASSAGE_ROWS}), pw AS (SELECT chunk_no, reference, {_WORDS} AS w FROM (SELECT *, concat_ws('. ', reference, title, body) AS text FROM p)),
+ q AS (SELECT finding_key, CASE WHEN {_ISSUE_SQL} IS NOT NULL THEN concat_ws('; ', {_ISSUE_SQL}, {_CLASS_SQL}) END AS text FROM findings), d AS (SELECT DISTINCT text FROM q WHERE text IS NOT NULL), qw AS (SELECT text, {_WORDS} AS w FROM d),
+ s AS (SELECT qw.text, chunk_no, reference, round_even(len(list_intersect(qw.w, pw.w)) / sqrt(len(qw.w)::DOUBLE * len(pw.w)::DOUBLE), 4) AS score FROM qw, pw),
+ r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, chunk_no)::INT AS place FROM s WHERE score > 0.45)
+ SELECT finding_key, place, reference, score FROM q JOIN r USING (text) WHERE place <= 2""")
 def cited_findings(spark: SparkSession, sf: str) -> DataFrame:
     """I7 with passages made from the searched texts themselves."""
-    texts = [(i, f"Art. {i}", k.replace("_", " "), v, "made", False) for i, (k, v) in enumerate(config.ISSUE_QUERY.items())]
-    passages = spark.createDataFrame(texts, "chunk_no int, reference string, title string, text string, source string, is_placeholder boolean")
-    return retrieval.cited(_scored(spark, sf), passages).select("finding_key", F.to_json("citations").alias("citations"))
+    passages = spark.createDataFrame([(*p, "made", False) for p in _PASSAGES], "chunk_no int, reference string, title string, text string, source string, is_placeholder boolean")
+    cited = retrieval.cited(_scored(spark, sf), passages).select("finding_key", F.posexplode("citations").alias("place", "c"))
+    return cited.select("finding_key", (F.col("place") + 1).cast("int").alias("place"), "c.reference", "c.score")
 
 
 # Assistant, review, evaluation
@@ -489,9 +497,13 @@ def evaluation_of_assessment(spark: SparkSession, sf: str) -> DataFrame:
 # Text
 
 
-@_query()
+@_query(r"""WITH RECURSIVE t AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')), '([.;:]) ', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+ f AS (SELECT doc_id, s, 1 AS i, 0 AS passage, s[1] AS now FROM t UNION ALL
+  SELECT doc_id, s, i + 1, CASE WHEN now <> '' AND length(now) + length(s[i + 1]) + 1 > 900 THEN passage + 1 ELSE passage END,
+   CASE WHEN now = '' OR length(now) + length(s[i + 1]) + 1 > 900 THEN s[i + 1] ELSE now || ' ' || s[i + 1] END FROM f WHERE i < len(s))
+ SELECT doc_id, passage, arg_max(now, i) AS text FROM f GROUP BY 1, 2 HAVING arg_max(now, i) <> ''""")
 def text_passages(spark: SparkSession, sf: str) -> DataFrame:
-    """M2; the split needs a lookbehind, which the oracle's patterns lack."""
+    """M2."""
     return _t(spark, sf, "documents").select("doc_id", F.posexplode(fx.passages(F.col("text"))).alias("passage", "text"))
 
 
