@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op3_near_dup": near_dup.OP3_SQL,
+    "op4_html_text": html_text.OP4_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }
