@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lakewarden import config
@@ -62,13 +62,18 @@ def completeness_score(shares: DataFrame) -> DataFrame:
     return shares.agg(F.bround((1 - F.sum("nulls") / F.sum("rows").cast("double")) * 100, 2).alias("score"))
 
 
-def completeness(df: DataFrame, types: list[Typed], required: list[str] | None) -> Dimension:
+def completeness(df: DataFrame, types: list[Typed], required: list[str] | None, shares: list[Row] | None = None) -> Dimension:
+    """shares: rows of name, rows, null_count and null_pct, if `basics` has run already."""
     fields = {f.name for f in profiled_fields(df)}
     names = [n for n in (df.columns if required is None else required) if n in fields]
     limit = config.THRESHOLDS["completeness"]
     if not names:
         return Dimension("completeness", None, limit, reason="no required columns present")
-    rows = null_shares(df, names).collect()
+    if shares is None:
+        rows = [r.asDict() for r in null_shares(df, names).collect()]
+    else:
+        by = {r["name"]: {"column": r["name"], "rows": r["rows"], "nulls": r["null_count"], "null_pct": r["null_pct"]} for r in shares}
+        rows = [by[n] for n in names]
     total = rows[0]["rows"]
     out = Dimension("completeness", round(100 * (1 - sum(r["nulls"] for r in rows) / (total * len(rows))), 2), limit, evidence={"null_pct_by_column": {r["column"]: r["null_pct"] for r in rows}, "columns_assessed": len(rows)})
     for r in rows:
@@ -137,7 +142,7 @@ def validity_rates(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 def validity(df: DataFrame, types: list[Typed], total: int) -> tuple[Dimension, DataFrame | None]:
     kinds = {t.name: t.semantic_type for t in types if t.semantic_type in config.PATTERNS}
     limit = config.THRESHOLDS["validity"]
-    rates = [r for r in validity_rates(df, kinds).collect() if r["checked"]] if kinds else []
+    rates = [{"column": t.name, "kind": t.semantic_type, "checked": t.filled, "valid": round(t.rate * t.filled)} for t in types if t.name in kinds and t.filled]
     if not rates:
         return Dimension("validity", None, limit, reason="no column has a pattern to check"), None
     checked, valid = sum(r["checked"] for r in rates), sum(r["valid"] for r in rates)

@@ -51,6 +51,7 @@ class Typed:
     data_class: str
     is_freetext: bool
     rate: float  # of whole-cell matches of the type's own pattern; 0 if it has none
+    filled: int = 0  # cells that aren't missing
 
 
 def infer(name: str, kind: T.DataType, rates: Row, mean_length: float | None) -> Typed:
@@ -68,13 +69,14 @@ def infer(name: str, kind: T.DataType, rates: Row, mean_length: float | None) ->
         long = mean_length is not None and mean_length > config.FREETEXT_LENGTH
         found, evidence = ("free_text", "length") if long else ("categorical", "default")
     rate = rates[found] if found in config.PATTERNS else 0.0
-    return Typed(name, found, evidence, config.DATA_CLASS.get(found, config.NON_PERSONAL), found == "free_text", rate)
+    return Typed(name, found, evidence, config.DATA_CLASS.get(found, config.NON_PERSONAL), found == "free_text", rate, rates["non_null"])
 
 
-def typed_columns(df: DataFrame, profiles: DataFrame) -> list[Typed]:
-    """One entry a column; a few numbers a column reach the driver."""
+def typed_columns(df: DataFrame, profiles: DataFrame | list[Row]) -> list[Typed]:
+    """One entry a column; a few numbers a column reach the driver. Of the profiles, `basics` suffice."""
     kinds = {f.name: f.dataType for f in profiled_fields(df)}
-    lengths = {r["name"]: r["mean_length"] for r in profiles.select("name", "mean_length").collect()}
+    rows = profiles.select("name", "mean_length").collect() if isinstance(profiles, DataFrame) else profiles
+    lengths = {r["name"]: r["mean_length"] for r in rows}
     rates = {r["name"]: r for r in match_rates(df).collect()}
     return [infer(n, k, rates[n], lengths.get(n)) for n, k in kinds.items()]
 

@@ -241,7 +241,7 @@ _DIMENSIONS_SQL = (
  a AS (SELECT avg((state IN ('TX', 'FL'))::INT) AS s FROM dirty UNION ALL SELECT avg((signup_date <= last_order_date)::INT) FROM dirty WHERE last_order_date IS NOT NULL UNION ALL SELECT avg((lifetime_value >= 0)::INT) FROM dirty),
  s AS (SELECT 'completeness' AS dimension, round_even((1 - (SELECT sum(nulls) FROM n) / (SELECT sum(rows) FROM n)::DOUBLE) * 100, 2) AS score, 95.0::DOUBLE AS threshold, 1.0::DOUBLE AS w
   UNION ALL SELECT 'uniqueness', round_even((1 - (t - d) / t::DOUBLE) * 100, 2), 99.0, 1.0 FROM k UNION ALL SELECT 'validity', round_even(100.0::DOUBLE * x / c, 2), 98.0, 1.0 FROM v UNION ALL SELECT 'consistency', round_even(100.0::DOUBLE * avg(s), 2), 95.0, 0.5 FROM a)
- SELECT dimension, score, threshold, score >= threshold AS passed FROM s UNION ALL SELECT 'overall', round_even(sum(w * score) / sum(w), 2), NULL, NULL FROM s UNION ALL SELECT 'accuracy', NULL, NULL, NULL UNION ALL SELECT 'timeliness', NULL, NULL, NULL"""
+ SELECT dimension, score, threshold, CASE WHEN score >= threshold THEN 'yes' ELSE 'no' END AS passed FROM s UNION ALL SELECT 'overall', round_even(sum(w * score) / sum(w), 2), NULL, 'not assessed' FROM s UNION ALL SELECT 'accuracy', NULL, NULL, 'not assessed' UNION ALL SELECT 'timeliness', NULL, NULL, 'not assessed'"""
 )
 
 
@@ -249,8 +249,9 @@ _DIMENSIONS_SQL = (
 def quality_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     """Every dimension of the whole assessment, and the overall score."""
     a = pipeline.assess(_dirty(spark, sf), "synthetic", row="row_id")
-    rows = [(d.dimension, d.score, d.threshold, d.passed) for d in a.dimensions] + [("overall", a.overall_score, None, None)]
-    return spark.createDataFrame(rows, "dimension string, score double, threshold double, passed boolean")
+    said = {None: "not assessed", True: "yes", False: "no"}
+    rows = [(d.dimension, d.score, d.threshold, said[d.passed]) for d in a.dimensions] + [("overall", a.overall_score, None, said[None])]
+    return spark.createDataFrame(rows, "dimension string, score double, threshold double, passed string")
 
 
 # Personal data

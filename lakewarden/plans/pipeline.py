@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakewarden import config
 from lakewarden.operators import privacy, quality, retrieval, risk
 from lakewarden.operators.findings import Finding, as_table
-from lakewarden.operators.profiling import profile, profiled_fields
+from lakewarden.operators.profiling import basics, profile, profiled_fields
 from lakewarden.operators.quality import CELL, Dimension
 from lakewarden.operators.typing import Typed, catalog, typed_columns
 from lakewarden.sources.tables import ROW, unique_names, with_row_id
@@ -55,10 +55,10 @@ def assess(df: DataFrame, dataset: str = "table", rules: config.Profile | None =
     if renamed:
         note("headers_renamed", renamed=renamed)
     df = df.withColumnRenamed(row, ROW) if row else with_row_id(df)
-    profiles = profile(df)
-    types = typed_columns(df, profiles) if profiled_fields(df) else []
-    listed = catalog(df, profiles, types)
-    total = df.count()
+    base = basics(df).collect() if profiled_fields(df) else []
+    types = typed_columns(df, base) if base else []
+    listed = catalog(df, profile(df), types)
+    total = base[0]["rows"] if base else df.count()
     note("profiled", columns=len(types), rows=total)
 
     found: list[Finding] = []
@@ -69,7 +69,7 @@ def assess(df: DataFrame, dataset: str = "table", rules: config.Profile | None =
         unique, repeated = quality.uniqueness(df, types, rules.key, total)
         valid, invalid = quality.validity(df, types, total)
         consistent, odd, broken = quality.consistency(df, types, rules.rules, total)
-        dimensions = [quality.completeness(df, types, rules.required), unique, valid, consistent]
+        dimensions = [quality.completeness(df, types, rules.required, base), unique, valid, consistent]
         cells += [c for c in (repeated, invalid, *odd) if c is not None]
         for b in broken:
             note("rule_failed", rule=b)
