@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Arrow batches are cut again so that a task holds about this many characters at a time.
-SLAB_CHARS = 2_000_000
+SLAB_CHARS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,17 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str = "be
     return with_pid.mapInArrow(add, schema).drop("__pid")
 
 
+def hash_sample(df: DataFrame, keys: list[str], rows: int, total: int) -> DataFrame:
+    """At most `rows` rows of df, which has `total`: those with the least hash of their keys.
+
+    A share of the hash range that holds them is cut out first, so that tasks send little more than
+    these rows in all, however many tasks there are."""
+    if total > rows:
+        share = min(1.0, (1.1 * rows + 50) / total)
+        df = df.where(F.pmod(F.xxhash64(*keys, F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return df.orderBy(F.pmod(F.xxhash64(*keys, F.lit(11)), F.lit(1 << 30)), *keys).limit(rows)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int]) -> tuple[list[bytes], list[int]]:
     """Texts and labels of at most rows[y] documents of each label y that aren't held out: those with the least hash of their id.
 
@@ -117,7 +128,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[i
     is on rows, so what the driver receives doesn't grow with the table.
     """
     kept = labels.where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__y"))
-    ranked = [kept.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in rows.items()]
+    counts = {r["__y"]: r["count"] for r in kept.groupBy("__y").count().collect()}
+    chosen = reduce(DataFrame.unionByName, [hash_sample(kept.where(F.col("__y") == y), ["__id"], n, counts.get(y, 0)) for y, n in rows.items()])
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"))
-    found = texts.join(F.broadcast(reduce(DataFrame.unionByName, ranked)), "__id").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(sum(rows.values())).collect()
+    found = texts.join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(sum(rows.values())).collect()
     return [(r["__text"] or "").encode() for r in found], [r["__y"] for r in found]

@@ -133,7 +133,7 @@ def pack(docs: DataFrame, end_id: int = 1, window: int = WINDOW, vocabulary: str
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-        for b in slabs(batches):
+        for b in slabs(batches, chars=2_000_000):
             for doc, ids in zip(b.column(0).to_pylist(), encoder(vocab).encode([t or "" for t in b.column(1).to_pylist()])):
                 ids += end
                 n = len(ids) // 4

@@ -27,6 +27,8 @@ from lakewarden.llm.common import map_text, table
 KINDS = ("email", "ip", "card", "phone")
 #: At most so many documents are learnt from.
 SAMPLE = 400
+#: Documents looked at for each that may be learnt from.
+LOOKED = 20
 LONGEST = 20
 WIDTH = 1 << 12
 
@@ -299,9 +301,13 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE) -> np.ndarray:
-    """Weights from at most `rows` documents with a digit or @: those with the least hash of id and text, and of at most 20,000 characters."""
-    seen = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).where("length(__text) <= 20000 and __text rlike '[0-9@]'")
-    return train([r["__text"] for r in seen.orderBy(F.xxhash64("__id", "__text")).limit(rows).collect()])
+    """Weights from at most `rows` documents with a digit or @ and of at most 20,000 characters, of the LOOKED * rows documents with the least hash of id and text."""
+    looked = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__mark"), F.col("text").cast("string").alias("__text"))
+    total = docs.count()
+    if total > LOOKED * rows:
+        looked = looked.where(F.pmod(F.xxhash64("__id", "__mark", F.lit(5)), F.lit(1 << 30)) < int(LOOKED * rows / total * (1 << 30)))
+    seen = looked.where("length(__text) <= 20000 and __text rlike '[0-9@]'")
+    return train([r["__text"] for r in seen.orderBy(F.xxhash64("__id", "__mark"), "__id").limit(rows).collect()])
 
 
 def detected(docs: DataFrame, w: np.ndarray) -> DataFrame:

@@ -105,8 +105,21 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return run_hashes(data, starts, ends), np.searchsorted(starts, begins)
 
 
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """Each text's distinct k-word shingles as sorted hashes; with fewer words the whole sequence as one; without words none."""
+def shingle_sets(texts: list[bytes], k: int, at_once: int = 500_000) -> list[np.ndarray]:
+    """Each text's distinct k-word shingles as sorted hashes; with fewer words the whole sequence as one; without words none.
+
+    Texts are hashed about `at_once` bytes at a time, whatever their number."""
+    out, part, size = [], [], 0
+    for t in texts:
+        if part and size + len(t) > at_once:
+            out += _shingle_sets(part, k)
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    return out + _shingle_sets(part, k) if part else out
+
+
+def _shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     h, first = words(texts)
     n = len(h)
     if n >= k:

@@ -203,7 +203,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: s
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([count], pa.int64()), pa.array([data], pa.binary())], names=["part", "before", "n_ids", "file"])
 
         count = 0
-        for b in slabs(batches):
+        for b in slabs(batches, chars=2_000_000):
             encoded = encoder(vocab).encode([t or "" for t in b.column(1).to_pylist()])
             for doc, ids in zip(b.column(0).to_pylist(), encoded):
                 held[0].append(_NO_ID if doc is None else doc)

@@ -13,8 +13,8 @@ bounded size; each shard scores its blocks against its queries as matrix product
 returns its best classes only. Scores are computed anew on the vectors found,
 in double precision.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors
-whose length isn't the most common one of the sample. Repeated vec_ids of equal vectors count once.
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do those
+whose length isn't the commonest. Repeated rows count once.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import cut, table
+from lakewarden.llm.common import cut, hash_sample, table
 
 #: Vectors that centroids are learnt from, at most.
 SAMPLE = 20_000
@@ -159,20 +159,22 @@ def _listed(rows: DataFrame, index: Index, ratio: float, most: int) -> DataFrame
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REACH, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query: rows whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
-    valid = _valid(vectors).distinct()
+    valid = _valid(vectors)
+    lengths = valid.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    valid = valid.where(F.size("embedding") == (lengths["n"] if lengths else 0)).distinct()
     # The smallest k + 1 ids of each class; a class of any size is first thinned in parts.
     for part in ([F.pmod(F.xxhash64("vec_id"), F.lit(32))], []):
         order = Window.partitionBy("embedding", *part).orderBy("vec_id")
         kept = (kept if not part else valid).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1).drop("__r")
     members = cut(kept.withColumn("class", F.min("vec_id").over(Window.partitionBy("embedding"))))
     classes = members.where("class = vec_id").select("class", "embedding")
-    sample = _matrix([r["embedding"] for r in classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("embedding").collect()])
+    total = classes.count()
+    sample = _matrix([r["embedding"] for r in hash_sample(classes, ["class"], SAMPLE, total).collect()])
     out = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], out)
     index = build(sample)
 
-    total = classes.count()
     shards = max(1, -(-total * 2 // SHARD_ROWS), min(12, total // 2000))
     spread = max(1, -(-total // (len(index.centroids) * LIST_SIZE * 4)))
     postings = _listed(classes, index, BOUNDARY, COPIES)
