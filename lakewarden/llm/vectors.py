@@ -156,8 +156,10 @@ def _listed(rows: DataFrame, index: Index, ratio: float, most: int) -> DataFrame
     return rows.select("class", "embedding").mapInArrow(run, f"class long, embedding {kind}, list int")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REACH, probes: int = PROBES) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found of each query: rows whose vec_id is divisible by `every`."""
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REACH, probes: int = PROBES, rows: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest found of each query: rows whose vec_id is divisible by `every`.
+
+    Centroids are fitted to at most `rows` vectors, with `list_size` of them a list: larger tables want more of both kinds, which the driver's memory bounds."""
     spark = vectors.sparkSession
     valid = _valid(vectors)
     lengths = valid.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -169,14 +171,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REA
     members = cut(kept.withColumn("class", F.min("vec_id").over(Window.partitionBy("embedding"))))
     classes = members.where("class = vec_id").select("class", "embedding")
     total = classes.count()
-    sample = _matrix([r["embedding"] for r in hash_sample(classes, ["class"], SAMPLE, total).collect()])
+    sample = _matrix([r["embedding"] for r in hash_sample(classes, ["class"], rows, total).collect()])
     out = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], out)
-    index = build(sample)
+    index = build(sample, list_size)
 
-    shards = max(1, -(-total * 2 // SHARD_ROWS), min(12, total // 2000))
-    spread = max(1, -(-total // (len(index.centroids) * LIST_SIZE * 4)))
+    shards = max(1, -(-total * 2 // SHARD_ROWS), min(12, total // 500))
+    spread = max(1, -(-total // (len(index.centroids) * 40_000)))
     postings = _listed(classes, index, BOUNDARY, COPIES)
     # A list of many vectors is cut into `spread` blocks; which shard has a block is fixed by list and block.
     shard = F.pmod(F.xxhash64("list", "block"), F.lit(shards)).cast("int")
