@@ -203,3 +203,13 @@ def test_stream_counts_equal_batch(spark, sf, tmp_path):
 def test_masked_columns(spark):
     df = spark.createDataFrame([("a@b.com", 1)], "email string, n int")
     assert privacy.masked(df, {"email": "email"}).first()["email"] == "a***@b.com"
+
+
+def test_approximate_profile(spark, sf):
+    df = spark.read.parquet(f"{sf}/orders.parquet")
+    exact = {r["name"]: r for r in profiling.profile(df).collect()}
+    near = {r["name"]: r for r in profiling.profile(df, exact=False).collect()}
+    assert exact.keys() == near.keys()
+    for name, r in exact.items():
+        assert abs(near[name]["distinct_count"] - r["distinct_count"]) <= max(3, 0.1 * r["distinct_count"]) and near[name]["samples"] == []
+    assert "Exchange hash" not in profiling.approximate_distincts(df)._jdf.queryExecution().executedPlan().toString()
