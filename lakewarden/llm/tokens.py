@@ -49,7 +49,7 @@ class Encoder:
     space (or is the line break) that led each. Two generations of at most `remember` pieces are held.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
