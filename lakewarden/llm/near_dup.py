@@ -181,10 +181,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def _crossing(buckets: DataFrame, comp: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Who is to be compared in buckets that still hold several components: (key, block, id, partners).
+    """Who is to be compared in buckets that still hold several components: (key, block, part, id, partners).
 
-    A row with partners asks, one without is among the partners of others of its block. A
-    pair is asked about in the first band that it shares only. With `best`, each member asks
+    A row with partners asks, one without is among the partners of others of its part, and a part has at most BLOCK of
+    either. A pair is asked about in the first band that it shares only. With `best`, each member asks
     about the likeliest of each other component and block; without, about all that are likely. The
     pivot has met all members already."""
     label = F.coalesce(F.col("component"), F.col("id"))
@@ -207,7 +207,7 @@ def _crossing(buckets: DataFrame, comp: DataFrame, classes: DataFrame, percent:
                 continue
             regs = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(len(group), REGISTERS)
             n, ids, comps, band = group["n"].to_numpy(), group["id"].to_numpy(), group["comp"].to_numpy(), group["band"].iloc[0]
-            wanted = set()
+            asked: list[tuple[int, np.ndarray]] = []
             for i, c, size, r in zip(who["id"], who["comp"], who["n"], who["registers"]):
                 mine = np.frombuffer(r, np.uint16)
                 ok = np.flatnonzero((comps != c) & (np.minimum(n, size) * 100 >= np.maximum(n, size) * percent))
@@ -223,24 +223,28 @@ def _crossing(buckets: DataFrame, comp: DataFrame, classes: DataFrame, percent:
                     order = np.argsort(-j, kind="stable")
                     ok = ok[order[np.unique(comps[ok[order]], return_index=True)[1]]]
                 if len(ok):
-                    out.append((*place, i, ids[ok].tolist()))
-                    wanted.update(ids[ok].tolist())
-            out += [(*place, i, None) for i in wanted]
-        return pd.DataFrame(out, columns=["key", "block", "id", "partners"])
+                    asked.append((i, ids[ok]))
+            for a in range(0, len(asked), BLOCK):
+                wanted = np.unique(np.concatenate([x for _, x in asked[a : a + BLOCK]]))
+                for b in range(0, len(wanted), BLOCK):
+                    here, part = wanted[b : b + BLOCK], a // BLOCK << 16 | b // BLOCK
+                    out += [(*place, part, i, x[np.isin(x, here)].tolist()) for i, x in asked[a : a + BLOCK] if np.isin(x, here).any()]
+                    out += [(*place, part, x, None) for x in here.tolist()]
+        return pd.DataFrame(out, columns=["key", "block", "part", "id", "partners"])
 
-    return rows.groupBy("slot").applyInPandas(meet, "key long, block int, id long, partners array<long>")
+    return rows.groupBy("slot").applyInPandas(meet, "key long, block int, part int, id long, partners array<long>")
 
 
 def _answered(asked: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among the pairs that _crossing asks about, verified on full sets, a block's texts at a time."""
+    """Links (a, b) among the pairs that _crossing asks about, verified on full sets, a part's texts at a time."""
     asked = cut(asked)
     slots = max(1, asked.count() // BLOCK)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = asked.join(texts, "id").select(F.pmod(F.xxhash64("key", "block"), F.lit(slots)).alias("slot"), "key", "block", "id", "partners", "text")
+    rows = asked.join(texts, "id").select(F.pmod(F.xxhash64("key", "block", "part"), F.lit(slots)).alias("slot"), "key", "block", "part", "id", "partners", "text")
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, rows in group.groupby(["key", "block"]):
+        for _, rows in group.groupby(["key", "block", "part"]):
             sets = dict(zip(rows["id"], tx.shingle_sets([(t or "").encode() for t in rows["text"]], k)))
             for i, partners in zip(rows["id"], rows["partners"]):
                 out += [(min(i, x), max(i, x)) for x in (partners if partners is not None else ()) if x in sets and _linked(sets[i], sets[x], percent)]
@@ -249,27 +253,40 @@ def _answered(asked: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return rows.groupBy("slot").applyInPandas(check, "a long, b long").distinct()
 
 
+def _merged(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b): links are drawn between components, which are few."""
+    of = {x: comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
+    drawn = more.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
+    joined = components(drawn)
+    moved = comp.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # A component's smallest node isn't a row of its own; if it moved, it is one now, and so is a node new to comp.
+    fresh = joined.join(comp.select("node"), "node", "left_anti")
+    return cut(moved.unionByName(fresh))
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; see the module's text. Repeated doc_ids share a row each."""
     found = cut(sketches(docs, k))
     full = found.where("n > 0 and doc_id is not null")
     rep = full.groupBy("n", "digest").agg(F.min("doc_id").alias("id"))
-    first = full.groupBy("doc_id", "n", "digest").agg(F.min("registers").alias("registers"))
-    # One row a class: the digest's smallest id carries the registers, which are equal for all.
-    classes = cut(first.join(rep.withColumnRenamed("id", "doc_id"), ["doc_id", "n", "digest"]).select(F.col("doc_id").alias("id"), "n", "digest", "registers"))
+    # One row a class: its smallest id carries the registers, which are equal for all.
+    own = full.join(rep.withColumnRenamed("id", "doc_id"), ["doc_id", "n", "digest"])
+    classes = cut(own.groupBy("doc_id", "n", "digest").agg(F.min("registers").alias("registers")).withColumnRenamed("doc_id", "id"))
     texts = docs.select("doc_id", "text")
 
     bands = _bands(classes)
     # The pivot is the least by one hash, so that buckets of the same documents tend to share it.
     crowded = cut(bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("pivot")).where("c > 1").drop("c"))
     buckets = cut(_bands(classes).join(crowded, "key"))
+    # From here on only classes that share a bucket matter.
+    active = cut(classes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "n", "registers"))
     pairs = buckets.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    links = cut(verified(_likely(pairs, classes, percent), texts, k, percent))
+    links = cut(verified(_likely(pairs, active, percent), texts, k, percent))
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     for best in (True, False):
-        more = _answered(_crossing(buckets, comp, classes, percent, best), texts, k, percent)
-        edges = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        comp = components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        more = cut(_answered(_crossing(buckets, comp, active, percent, best), texts, k, percent))
+        if not more.isEmpty():
+            comp = _merged(comp, more)
 
     by_class = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("n", "digest", F.coalesce("component", "id").alias("component"))
     out = found.join(by_class, ["n", "digest"], "left")
