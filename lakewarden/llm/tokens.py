@@ -11,6 +11,7 @@ constant and shrink to nothing.
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 import zlib
@@ -87,6 +88,14 @@ class Encoder:
                 cache[p] = raw[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Millions of strings and no cycles are made here, so the cycle collector rests meanwhile."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " \n").split(" ") for t in texts]
         if len(self.young) > self.remember:
             self.young, self.old = {}, self.young
@@ -121,10 +130,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and vocabulary."""
+def encoder(path: str, remember: int = 400_000) -> Encoder:
+    """One for each worker process and vocabulary; it remembers as much as was asked for last."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].remember = remember
     return _encoders[path]
 
 
@@ -204,7 +214,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: s
 
         count = 0
         for b in slabs(batches, chars=2_000_000):
-            encoded = encoder(vocab).encode([t or "" for t in b.column(1).to_pylist()])
+            encoded = encoder(vocab, 450_000).encode([t or "" for t in b.column(1).to_pylist()])
             for doc, ids in zip(b.column(0).to_pylist(), encoded):
                 held[0].append(_NO_ID if doc is None else doc)
                 held[1].append(len(ids) // 4 + 1)
