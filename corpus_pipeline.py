@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; documents without an id stay."""
-    gone = near_dup.near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    """One document of each group of near-duplicates by sets of five words; documents without an id stay."""
+    gone = near_dup.near_duplicates(docs, k=5, percent=80).where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
