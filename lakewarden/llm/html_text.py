@@ -1,10 +1,10 @@
 """Main text of web pages by differencing each page with its nearest pages by URL.
 
 A page becomes text lines (one a block) with the part of the page each stands in. Pages are put
-in order of host and URL path and cut into runs of NEIGHBOURS pages; within a run, each page is aligned
-with the nearest page of its host by path on either side by the longest common
-subsequence of lines, and the shared lines are deleted. A neighbour with all the same lines tells
-nothing (the pages are copies), so the next one is taken.
+in order of host and URL path. Adjacent pages of a host with all the same lines are copies, which tell
+nothing about each other, and make one entry. Each entry is aligned with the entry of its host on either side by
+the longest common subsequence of lines, and the shared lines are deleted. Entries are cut into
+runs of NEIGHBOURS, and a run gets the last entry before and the first after it too.
 
 What the alignment may delete are lines whose part of the page is unknown. Lines of menus, headers,
 footers, sidebars, notices, adverts, forms and comments, which pages mark by elements, roles or
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm import text as tx
-from lakewarden.llm.common import map_text, running_total, table
+from lakewarden.llm.common import cut, map_text, running_total, table
 
 NEIGHBOURS = 16
 CHROME, UNKNOWN, MAIN = 0, 1, 2
@@ -171,30 +171,45 @@ def outlines(pages: DataFrame) -> DataFrame:
     return map_text(rows, run, "mark long, host string, path string, lines array<long>")
 
 
+def entries(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mark, entry) of each page with lines of unknown part, and (entry, host, lines): an entry stands for adjacent pages
+    of a host with the same lines, and entries are numbered in order of host and path."""
+    ranked = cut(running_total(outlines(pages).distinct().withColumn("__one", F.lit(1).cast("long")), [F.col("host"), F.col("path"), F.col("mark")], "__one", "rank"))
+    page = F.xxhash64("host", "lines")
+    before = ranked.select((F.col("rank") + 1).alias("rank"), page.alias("__before"))
+    is_first = F.coalesce(page != F.col("__before"), F.lit(True))
+    marked = ranked.join(before, "rank", "left").withColumn("first", is_first.cast("long"))
+    rows = marked.select("rank", "mark", "host", F.when(F.col("first") == 1, F.col("lines")).alias("lines"), "first")
+    numbered = cut(running_total(rows, [F.col("rank")], "first").withColumn("entry", F.col("before") + F.col("first") - 1))
+    return numbered.select("mark", "entry"), numbered.where("first = 1").select("entry", "host", "lines")
+
+
 def shared_lines(pages: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """mark and the numbers, among its lines of unknown part, of those that each page shares with its nearest pages.
 
-    A run holds a fixed number of pages, whatever the sizes of hosts are."""
-    ranked = running_total(outlines(pages).distinct().withColumn("__one", F.lit(1).cast("long")), [F.col("host"), F.col("path"), F.col("mark")], "__one", "rank")
+    A run holds a fixed number of entries, whatever the sizes of hosts are, besides the last one before and the first one after it."""
+    marks, every = entries(pages)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank")
+        group = group.sort_values("entry")
         rows = [(h, list(x)) for h, x in zip(group["host"], group["lines"])]
+        own = group["own"].tolist()
         out = []
-        for i, (host, own) in enumerate(rows):
-            gone: set[int] = set()
-            for way in (-1, 1):
-                j = i + way
-                while 0 <= j < len(rows) and rows[j][0] == host:
-                    if rows[j][1] != own:
-                        gone.update(aligned(own, rows[j][1]))
-                        break
-                    j += way
-            out.append(sorted(gone))
-        return pd.DataFrame({"mark": group["mark"], "gone": out})
-
-    runs = ranked.withColumn("run", F.floor(F.col("rank") / neighbours))
-    return runs.groupBy("run").applyInPandas(run, "mark long, gone array<int>").where("size(gone) > 0").groupBy("mark").agg(F.first("gone").alias("gone"))
+        for i, (host, mine) in enumerate(rows):
+            if own[i]:
+                gone: set[int] = set()
+                for j in (i - 1, i + 1):
+                    if 0 <= j < len(rows) and rows[j][0] == host:
+                        gone.update(aligned(mine, rows[j][1]))
+                out.append(sorted(gone))
+        return pd.DataFrame({"entry": group.loc[group["own"], "entry"].to_numpy(), "gone": pd.Series(out, dtype=object)})
+
+    at = F.floor(F.col("entry") / neighbours)
+    # An entry at the end of a run is the neighbour of the next run's first one, and the other way round.
+    beside = F.array_distinct(F.array(*[F.floor((F.col("entry") + way) / neighbours) for way in (0, -1, 1)]))
+    runs = every.withColumn("run", F.explode(beside)).withColumn("own", F.col("run") == at)
+    gone = runs.groupBy("run").applyInPandas(run, "entry long, gone array<int>").where("size(gone) > 0")
+    return marks.join(gone, "entry").groupBy("mark").agg(F.first("gone").alias("gone"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
