@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm import mixing, near_dup, packing, pii, quality
-from lakewarden.llm.common import ensure_checkpoint_dir, table
+from lakewarden.llm.common import cut, ensure_checkpoint_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by sets of five words; documents without an id stay."""
-    gone = near_dup.near_duplicates(docs, k=5, percent=80).where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each group of near-duplicates by sets of five words: the one with the smallest doc_id, null last.
+
+    Rows are told apart by a number, as ids may be null or repeated. Rows without words are in no group and stay."""
+    path = f"{ensure_checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    found = near_dup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k=5, percent=80)
+    groups = cut(found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")))
+    crowded = groups.groupBy("__group").agg(F.count("*").alias("__n")).where("__n > 1").select("__group")
+    members = groups.join(crowded, "__group").join(rows.select("__row", F.col("doc_id").cast("long").alias("__id")), "__row")
+    first = members.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("nameless"), "__id", "__row"))["__row"].alias("__first"))
+    gone = members.join(first, "__group").where("__row <> __first").select(F.col("__row").alias("__gone"))
+    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
