@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -21,19 +23,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
+    """The shared folder that the cluster names. Where it names none, one of our own serves in local mode; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakewarden-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakewarden-"))
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder for a table that results are read from; it is removed when Python exits."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        except Exception:  # the JVM may be gone before Python is
+            pass
+
+    atexit.register(remove)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder, so that later steps neither run it again nor need the executors that made it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs as a written table of two columns: n, a number of the row's own, and row, which holds all its columns, whatever their names."""
+    spark = docs.sparkSession
+    path = scratch(spark, "rows")
+    docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn labels from: crc32 of the id as text, modulo 5, is 0. A null id is never held out nor learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -88,11 +88,62 @@ def test_fill_is_the_closest_sum(counts, room):
     assert sum(x * k for x, k in chosen.items()) == room - slack == max(s for s in reach if s <= room)
 
 
-def test_patterns_use_every_length_once():
-    counts = {5: 7, 9: 3, 16: 2, 3: 11}
-    used = {}
-    for chosen, times, slack in packing.patterns(counts, 16):
-        assert sum(x * k for x, k in chosen.items()) + slack == 16
-        for x, k in chosen.items():
-            used[x] = used.get(x, 0) + k * times
-    assert used == counts
+def placed_ids(pieces, n):
+    by = {}
+    for p in pieces:
+        by.setdefault(p[5], []).append((p[6], p[2]))
+    for seq in by.values():
+        end = 0
+        for offset, length in sorted(seq):
+            assert offset == end and length > 0
+            end += length
+        assert end <= n
+    return by
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 15), max_size=40), st.integers(1, 3))
+def test_packer_leaves_less_than_a_window_and_no_slack(lengths, pools):
+    packer, out = packing.Packer(16), []
+    for i, n in enumerate(lengths):
+        out += packer.add((i, 0, np.arange(n, dtype="<u4").tobytes(), n))
+        if i % (len(lengths) // pools + 1) == 0:
+            out += packer.pack()
+            assert packer.ids < 16
+    out += packer.pack()
+    full = placed_ids(out, 16)
+    assert all(sum(x for _, x in v) == 16 for v in full.values())
+    out += packer.rest()
+    assert len(placed_ids(out, 16)) == -(-sum(lengths) // 16)
+    for i, n in enumerate(lengths):
+        mine = sorted((p[1], p[7]) for p in out if p[0] == i)
+        assert b"".join(x for _, x in mine) == np.arange(n, dtype="<u4").tobytes()
+        assert [a for a, _ in mine] == np.cumsum([0] + [len(x) // 4 for _, x in mine])[:-1].tolist()
+
+
+@pytest.mark.parametrize("parts", [1, 8, 100])
+def test_little_padding_however_rows_are_split(spark, parts):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack(docs.repartition(parts)).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    used = [r[1] for r in got]
+    assert max(used) <= 2048 and sum(used) >= 0.995 * 2048 * len(used)
+
+
+def test_little_padding_of_equal_lengths(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "repeat('a ', 1499) as text")
+    got = packing.pack(docs).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert sum(r[1] for r in got) >= 0.995 * 2048 * len(got)
+
+
+def test_registered_packing_over_the_whole_table(spark, sf, plain):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    by = {}
+    for r in packing.op9_packing(spark, sf).collect():
+        by.setdefault(r["doc_id"], []).append(r)
+    assert by.keys() == {d["doc_id"] for d in docs}
+    for d in docs:
+        ids, at = np.append(plain(d["text"]), np.uint32(1)).astype("<u4"), 0
+        for r in sorted(by[d["doc_id"]], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids)) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
