@@ -5,13 +5,16 @@ order, null last, weigh 1, 2, 3 and so on again; their targets share all words b
 at `copies` times the source's size, and what is above is shared out again by weight.
 
 Each source's documents are shuffled by a hash of their ids and stand in a queue, `copies` times
-over. A document's virtual finish time is the number of its source's words up to its
-end, divided by the source's target. Served in that order, every source has had exactly its target at
-virtual time 1, which is where the budget (all words) ends, so the mix is cut there, by words.
-`mixture` returns documents dealt and sorted by virtual finish time.
-
-One row a source goes through one task and one sum a partition through the driver; documents of a hot source are
-dealt by range of their hash. Repeated ids and texts are documents of their own.
+over. A document longer than QUANTUM words is served in packets of so many. A packet's virtual finish time is the number of
+its source's words up to its end, divided by the source's target. All packets are sorted by it, over ranges, and
+a running total cuts them where the budget (all words) ends; the packet at the cut is taken in part. So every
+source gets its target but for a packet at most, and the budget is met to the word.
+`mixture` returns whole documents, sorted by the virtual finish time of their last packet.
+
+One row a source goes through one task, as many sources as there are, and one sum a partition through the driver; documents of a hot
+source are dealt by range of their hash, and packets by range of their finish time. Null and repeated ids and equal rows are
+documents of their own; texts without words are never taken; very long texts are counted whole; an empty table gives no rows.
+Other columns are left out by the query, and kept by `mixture`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,23 +25,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewarden.llm import text as tx
-from lakewarden.llm.common import cut, map_text, running_total, table, utf8
+from lakewarden.llm.common import cut, map_text, numbered, running_total, table, utf8
 
 SEED = ":mix"
+#: Words that a source is served at a time, at most.
+QUANTUM = 256
 #: Up to so many sources their targets are sent to all tasks; beyond, rows are joined by source.
 SOURCES = 100_000
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, mark (a hash of the text) and size."""
+    """n (the row's number), doc_id, source, mark (a hash of the text) and size. docs may lack n: it is null then."""
 
     def run(slab: pa.RecordBatch) -> pa.RecordBatch:
-        data, begins = tx.lay(utf8(slab.column(3)))
+        data, begins = tx.lay(utf8(slab.column(4)))
         starts, _ = tx.word_runs(data)
-        return pa.RecordBatch.from_arrays([*slab.columns[:3], pa.array(np.diff(np.searchsorted(starts, begins)), pa.int64())], names=["doc_id", "source", "mark", "size"])
+        return pa.RecordBatch.from_arrays([*slab.columns[:4], pa.array(np.diff(np.searchsorted(starts, begins)), pa.int64())], names=["n", "doc_id", "source", "mark", "size"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    return map_text(rows, run, "doc_id long, source string, mark long, size long")
+    n = F.col("n").cast("long") if "n" in docs.columns else F.lit(None).cast("long")
+    rows = docs.select(n.alias("n"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    return map_text(rows, run, "n long, doc_id long, source string, mark long, size long")
 
 
 def _source_order() -> list[Column]:
@@ -66,41 +72,44 @@ def targets(sized: DataFrame, copies: int = 3) -> DataFrame:
 
 
 def queued(docs: DataFrame, copies: int = 3) -> DataFrame:
-    """doc_id, source, mark, size, source_size, target and start (words of its source before it)."""
+    """n, doc_id, source, size, source_size, target, at (words of all rows before it, in source order) and start (those of its source). docs: doc_id, source, text, and n if rows have a number."""
     sized = cut(_sized(docs))
     by = cut(targets(sized, copies).withColumnRenamed("source", "of"))
     by = F.broadcast(by) if by.count() <= SOURCES else by
-    order = [*_source_order(), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED)).cast("binary")), F.col("doc_id"), F.col("mark")]
-    rows = running_total(sized, order, "size")
-    return rows.join(by, F.col("source").eqNullSafe(F.col("of"))).withColumn("start", F.col("before") - F.col("base")).drop("of", "before", "base")
+    order = [*_source_order(), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED)).cast("binary")), F.col("doc_id"), F.col("mark"), F.col("n")]
+    rows = running_total(sized, order, "size", "at")
+    return rows.join(by, F.col("source").eqNullSafe(F.col("of"))).withColumn("start", F.col("at") - F.col("base")).drop("of", "base", "mark", "source")
 
 
-def _taken(copies: int) -> list[Column]:
-    """Words taken of each copy: those that end by virtual time 1."""
-    left = F.floor("target")
-    return [F.greatest(F.lit(0), F.least(F.col("size"), left - (F.col("start") + F.col("source_size") * k))) for k in range(copies)]
+def served(rows: DataFrame, copies: int = 3, quantum: int = QUANTUM) -> DataFrame:
+    """at, copy (from 0), taken (words) and finish (of the last packet taken) of each document and copy of `queued` rows that is served at all."""
+    some = rows.where("size > 0").select("at", "size", "source_size", "target", "start", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    step = F.lit(quantum).cast("long")
+    packets = some.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, step))).withColumn("words", F.least(step, F.col("size") - F.col("begin")))
+    finish = (F.col("start") + F.col("source_size") * F.col("copy") + F.col("begin") + F.col("words")) / F.col("target")
+    budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # Of packets that finish at once, those of earlier sources come first: `at` counts through the sources.
+    line = running_total(packets.select("at", "copy", "words", finish.alias("finish")), [F.col("finish"), F.col("at"), F.col("copy")], "words", "served")
+    given = line.where(F.col("served") < budget).withColumn("taken", F.least(F.col("words"), F.lit(budget) - F.col("served")))
+    return given.groupBy("at", "copy").agg(F.sum("taken").alias("taken"), F.max("finish").alias("finish"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = queued(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", sum(_taken(3)[1:], _taken(3)[0]).cast("long").alias("taken"))
+    rows = cut(queued(table(spark, sf_dir, "documents")))
+    # Rows without words share `at` with a row that has some; they take nothing.
+    taken = served(rows).groupBy(F.col("at").alias("of")).agg(F.sum("taken").alias("taken"))
+    joined = rows.join(taken, (F.col("at") == F.col("of")) & (F.col("size") > 0), "left")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame, copies: int = 3) -> DataFrame:
-    """docs' rows as the mix takes them (whole documents; the last of a source if at least half of it is taken), up to
-    `copies` times each, dealt and sorted by virtual finish time. Columns are docs' own."""
-    parts = _taken(copies)
-    whole = F.array(*[F.when((F.col("size") > 0) & (p * 2 >= F.col("size")), (F.col("start") + F.col("size") + F.col("source_size") * k) / F.col("target")) for k, p in enumerate(parts)])
-    keys = ["__id", "__source", "__mark"]
-    times = queued(docs, copies).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("mark").alias("__mark"), F.filter(whole, lambda x: x.isNotNull()).alias("__t"))
-    # Equal rows have one entry between them, and deal its times out in turn.
-    times = times.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("__t"))).alias("__t"), F.count("*").alias("__n")).where(F.size("__t") > 0)
-    named = docs.withColumns({"__id1": F.col("doc_id").cast("long"), "__source1": F.col("source").cast("string"), "__mark1": F.xxhash64("text")})
-    on = F.col("__id").eqNullSafe(F.col("__id1")) & F.col("__source").eqNullSafe(F.col("__source1")) & (F.col("__mark") == F.col("__mark1"))
-    single = named.join(times.where("__n = 1"), on)
-    again = named.join(times.where("__n > 1"), on).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).withColumn("__t", F.expr("filter(__t, (x, i) -> i % __n = __r - 1)"))
-    rows = single.unionByName(again.drop("__r")).withColumn("__finish", F.explode("__t"))
-    return rows.repartitionByRange("__finish").sortWithinPartitions("__finish", "__id1").select(*docs.columns)
+    """docs' rows as the mix takes them (whole documents, if at least half of their words are taken), up to `copies` times each,
+    dealt and sorted by virtual finish time. Columns are docs' own, whatever their names."""
+    kept = numbered(docs)
+    rows = cut(queued(kept.select("n", "row.doc_id", "row.source", "row.text"), copies))
+    times = served(rows, copies).join(rows.where("size > 0").select(F.col("at").alias("of"), "n", "size"), F.col("at") == F.col("of")).where(F.col("taken") * 2 >= F.col("size"))
+    mixed = kept.join(times.select(F.col("n").alias("of"), "finish"), F.col("n") == F.col("of"))
+    return mixed.repartitionByRange("finish").sortWithinPartitions("finish", "n").select("row.*")
 
 
 OP6_SQL = r"""
@@ -115,10 +124,17 @@ WITH s AS (
 ), t AS (
   SELECT source, source_size, least(most::DOUBLE, (max(level) OVER ()) * weight) AS target FROM c
 ), q AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':mix'), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST, h, doc_id) AS place,
+    (coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start
+  FROM (SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS h FROM s)
+), p AS (
+  SELECT place, copy, begin, least(256, size - begin) AS words, (start + source_size * copy + begin + least(256, size - begin))::DOUBLE / target AS finish
+  FROM (SELECT q.*, t.source_size, t.target, k.copy, unnest(range(0, q.size, 256)) AS begin FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1), (2)) k(copy))
+), f AS (
+  SELECT *, sum(words) OVER (ORDER BY finish, place, copy, begin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS served FROM p
+), g AS (
+  SELECT place, sum(greatest(0, least(words, (SELECT sum(size) FROM s) - served)))::BIGINT AS taken FROM f GROUP BY place
 )
-SELECT q.doc_id, q.size, t.source_size, t.target,
-  (greatest(0, least(q.size, floor(t.target)::BIGINT - q.start)) + greatest(0, least(q.size, floor(t.target)::BIGINT - q.start - t.source_size))
-   + greatest(0, least(q.size, floor(t.target)::BIGINT - q.start - 2 * t.source_size)))::BIGINT AS taken
-FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source
+SELECT q.doc_id, q.size, t.source_size, t.target, coalesce(g.taken, 0)::BIGINT AS taken
+FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source LEFT JOIN g USING (place)
 """

@@ -68,7 +68,8 @@ def test_mix_equals_sql(spark, tmp_path):
         assert 0 <= k <= 3 * size
         taken[by[d]] = taken.get(by[d], 0) + k
         target[by[d]] = t
-    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    assert all(abs(taken[s] - target[s]) <= mixing.QUANTUM for s in target)
+    assert sum(taken.values()) == sum(g[1] for g in got)  # the budget is met to the word
     assert abs(sum(target.values()) - sum(g[1] for g in got)) < 1e-6
 
 
@@ -87,6 +88,37 @@ def test_mixture_repeats_whole_rows(spark):
     assert got.where("doc_id = 7").count() >= 2
 
 
+def test_packets_are_served_by_virtual_finish_time(spark):
+    r = random.Random(5)
+    data = [(i, "w " * r.choice([0, 1, 7, 300, 900, 2000]), r.choice("abcd"), "x") for i in range(60)] + [(60, "w " * 50_000, "e", "x")]
+    rows = mixing.queued(_mixed(spark, data)).collect()
+    line = []
+    for x in rows:
+        for copy in range(3):
+            for begin in range(0, x["size"], 256):
+                n = min(256, x["size"] - begin)
+                line.append(((x["start"] + x["source_size"] * copy + begin + n) / x["target"], x["at"], copy, n))
+    left, want = sum(x["size"] for x in rows), {}
+    for finish, at, copy, n in sorted(line):
+        n = min(n, left)
+        left -= n
+        if n:
+            want[at, copy] = want.get((at, copy), 0) + n
+    got = {(x["at"], x["copy"]): x["taken"] for x in mixing.served(mixing.queued(_mixed(spark, data))).collect()}
+    assert got == want
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    names = ["n", "row", "of", "at", "finish", "__finish", "taken", "size", "__id", "copy"]
+    df = _mixed(spark, [(i, "w " * 10, "ab"[i % 2], "x") for i in range(20)] + [(None, "w w", None, None)] * 3)
+    for k, name in enumerate(names):
+        df = df.withColumn(name, df["doc_id"] * 10 + k)
+    got = mixing.mixture(df)
+    assert got.columns == df.columns
+    for r in got.collect():
+        assert all(r[name] == (None if r["doc_id"] is None else r["doc_id"] * 10 + k) for k, name in enumerate(names))
+
+
 PAGE = "<html><head><title>T</title><script>x</p></script></head><body><nav><ul><li>Home<li>About</ul></nav>{}<footer>&copy; us</footer></body>"
 
 
