@@ -3,7 +3,7 @@
 A document's set is its distinct k-word shingles (lower-cased A-Z, words are runs of
 non-white-space). Steps, each a Spark job over all documents:
 
-1. Every document becomes its set's size, a 128-bit digest of the set, and `registers`
+1. Every document becomes its set's size, a 128-bit digest of the set (of two independent keyed hashes of each shingle), and `registers`
    SetSketch registers: exponentially spaced truncated minima, in which an element's j-th
    value lies in the j-th quantile interval of the exponential distribution, so that most
    elements need one value only. Sketches of two parts merge by the larger register.
@@ -13,11 +13,12 @@ non-white-space). Steps, each a Spark job over all documents:
    similarity from both sketches drops pairs far below the threshold, the rest are
    verified on full sets. Verified links give connected components.
 5. In buckets whose members are still in several components, every member outside the
-   bucket's first component meets the members of other components, in blocks of bounded
-   size: first the likeliest of each component and block, and in a second round all that
+   bucket's largest component meets the members of other components, so many that ask by so many that
+   answer in a block: first the likeliest of each component and block, and in a second round all that
    are likely. Again estimate, then verification. Pairs within a component can no longer
    change the result and are not made.
 
+Verification compares the shingles' words themselves, in groups of texts bounded by number and bytes.
 Nothing is capped: a bucket of any size is cut into blocks. The chance that a pair at
 similarity 0.8 shares no band is (1 - 0.8^6)^42 = 3e-6.
 
@@ -43,8 +44,10 @@ REGISTERS, ROWS, BANDS = 256, 6, 42
 BASE = 1.001
 #: Estimates of similarity have a standard error of about 0.025; pairs 4 of these below the threshold are dropped.
 MARGIN = 0.1
-#: Texts, and members of a bucket by their sketches, that one task holds at a time.
-BLOCK, MEET = 256, 4096
+#: Texts, and members of a bucket by their sketches, that one group holds: of those that ask and of those that answer each.
+BLOCK, MEET = 256, 512
+#: Bytes of text that one group holds, if no single pair of texts is longer.
+BLOCK_BYTES = 16_000_000
 U = np.uint64
 
 
@@ -71,10 +74,10 @@ def sketch(s: np.ndarray, m: int = REGISTERS) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)) + 8000, 1, 65535).astype(np.uint16)
 
 
-def digest(s: np.ndarray) -> bytes:
-    """128 bits that depend on the set only."""
+def digest(s: np.ndarray, t: np.ndarray) -> bytes:
+    """128 bits that depend on the set only, given as two hashes of each element."""
     with np.errstate(over="ignore"):
-        return np.array([tx.mix(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U), tx.mix(s ^ U(0x9FB21C651E98DF25)).sum(dtype=U)], U).tobytes()
+        return np.array([tx.mix(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U), tx.mix(t ^ U(0x9FB21C651E98DF25)).sum(dtype=U)], U).tobytes()
 
 
 def similarity(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray) -> np.ndarray:
@@ -101,16 +104,23 @@ def similarity(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray) -
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), digest and registers of every document."""
+    """doc_id, n (set size), bytes (of the text), digest and registers of every document."""
 
     def run(slab: pa.RecordBatch) -> pa.RecordBatch:
-        sets = tx.shingle_sets(utf8(slab.column(1)), k)
+        texts = utf8(slab.column(1))
+        sets = tx.shingle_sets(texts, k)
         return pa.RecordBatch.from_arrays(
-            [slab.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-            names=["doc_id", "n", "digest", "registers"],
+            [
+                slab.column(0),
+                pa.array([len(s) for s, _ in sets], pa.int64()),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([digest(s, t) for s, t in sets], pa.binary()),
+                pa.array([sketch(s).tobytes() if len(s) else None for s, _ in sets], pa.binary()),
+            ],
+            names=["doc_id", "n", "bytes", "digest", "registers"],
         )
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, digest binary, registers binary")
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, bytes long, digest binary, registers binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -130,9 +140,9 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow the threshold."""
-    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+    """Pairs (a, b, bytes of both texts) whose sizes and sketches allow the threshold."""
+    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"), F.col("bytes").alias("sa"))
+    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"), F.col("bytes").alias("sb"))
     near = pairs.join(right, "b").join(left, "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +151,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 r = [np.frombuffer(b"".join(x.as_buffer() for x in b.column(c)), np.uint16).reshape(-1, REGISTERS) for c in (4, 5)]
                 j = similarity(r[0], r[1], b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float))
                 keep = pa.array(j * 100 >= percent - 100 * MARGIN)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(keep)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(6)], names=["a", "b", "bytes"]).filter(keep)
 
-    return near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return near.select("a", "b", "na", "nb", "ra", "rb", (F.col("sa") + F.col("sb")).alias("bytes")).mapInArrow(run, "a long, b long, bytes long")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -155,16 +165,22 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * size
 
 
+def _slots(rows: DataFrame) -> int:
+    """Into how many groups rows are dealt that verification reads, by their number and their column of bytes."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return max(1, n // BLOCK, size // BLOCK_BYTES)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on full sets.
 
     The texts of b travel to the pairs; the text of a is sent once to each block of about
-    BLOCK partners, so that an a with many partners is spread over many tasks.
+    BLOCK partners or BLOCK_BYTES, so that an a with many partners is spread over many tasks.
     """
     pairs = cut(pairs)
-    slots = max(1, pairs.count() // BLOCK)
+    slots = _slots(pairs)
     slot = F.pmod(F.xxhash64("a", "block"), F.lit(slots)).alias("slot")
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = pairs.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
     placed = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("b"), F.col("text").cast("string").alias("text"))
     right = placed.join(texts, "b").select(slot.alias("in_slot"), F.col("a").alias("of"), "b", F.col("text").alias("theirs"))
@@ -172,41 +188,47 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     def check(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         ours = ours.drop_duplicates("a")
-        firsts = dict(zip(ours["a"], tx.shingle_sets([(t or "").encode() for t in ours["text"]], k)))
-        sets = tx.shingle_sets([(t or "").encode() for t in theirs["theirs"]], k)
-        good = [_linked(firsts[of], s, percent) for of, s in zip(theirs["of"], sets)]
+        sets = tx.exact_sets([(t or "").encode() for t in [*ours["text"], *theirs["theirs"]]], k)
+        firsts = dict(zip(ours["a"], sets))
+        good = [_linked(firsts[of], s, percent) for of, s in zip(theirs["of"], sets[len(ours) :])]
         return theirs.loc[good, ["of", "b"]].rename(columns={"of": "a"})
 
     return left.groupBy("slot").cogroup(right.groupBy("in_slot")).applyInPandas(check, "a long, b long")
 
 
 def _crossing(buckets: DataFrame, comp: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Who is to be compared in buckets that still hold several components: (key, block, part, id, partners).
+    """Who is to be compared in buckets that still hold several components: (key, block, part, id, bytes, partners).
 
     A row with partners asks, one without is among the partners of others of its part, and a part has at most BLOCK of
-    either. A pair is asked about in the first band that it shares only. With `best`, each member asks
+    either and about BLOCK_BYTES of text. A pair is asked about in the first band that it shares only. With `best`, each member asks
     about the likeliest of each other component and block; without, about all that are likely. The
     pivot has met all members already."""
     label = F.coalesce(F.col("component"), F.col("id"))
     others = buckets.where("id <> pivot").select("key", "band", "id")
-    members = others.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", label.alias("comp"))
-    parts = members.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.ceil(F.count("*") / F.lit(MEET)).cast("int").alias("blocks")).where("first <> last")
-    held = cut(members.join(parts, "key").select("key", "band", "id", "comp", "blocks", (F.col("comp") != F.col("first")).alias("asks")))
+    members = cut(others.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", label.alias("comp")))
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    # All but the members of the largest component ask.
+    parts = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("most < all")
+    parts = parts.select("key", "main", F.ceil(F.col("all") / F.lit(MEET)).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / F.lit(MEET)).cast("int").alias("askers"))
+    held = cut(members.join(parts, "key").join(classes.select("id", "n", "bytes", "registers"), "id"))
     slots = max(1, held.count() // BLOCK)
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    # A member stands in its own block; one that asks goes to the others too.
-    places = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    rows = held.withColumn("own", own).withColumn("block", F.explode(places)).join(classes.select("id", "n", "registers"), "id")
-    rows = rows.select(F.pmod(F.xxhash64("key", "block"), F.lit(slots)).alias("slot"), "key", "band", "block", "id", "comp", "n", "registers", "asks", (F.col("own") == F.col("block")).alias("answers"))
+    # A block is a block of those that ask by one of those that answer; a member stands in all blocks of its own row or column.
+    row, column = F.pmod(F.xxhash64("id", F.lit(1)), F.col("askers")).cast("int"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    answer = F.transform(span("askers"), lambda r: F.struct((r * F.col("blocks") + column).alias("block"), F.lit(False).alias("asks")))
+    ask = F.when(F.col("comp") != F.col("main"), F.transform(span("blocks"), lambda c: F.struct((row * F.col("blocks") + c).alias("block"), F.lit(True).alias("asks")))).otherwise(F.array().cast("array<struct<block:int,asks:boolean>>"))
+    rows = held.withColumn("at", F.explode(F.concat(answer, ask)))
+    rows = rows.select(F.pmod(F.xxhash64("key", "at.block"), F.lit(slots)).alias("slot"), "key", "band", "at.block", "id", "comp", "n", "bytes", "registers", "at.asks")
 
     def meet(slot: pd.DataFrame) -> pd.DataFrame:
         out = []
         for place, group in slot.groupby(["key", "block"]):
-            who, group = group[group["asks"]], group[group["answers"]]
+            who, group = group[group["asks"]], group[~group["asks"]]
             if not len(who) or not len(group):
                 continue
             regs = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(len(group), REGISTERS)
             n, ids, comps, band = group["n"].to_numpy(), group["id"].to_numpy(), group["comp"].to_numpy(), group["band"].iloc[0]
+            size_of = dict(zip([*ids.tolist(), *who["id"]], [*group["bytes"], *who["bytes"]]))
             asked: list[tuple[int, np.ndarray]] = []
             for i, c, size, r in zip(who["id"], who["comp"], who["n"], who["registers"]):
                 mine = np.frombuffer(r, np.uint16)
@@ -224,28 +246,46 @@ def _crossing(buckets: DataFrame, comp: DataFrame, classes: DataFrame, percent:
                     ok = ok[order[np.unique(comps[ok[order]], return_index=True)[1]]]
                 if len(ok):
                     asked.append((i, ids[ok]))
-            for a in range(0, len(asked), BLOCK):
-                wanted = np.unique(np.concatenate([x for _, x in asked[a : a + BLOCK]]))
-                for b in range(0, len(wanted), BLOCK):
-                    here, part = wanted[b : b + BLOCK], a // BLOCK << 16 | b // BLOCK
-                    out += [(*place, part, i, x[np.isin(x, here)].tolist()) for i, x in asked[a : a + BLOCK] if np.isin(x, here).any()]
-                    out += [(*place, part, x, None) for x in here.tolist()]
-        return pd.DataFrame(out, columns=["key", "block", "part", "id", "partners"])
+            for x, y in _parts([(i, p.tolist()) for i, p in asked], size_of):
+                part, here = len(out), set(y)
+                out += [(*place, part, i, size_of[i], [p for p in partners if p in here]) for i, partners in x if not here.isdisjoint(partners)]
+                out += [(*place, part, i, size_of[i], None) for i in y]
+        return pd.DataFrame(out, columns=["key", "block", "part", "id", "bytes", "partners"])
+
+    return rows.groupBy("slot").applyInPandas(meet, "key long, block int, part int, id long, bytes long, partners array<long>")
+
+
+def _runs(ids: list[int], size_of: dict[int, int]) -> list[list[int]]:
+    """ids in runs of at most BLOCK, and of half of BLOCK_BYTES if none alone is longer."""
+    out, held = [[]], 0
+    for i in ids:
+        if out[-1] and (len(out[-1]) == BLOCK or held + size_of[i] > BLOCK_BYTES // 2):
+            out.append([])
+            held = 0
+        out[-1].append(i)
+        held += size_of[i]
+    return out if out[-1] else []
+
 
-    return rows.groupBy("slot").applyInPandas(meet, "key long, block int, part int, id long, partners array<long>")
+def _parts(asked: list[tuple[int, list[int]]], size_of: dict[int, int]) -> Iterator[tuple[list[tuple[int, list[int]]], list[int]]]:
+    """Runs of those that ask, each with runs of the partners that they ask about."""
+    of = dict(asked)
+    for who in _runs([i for i, _ in asked], size_of):
+        for wanted in _runs(sorted({p for i in who for p in of[i]}), size_of):
+            yield [(i, of[i]) for i in who], wanted
 
 
 def _answered(asked: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) among the pairs that _crossing asks about, verified on full sets, a part's texts at a time."""
     asked = cut(asked)
-    slots = max(1, asked.count() // BLOCK)
+    slots = _slots(asked)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = asked.join(texts, "id").select(F.pmod(F.xxhash64("key", "block", "part"), F.lit(slots)).alias("slot"), "key", "block", "part", "id", "partners", "text")
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, rows in group.groupby(["key", "block", "part"]):
-            sets = dict(zip(rows["id"], tx.shingle_sets([(t or "").encode() for t in rows["text"]], k)))
+            sets = dict(zip(rows["id"], tx.exact_sets([(t or "").encode() for t in rows["text"]], k)))
             for i, partners in zip(rows["id"], rows["partners"]):
                 out += [(min(i, x), max(i, x)) for x in (partners if partners is not None else ()) if x in sets and _linked(sets[i], sets[x], percent)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -271,7 +311,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     rep = full.groupBy("n", "digest").agg(F.min("doc_id").alias("id"))
     # One row a class: its smallest id carries the registers, which are equal for all.
     own = full.join(rep.withColumnRenamed("id", "doc_id"), ["doc_id", "n", "digest"])
-    classes = cut(own.groupBy("doc_id", "n", "digest").agg(F.min("registers").alias("registers")).withColumnRenamed("doc_id", "id"))
+    classes = cut(own.groupBy("doc_id", "n", "digest").agg(F.min("registers").alias("registers"), F.max("bytes").alias("bytes")).withColumnRenamed("doc_id", "id"))
     texts = docs.select("doc_id", "text")
 
     bands = _bands(classes)
@@ -279,7 +319,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     crowded = cut(bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("pivot")).where("c > 1").drop("c"))
     buckets = cut(_bands(classes).join(crowded, "key"))
     # From here on only classes that share a bucket matter.
-    active = cut(classes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "n", "registers"))
+    active = cut(classes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "n", "bytes", "registers"))
     pairs = buckets.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = cut(verified(_likely(pairs, active, percent), texts, k, percent))
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -1,11 +1,14 @@
 """Words, hashes and shingles of many texts at a time, as numpy arrays.
 
-A slab of texts is laid end to end and hashed by one pass of prefix sums: a word's hash
-is a polynomial in its bytes modulo 2^64, finished by a bijective mixer.
+For features of models, a slab of texts is laid end to end and hashed by one pass of prefix sums: a word's hash
+is a polynomial in its bytes modulo 2^64, finished by a bijective mixer. Such hashes may be made to collide, so
+shingles take their words' keyed digests instead, and links are confirmed on the words themselves.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
@@ -95,18 +98,42 @@ def class_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[keep], ends[keep], kind[keep]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, lower-cased A-Z, and the first word's position of each text (one more entry for the end)."""
-    data, begins = lay(texts)
-    if not len(data):
-        return np.empty(0, U), np.zeros(len(texts) + 1, np.int64)
-    data = LOWER[data]
-    starts, ends = word_runs(data)
-    return run_hashes(data, starts, ends), np.searchsorted(starts, begins)
+class Words(dict):
+    """Numbers of words in the order met, and two independent 64-bit hashes of each: halves of a keyed 128-bit digest of its bytes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.bytes, self.raw = 0, []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.raw.append(blake2b(word, digest_size=16, key=b"shingles").digest())
+        self.bytes += len(word) + 150
+        return n
+
+    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Both hashes (two rows) of all words of lower-cased texts, one after the other, and each text's number of words."""
+        if self.bytes > WORDS_BYTES:
+            self.clear()
+            self.bytes, self.raw = 0, []
+        at = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in map(split, texts)]
+        table = np.frombuffer(b"".join(self.raw), U).reshape(-1, 2).T
+        return table[:, np.concatenate([np.empty(0, np.int64), *at])], [len(a) for a in at]
+
+
+#: What remembered words may take up in a worker process, about.
+WORDS_BYTES = 60_000_000
+_words = Words()
+_LOWER = LOWER.tobytes()
 
 
-def shingle_sets(texts: list[bytes], k: int, at_once: int = 500_000) -> list[np.ndarray]:
-    """Each text's distinct k-word shingles as sorted hashes; with fewer words the whole sequence as one; without words none.
+def split(text: bytes) -> list[bytes]:
+    """Lower-cased (A-Z) runs of bytes other than 32 and 9 to 13."""
+    return text.translate(_LOWER).split()
+
+
+def shingle_sets(texts: list[bytes], k: int, at_once: int = 500_000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct k-word shingles as sorted hashes, and a second, independent hash of each; with fewer words the whole sequence as one; without words none.
 
     Texts are hashed about `at_once` bytes at a time, whatever their number."""
     out, part, size = [], [], 0
@@ -119,28 +146,53 @@ def shingle_sets(texts: list[bytes], k: int, at_once: int = 500_000) -> list[np.
     return out + _shingle_sets(part, k) if part else out
 
 
-def _shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    h, first = words(texts)
-    n = len(h)
+def _shingle_sets(texts: list[bytes], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    h, counts = _words.hashes(texts)
+    n = h.shape[1]
     if n >= k:
-        rolled = np.zeros(n - k + 1, U)
+        rolled = np.zeros((2, n - k + 1), U)
         for j in range(k):
-            rolled = rolled * U(0xD1342543DE82EF95) + h[j : n - k + 1 + j]
+            rolled = rolled * U(0xD1342543DE82EF95) + h[:, j : n - k + 1 + j]
         rolled = mix(rolled)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        if b - a >= k:
-            s = np.sort(rolled[a : b - k + 1])
-            keep = np.empty(len(s), bool)
-            keep[0] = True
-            np.not_equal(s[1:], s[:-1], out=keep[1:])
-            out.append(s[keep])
-        elif b > a:
-            x = U(b - a)
+    out, a = [], 0
+    for count in counts:
+        b = a + count
+        if count >= k:
+            s, where = np.unique(rolled[0, a : b - k + 1], return_index=True)
+            out.append((s, rolled[1, a : b - k + 1][where]))
+        elif count:
+            x = np.full(2, count, U)
             with np.errstate(over="ignore"):
-                for w in h[a:b]:
-                    x = x * U(0xD1342543DE82EF95) + w
-            out.append(mix(np.array([x], U) ^ U(0x5851F42D4C957F2D)))
+                for j in range(a, b):
+                    x = x * U(0xD1342543DE82EF95) + h[:, j]
+            x = mix(x ^ U(0x5851F42D4C957F2D))
+            out.append((x[:1], x[1:]))
+        else:
+            out.append((np.empty(0, U), np.empty(0, U)))
+        a = b
+    return out
+
+
+def exact_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Each text's distinct k-word shingles as sorted numbers, which are equal just where the shingles of these texts are equal.
+
+    Nothing is hashed away: words are numbered, then pairs of numbers, until a number stands for k words. With fewer words the whole
+    sequence is one shingle (its number is negative)."""
+    names: dict[bytes, int] = {}
+    number = lambda w: names.setdefault(w, len(names))
+    words = [np.fromiter(map(number, w), np.int64, len(w)) for w in map(split, texts)]
+    code, width = np.concatenate([np.empty(0, np.int64), *words]), 1
+    while width < k and len(code) > k - width:
+        if width > 1:
+            code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+        step = min(width, k - width)  # two windows of `width` words, `step` apart, hold width + step words
+        code, width = code[:-step] << 32 | code[step:], width + step
+    short: dict[bytes, int] = {}
+    out, a = [], 0
+    for w in words:
+        if len(w) >= k:
+            out.append(np.unique(code[a : a + len(w) - k + 1]))
         else:
-            out.append(np.empty(0, U))
+            out.append(np.array([-1 - short.setdefault(w.tobytes(), len(short))] if len(w) else [], np.int64))
+        a += len(w)
     return out

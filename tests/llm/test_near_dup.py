@@ -93,8 +93,45 @@ def test_sketches_estimate_and_merge():
 
 
 def test_words_are_split_at_ascii_white_space_only():
-    a, b = tx.words([b"A\x0bb\x1cc", "a b\x1cc  ".encode()])[0][:2], tx.words([b"a b\x1cc"])[0]
-    assert (a == b).all()
+    assert tx.split(b"A\x0bb\x1cC") == [b"a", b"b\x1cc"] and tx.split(" \t É\u00a0x\n".encode()) == ["É\u00a0x".encode()]
+    a, b = tx.shingle_sets([b"A\x0bb\x1cc", b"a b\x1cc  "], 4)
+    assert a[0] == b[0] and a[1] == b[1]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 7])
+def test_exact_sets_equal_tuples(k):
+    r = random.Random(k)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 12))).encode() for _ in range(200)]
+    want = []
+    for t in texts:
+        w = t.split()
+        want.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    got = tx.exact_sets(texts, k)
+    hashed = tx.shingle_sets(texts, k)
+    for i in range(200):
+        assert len(got[i]) == len(hashed[i][0]) == len(want[i])
+        for j in range(0, 200, 17):
+            assert len(np.intersect1d(got[i], got[j])) == len(np.intersect1d(hashed[i][0], hashed[j][0])) == len(want[i] & want[j])
+    assert tx.exact_sets([], k) == []
+
+
+def test_words_that_collide_as_polynomials_are_not_linked(spark):
+    # The Thue-Morse word and its complement have equal polynomial hashes modulo 2^64, whatever the odd base.
+    morse = [bin(i).count("1") % 2 for i in range(4096)]
+    a, b = ("".join("ab"[x ^ flip] for x in morse) for flip in (0, 1))
+    df = spark.createDataFrame([(1, a), (2, b), (3, f"x {a} y z"), (4, f"x {b} y z")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in nd.near_duplicates(df).collect()}
+    assert got == {i: (i, True) for i in (1, 2, 3, 4)}
+
+
+def test_groups_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 2000)
+    texts = corpus(6, 120)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_duplicates(df).collect()}
+    assert got == dict(enumerate(brute(texts)))
+    sizes = {i: 700 for i in range(10)}
+    assert nd._runs(list(range(4)), sizes) == [[0], [1], [2], [3]]
 
 
 def test_components_of_a_path(spark):

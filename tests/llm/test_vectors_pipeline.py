@@ -97,7 +97,7 @@ def test_near_dup_stage_equals_all_pairs(stages):
     from test_near_dup import brute
 
     docs = sorted((r["doc_id"], r["text"]) for r in stages["quality"].collect())
-    want = [docs[i][0] for i, (_, root) in enumerate(brute([t for _, t in docs])) if root == i]
+    want = [docs[i][0] for i, (_, root) in enumerate(brute([t for _, t in docs], k=5)) if root == i]
     assert sorted(r["doc_id"] for r in stages["near_dup"].collect()) == want
 
 
