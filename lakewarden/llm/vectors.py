@@ -1,20 +1,23 @@
 """Nearest neighbours by balanced posting lists.
 
-Centroids are the leaves of a balanced bisection of a bounded sample, so that lists are of
-even size. A graph of each centroid's nearest others lies in memory and is searched best
-first, for many vectors at a time. Every vector goes to the list of its nearest centroid, and to
-those of other centroids hardly farther (boundary vectors). A query reads the lists whose centroid is
-within a ratio of its nearest centroid's distance, up to `probes`.
+Centroids are the leaves of a balanced bisection of a bounded sample, between one and two times the
+square root of the number of vectors, so that lists are of even size and grow as slowly as their number does. A graph of each
+centroid's nearest others lies in memory and is searched best first, for many vectors at a time. Every vector goes to the list of
+its nearest centroid, and to those of other centroids hardly farther (boundary vectors). A query reads the lists whose centroid is
+within a ratio of its nearest centroid's distance, up to `probes`, so that all queries together read about N^1.5 rows.
+
+The nearest are those of the largest inner product: stored vectors get one coordinate more that makes them equally long, queries
+are scaled to that length and have 0 there, and then the nearest by distance are those of the largest product.
 
 Equal vectors are one class that is indexed once, with its 'keep' smallest ids: of equal vectors
 no more can be among the nearest k of anything, as ties go to smaller ids. Queries of one class are
 searched once. Lists are cut into blocks by a hash and put into shards of
 bounded size; each shard scores its blocks against its queries as matrix products and
-returns its best classes only. Scores are computed anew on the vectors found,
-in double precision.
+returns its best classes only. Scores are computed on the vectors found, in double precision.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those
-whose length isn't the commonest. Repeated rows count once.
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors are compared with those of their own
+length: the commonest length is indexed, each other one is a list that its queries read whole, in blocks. Repeated rows
+count once; rows without vec_id are left out; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,16 +33,18 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm.common import cut, hash_sample, table
 
-#: Vectors that centroids are learnt from, at most.
-SAMPLE = 20_000
-#: Vectors of a list in the sample; the number of lists is at most LISTS.
-LIST_SIZE, LISTS = 100, 4096
+#: Vectors of the sample for each list, and vectors and their numbers in the sample at most.
+LIST_SIZE, SAMPLE, SAMPLE_NUMBERS = 100, 200_000, 16_000_000
+#: Vectors of the sample for each list at least in tables so small that the sample holds them all.
+SMALL = 40
 DEGREE = 16
 #: A vector joins lists whose centroid's distance is within this ratio of its nearest centroid's, up to COPIES lists.
 BOUNDARY, COPIES = 1.12, 4
-#: A query reads lists within this ratio, up to PROBES.
-REACH, PROBES = 1.35, 64
+#: A query reads lists within this ratio, up to PROBES, and the LEAST nearest ones in any case, as it may lie on a centroid.
+REACH, PROBES, LEAST = 1.35, 64, 8
 SHARD_ROWS = 40_000
+#: Candidates of a list by single-precision products, beside those asked for, whose scores are computed in double precision.
+SPARE = 8
 
 
 @dataclass
@@ -68,8 +73,8 @@ def bisect(x: np.ndarray, size: int) -> np.ndarray:
     return np.array(done)
 
 
-def build(x: np.ndarray, list_size: int = LIST_SIZE, lists: int = LISTS) -> Index:
-    c = bisect(x, max(list_size, -(-len(x) // lists)))
+def build(x: np.ndarray, list_size: int = LIST_SIZE) -> Index:
+    c = bisect(x, list_size)
     d = ((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2) if len(c) <= 512 else np.stack([((c - v) ** 2).sum(axis=1) for v in c])
     np.fill_diagonal(d, np.inf)
     graph = np.argsort(d, axis=1, kind="stable")[:, : max(1, min(DEGREE, len(c) - 1))]
@@ -122,12 +127,12 @@ def walk(index: Index, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray
     return np.take_along_axis(ids, order, axis=1), np.sqrt(np.maximum(np.take_along_axis(dist, order, axis=1), 0))
 
 
-def chosen(index: Index, x: np.ndarray, ratio: float, most: int) -> list[np.ndarray]:
-    """The lists of each row of x: those whose centroids are within `ratio` of the nearest one's distance, `most` at most."""
+def chosen(index: Index, x: np.ndarray, ratio: float, most: int, least: int = 1) -> list[np.ndarray]:
+    """The lists of each row of x: those whose centroids are within `ratio` of the nearest one's distance, `least` to `most` of them."""
     out = []
     for a in range(0, len(x), 512):
         ids, dist = walk(index, x[a : a + 512], 2 * most)
-        ok = (dist <= ratio * dist[:, :1] + 1e-12) & np.isfinite(dist)
+        ok = ((dist <= ratio * dist[:, :1] + 1e-12) | (np.arange(dist.shape[1]) < least)) & np.isfinite(dist)
         out += [i[k][:most] for i, k in zip(ids, ok)]
     return out
 
@@ -142,13 +147,21 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & e.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
 
 
-def _listed(rows: DataFrame, index: Index, ratio: float, most: int) -> DataFrame:
+def lifted(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
+    """Vectors with a coordinate more, all as long as the longest stored one, so that distances order as inner products do."""
+    size = np.sqrt((x * x).sum(axis=1))
+    if query:
+        return np.concatenate([x * (longest / size)[:, None], np.zeros((len(x), 1))], axis=1)
+    return np.concatenate([x, np.sqrt(np.maximum(longest * longest - size * size, 0))[:, None]], axis=1)
+
+
+def _listed(rows: DataFrame, index: Index, longest: float, query: bool, ratio: float, most: int) -> DataFrame:
     """rows (class, embedding), once for each of their lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                where = chosen(index, _matrix(b.column(1).to_numpy(zero_copy_only=False)), ratio, most)
+                where = chosen(index, lifted(_matrix(b.column(1).to_numpy(zero_copy_only=False)), longest, query), ratio, most, LEAST if query else 1)
                 at = pa.array(np.repeat(np.arange(b.num_rows), [len(w) for w in where]))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(where).astype(np.int32))], names=["class", "embedding", "list"])
 
@@ -159,60 +172,71 @@ def _listed(rows: DataFrame, index: Index, ratio: float, most: int) -> DataFrame
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REACH, probes: int = PROBES, rows: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query: rows whose vec_id is divisible by `every`.
 
-    Centroids are fitted to at most `rows` vectors, with `list_size` of them a list: larger tables want more of both kinds, which the driver's memory bounds."""
+    Centroids are fitted to at most `rows` vectors (and SAMPLE_NUMBERS numbers), `list_size` of them a list or fewer, as there are to be at least as many lists as
+    the square root of the number of vectors."""
     spark = vectors.sparkSession
-    valid = _valid(vectors)
-    lengths = valid.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    valid = valid.where(F.size("embedding") == (lengths["n"] if lengths else 0)).distinct()
+    valid = _valid(vectors).distinct()
     # The smallest k + 1 ids of each class; a class of any size is first thinned in parts.
     for part in ([F.pmod(F.xxhash64("vec_id"), F.lit(32))], []):
         order = Window.partitionBy("embedding", *part).orderBy("vec_id")
         kept = (kept if not part else valid).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1).drop("__r")
     members = cut(kept.withColumn("class", F.min("vec_id").over(Window.partitionBy("embedding"))))
-    classes = members.where("class = vec_id").select("class", "embedding")
-    total = classes.count()
-    sample = _matrix([r["embedding"] for r in hash_sample(classes, ["class"], rows, total).collect()])
+    every_class = members.where("class = vec_id").select("class", "embedding", F.size("embedding").alias("length"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    lengths = cut(every_class.groupBy("length").agg(F.count("*").alias("n"), F.max(norm).alias("longest")))
+    main = lengths.orderBy(F.desc("n"), "length").first()
     out = "query_id long, rank int, vec_id long, score double"
-    if not len(sample):
+    if main is None:
         return spark.createDataFrame([], out)
-    index = build(sample, list_size)
+    total, classes = main["n"], every_class.where(F.col("length") == main["length"])
+    lists = int(np.ceil(np.sqrt(total)))
+    wanted = min(rows, SAMPLE_NUMBERS // main["length"], lists * list_size)
+    sample = _matrix([r["embedding"] for r in hash_sample(classes, ["class"], wanted, total).select("embedding").collect()])
+    index = build(lifted(sample, main["longest"], False), max(SMALL if total <= len(sample) else 1, len(sample) // lists))
 
     shards = max(1, -(-total * 2 // SHARD_ROWS), min(12, total // 500))
-    spread = max(1, -(-total // (len(index.centroids) * 40_000)))
-    postings = _listed(classes, index, BOUNDARY, COPIES)
+    spread = max(1, -(-total // (len(index.centroids) * SHARD_ROWS)))
     # A list of many vectors is cut into `spread` blocks; which shard has a block is fixed by list and block.
     shard = F.pmod(F.xxhash64("list", "block"), F.lit(shards)).cast("int")
-    stored = postings.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(spread)).cast("int")).select(shard.alias("shard"), "list", F.col("class").alias("c"), F.col("embedding").alias("v"))
+    block = F.pmod(F.xxhash64("class"), F.col("spread")).cast("int")
+    stored = _listed(classes, index, main["longest"], False, BOUNDARY, COPIES).withColumn("spread", F.lit(spread))
     queries = valid.where(F.col("vec_id") % every == 0).join(members.where("class = vec_id").select("class", F.col("embedding").alias("e")), F.col("embedding") == F.col("e")).select(F.col("vec_id").alias("query_id"), "class", "embedding")
     queries = cut(queries)
-    asked = _listed(queries.select("class", "embedding").dropDuplicates(["class"]), index, reach, probes)
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).select(shard.alias("to_shard"), "list", F.col("class").alias("q"), F.col("embedding").alias("u"))
+    asking = cut(queries.select("class", "embedding").dropDuplicates(["class"]))
+    # Walking the graph takes far longer than moving queries, of which a table has few bytes; AQE would put all into one task.
+    mine = asking.where(F.size("embedding") == main["length"]).repartition(max(1, asking.count() // 512), "class")
+    asked = _listed(mine, index, main["longest"], True, reach, probes).withColumn("spread", F.lit(spread))
+    others = lengths.where(F.col("length") != main["length"])
+    if not others.isEmpty():  # lists of negative numbers, one a length
+        of = others.select("length", (-F.col("length")).alias("list"), F.ceil(F.col("n") / F.lit(SHARD_ROWS)).cast("int").alias("spread"))
+        stored = stored.unionByName(every_class.join(of, "length").drop("length"))
+        asked = asked.unionByName(asking.withColumn("length", F.size("embedding")).join(of, "length").drop("length"))
+    stored = stored.withColumn("block", block).select(shard.alias("shard"), "list", F.col("class").alias("c"), F.col("embedding").alias("v"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("spread") - 1))).select(shard.alias("to_shard"), "list", F.col("class").alias("q"), F.col("embedding").alias("u"))
 
     def search(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(ours) or not len(theirs):
-            return pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64", "score": "float64"})
-        vectors_, numbers, lists = _matrix(theirs["v"]), theirs["c"].to_numpy(), theirs["list"].to_numpy()
-        by_list = {x: np.flatnonzero(lists == x) for x in np.unique(lists)}
-        found: dict[int, list] = {}
-        query = dict(zip(ours["q"], ours["u"]))
-        for x, group in ours.groupby("list"):
-            at = by_list.get(x)
-            if at is None:
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        at_list, who, numbers = theirs.groupby("list").indices, ours["q"].to_numpy(), theirs["c"].to_numpy()
+        for x, rows in ours.groupby("list").indices.items():
+            if x not in at_list:
                 continue
-            u = _matrix(group["u"])
+            at = at_list[x]
+            u, v = _matrix(ours["u"].iloc[rows]), _matrix(theirs["v"].iloc[at])
+            u_, v_, most = u.astype(np.float32), v.astype(np.float32).T, k + 1 + SPARE
             for a in range(0, len(u), 256):
-                s = u[a : a + 256] @ vectors_[at].T
-                top = np.argpartition(-s, min(k, len(at) - 1), axis=1)[:, : k + 1] if len(at) > k + 1 else np.tile(np.arange(len(at)), (len(s), 1))
-                for q, t in zip(group["q"].iloc[a : a + 256], top):
-                    found.setdefault(q, []).append(at[t])
-        rows = []
-        for q, parts in found.items():
-            at = np.concatenate(parts)
-            at = at[np.unique(numbers[at], return_index=True)[1]]
-            s = (vectors_[at] * np.asarray(query[q], np.float64)).sum(axis=1)
-            best = np.lexsort((numbers[at], -s))[: k + 1]
-            rows.append(pd.DataFrame({"q": q, "c": numbers[at[best]], "score": s[best]}))
-        return pd.concat(rows) if rows else pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64", "score": "float64"})
+                s = u_[a : a + 256] @ v_
+                top = np.argpartition(s, s.shape[1] - most, axis=1)[:, -most:] if s.shape[1] > most else np.tile(np.arange(s.shape[1]), (len(s), 1))
+                i, t = np.repeat(np.arange(a, a + len(s)), top.shape[1]), top.reshape(-1)
+                parts.append((who[rows[i]], numbers[at[t]], (u[i] * v[t]).sum(axis=1)))
+        q, c, s = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        fresh = np.ones(len(q), bool)  # a boundary vector is found in several lists
+        fresh[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
+        q, c, s = q[fresh], c[fresh], s[fresh]
+        first = np.searchsorted(q, q)
+        best = np.arange(len(q)) - first <= k
+        return pd.DataFrame({"q": q[best], "c": c[best], "score": s[best]})
 
     near = asked.groupBy("to_shard").cogroup(stored.groupBy("shard")).applyInPandas(search, "q long, c long, score double").distinct()
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
@@ -221,8 +245,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REA
     # One row a query class with its nearest ids, so that queries of one class are expanded last.
     hits = near.join(ids, F.col("c") == F.col("class")).select("q", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    lists = hits.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("__r", "vec_id", "score"))).alias("top"))
-    answered = queries.select("query_id", "class").join(lists, F.col("class") == F.col("q"))
+    found = hits.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("__r", "vec_id", "score"))).alias("top"))
+    answered = queries.select("query_id", "class").join(found, F.col("class") == F.col("q"))
     own = F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k)
     return answered.select("query_id", F.posexplode(own).alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))
 

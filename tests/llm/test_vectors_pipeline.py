@@ -34,6 +34,7 @@ def test_ties_copies_and_unusable_vectors(spark):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
     bad = [(1000, None, 1), (1020, [0.0] * 8, 1), (1040, [float("nan")] + [1.0] * 7, 1), (1060, [None] + [1.0] * 7, 1), (1080, [float("inf")] + [1.0] * 7, 1), (None, [1.0] * 8, 1), (1100, [1.0] * 7, 1), (1120, [], 1)]
     got = found(vectors.nearest(spark.createDataFrame(rows + bad + rows[:3], SCHEMA)))
+    assert got.pop(1100, []) == []  # alone with its length
     want = exact(np.arange(400), x.astype(float))
     assert got.keys() == want.keys()
     for q in want:
@@ -51,6 +52,37 @@ def test_recall(spark):
     assert got.keys() == want.keys() and hits >= 0.9 * 20 * len(want)
 
 
+def test_recall_with_vectors_of_unequal_norms(spark):
+    r = np.random.default_rng(4)
+    x = (r.normal(size=(3000, 24)) * r.lognormal(0, 0.8, (3000, 1))).astype(np.float32)
+    got = found(vectors.nearest(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)))
+    want = exact(np.arange(3000), x.astype(float))
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert got.keys() == want.keys() and hits >= 0.95 * 20 * len(want)
+
+
+def test_each_length_is_searched_among_its_own(spark):
+    r = np.random.default_rng(6)
+    length = np.where(r.random(900) < 0.6, 8, np.where(r.random(900) < 0.5, 5, 12))
+    x = [r.normal(size=n).astype(np.float32) for n in length]
+    got = found(vectors.nearest(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)))
+    for n in (5, 8, 12):
+        ids = np.flatnonzero(length == n)
+        want = exact(ids, np.array([x[i] for i in ids], float))
+        hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+        assert hits >= (0.9 if n == 8 else 1.0) * sum(map(len, want.values()))
+
+
+def test_recall_of_the_registered_query_over_a_whole_table(spark):
+    sf = "/root/testdata/sf0.1"
+    t = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    got, want = found(vectors.op2_posting_lists(spark, sf)), exact(t["vec_id"].to_numpy(), np.stack(t["embedding"]).astype(float))
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert got.keys() == want.keys() and hits >= 0.95 * sum(map(len, want.values()))
+    score = {q: dict(v) for q, v in want.items()}
+    assert all(abs(s - score[q].get(v, s)) < 1e-12 for q, pairs in got.items() for v, s in pairs)
+
+
 def test_few_rows_and_none(spark):
     assert vectors.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert vectors.nearest(spark.createDataFrame([(0, [1.0, 0.0], 1)], SCHEMA)).count() == 0
