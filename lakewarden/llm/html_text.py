@@ -7,11 +7,13 @@ the longest common subsequence of lines, and the shared lines are deleted. Entri
 runs of NEIGHBOURS, and a run gets the last entry before and the first after it too.
 
 What the alignment may delete are lines whose part of the page is unknown. Lines of menus, headers,
-footers, sidebars, notices, adverts, forms and comments, which pages mark by elements, roles or
-class names, go in any case; lines in an `article` or `main` element stay, as articles
-of one host may share passages (licences, repeated paragraphs, whole articles).
+footers, sidebars, notices, adverts, forms and comments, which pages mark by elements, roles, class names (also of
+paragraphs, list items and stretches of a line) or as hidden, go in any case; lines in an `article` or `main` element stay, as articles
+of one host may share passages (licences, repeated paragraphs, whole articles). A form round an article, or round all of a
+page, isn't one to be dropped.
 
-Null or empty html has empty text. Pages without a URL are one host. Equal rows give equal rows.
+Null or empty html has empty text. Pages without a URL are one host. Equal rows give equal rows. Very long pages are read whole, one at a
+time; an empty table gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from lakewarden.llm import text as tx
 from lakewarden.llm.common import cut, map_text, running_total, table
 
 NEIGHBOURS = 16
-CHROME, UNKNOWN, MAIN = 0, 1, 2
+CHROME, UNKNOWN, MAIN, FORM = 0, 1, 2, 3
 
 # Element names of HTML by how they bear on text.
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -38,38 +40,57 @@ _MAIN = {"article", "main"}
 _CONTAINERS = _DROPPED | _MAIN | {"header", "div", "section", "ul", "ol", "dl", "table", "td", "figure", "fieldset", "details", "body", "head"}
 _BLOCKS = _CONTAINERS | {"p", "li", "dt", "dd", "tr", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "pre", "blockquote", "address", "figcaption", "caption", "summary", "html", "tbody", "thead", "tfoot", "legend", "center", "option"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
+#: Elements whose end may be left out, with those that end them as they begin.
+_ENDED = {"p": _BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "th": {"th", "td", "tr"}, "option": {"option"}}
+#: Other elements that a class name may mark; any element may be hidden.
+_MARKABLE = {"p", "li", "dt", "dd", "tr", "th", "span", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "address", "figcaption", "caption", "small", "ins", "label"}
+_VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Words of class names and ids that mark what isn't the article.
 _MARKS = {
-    *"ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert".split(),
+    *"ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr".split(),
     *"newsletter subscribe signup sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar".split(),
-    *"comment comments commentlist disqus reply replies respond related recommended share sharing social popup modal overlay widget widgets".split(),
-    *"login search pagination pager skip hidden disclaimer".split(),
+    *"comment comments commentlist disqus reply replies respond sharing social popup modal overlay widget widgets".split(),
+    *"login pagination pager disclaimer".split(),
 }
+#: Words that mark it too, where a name has no words beside them but marks and those of layout (related-posts, not related-work).
+_WEAK_MARKS = set("related recommended share search skip hidden notice notices alert banner".split())
+_LAYOUT = set("box bar list lists item items link links post posts article articles story stories section block area wrap wrapper container inner outer site page top bottom left right content text message msg form button buttons unit slot zone panel group row col main to the js u".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+def _marks(names: str) -> bool:
+    """Whether one of the names in a class or id attribute marks what isn't the article."""
+    for name in names.split():
+        words = {w for w in _SPLIT.split(_CAMEL.sub(r"\1-\2", name).lower()) if w and not w.isdigit()}
+        if words & _MARKS or words & _WEAK_MARKS and words <= _WEAK_MARKS | _LAYOUT:
+            return True
+    return False
+
+
 def _marked(name: str, attributes: str, inside_main: bool) -> bool:
     if name in _DROPPED or name == "header" and not inside_main:
         return True
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key == "role" and value in _ROLES or key == "aria-hidden" and value == "true":
-                return True
-            if key in ("class", "id") and name not in ("body", "html", "article", "main") and not _MARKS.isdisjoint(_SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower())):
-                return True
+    by_name = name in _CONTAINERS and name not in ("body", "html", "article", "main") or name in _MARKABLE
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return True
+        if key == "role" and value.lower() in _ROLES or key in ("class", "id") and by_name and _marks(value):
+            return True
     return False
 
 
 def lines(page: str) -> list[tuple[str, int]]:
     """(text, part) of each block of a page, in page order; texts have references decoded and white space made one space."""
     out: list[tuple[str, int]] = []
-    # Open containers: name, whether it is dropped, whether it is main.
-    stack: list[tuple[str, bool, bool]] = []
-    dropped = main = 0
+    # Open containers and marked elements: name, whether it is dropped, whether it is main.
+    stack: list[list] = []
+    # How many open elements are dropped, are forms, are main, and are dropped stretches of a line.
+    dropped = forms = main = mute = 0
     held: list[str] = []
     at, size = 0, len(page)
 
@@ -78,14 +99,25 @@ def lines(page: str) -> list[tuple[str, int]]:
             t = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if t:
-                out.append((t, CHROME if dropped else MAIN if main else UNKNOWN))
+                out.append((t, CHROME if dropped else FORM if forms else MAIN if main else UNKNOWN))
+
+    def pop() -> str:
+        nonlocal dropped, forms, main, mute
+        name, gone, is_main = stack.pop()
+        if gone:
+            forms -= name == "form"
+            mute -= name not in _BLOCKS
+            dropped -= name != "form" and name in _BLOCKS
+        main -= is_main
+        return name
 
     while at < size:
         m = _TAG.search(page, at)
         if not m:
-            held.append(page[at:])
+            if not mute:
+                held.append(page[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not mute:
             held.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
@@ -94,25 +126,38 @@ def lines(page: str) -> list[tuple[str, int]]:
         if name in _BLOCKS:
             close()
         if m[1]:
-            if name in _CONTAINERS and any(s[0] == name for s in stack):
-                while True:
-                    top = stack.pop()
-                    dropped -= top[1]
-                    main -= top[2]
-                    if top[0] == name:
-                        break
-        elif name in _RAW:
+            if any(s[0] == name for s in stack):
+                while pop() != name:
+                    pass
+            continue
+        while stack and name in _ENDED.get(stack[-1][0], ()):
+            pop()
+        if name in _RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else size
-        elif name in _CONTAINERS and not m[3].endswith("/"):
+        elif name not in _VOID and not m[3].endswith("/"):
+            gone = bool(m[3] or name in _CONTAINERS) and _marked(name, m[3], bool(main))
+            if not gone and name not in _CONTAINERS:
+                continue
             # A second main or article inside another is part of it.
-            top = (name, _marked(name, m[3], bool(main)), name in _MAIN or "role" in m[3] and bool(re.search(r"\brole\s*=\s*[\"']?main\b", m[3])))
-            stack.append(top)
-            dropped += top[1]
-            main += top[2]
+            is_main = name in _MAIN or "role" in m[3] and bool(re.search(r"\brole\s*=\s*[\"']?main\b", m[3]))
+            if is_main and forms:  # a form round the article
+                for s in stack:
+                    s[1] = s[1] and s[0] != "form"
+                forms = 0
+            stack.append([name, gone, is_main])
+            if gone:
+                forms += name == "form"
+                mute += name not in _BLOCKS
+                dropped += name != "form" and name in _BLOCKS
+            main += is_main
     close()
-    if any(part == MAIN for _, part in out):  # a page that marks its main part has nothing else of it
-        return [(t, CHROME if part == UNKNOWN else part) for t, part in out]
+    parts = {part for _, part in out}
+    if MAIN in parts:  # a page that marks its main part has nothing else of it
+        return [(t, part if part == MAIN else CHROME) for t, part in out]
+    if FORM in parts:
+        form = CHROME if UNKNOWN in parts else UNKNOWN
+        return [(t, form if part == FORM else part) for t, part in out]
     return out
 
 

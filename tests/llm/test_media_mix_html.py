@@ -134,6 +134,13 @@ PAGE = "<html><head><title>T</title><script>x</p></script></head><body><nav><ul>
         ("<article><p title='a>b'>x</p></article>", "x"),
         ("<style>p{}</style><p>unmarked", "unmarked"),
         ("<p>a<script>never closed", "a"),
+        ("<article><p class='advert'>buy</p><p>one<ul><li class=comment>bad<li>two</ul><p hidden>no<p>three</article>", "one two three"),
+        ("<article><p>fo<span class='ad'>x</span>o <b style='display: none'>no</b><i data-hidden='a' title='is hidden'>bar</i></p></article>", "foo bar"),
+        ("<form><div>top</div><article><p>a</p><form>mail</form></article></form>", "a"),
+        ("<form action=x><p>all of it</p></form>", "all of it"),
+        ("<p>text</p><form>name</form>", "text"),
+        ("<article><div class='related-work'>cited</div><div class='related-posts'>more</div><div class='cookieNotice'>ok</div></article>", "cited"),
+        ("<article>caf&eacute; &#8217;&#x41;&amp;lt;</article>", "café ’A&lt;"),
     ],
 )
 def test_page_text(spark, page, want):
@@ -165,5 +172,41 @@ def test_longest_common_subsequence():
         assert all(any(a[i] == x for x in it) for i in at)
 
 
+def test_long_pages_equal_rows_and_clashing_names(spark):
+    long = "<article>" + "<p>word &amp; word</p>" * 60_000 + "</article>"
+    rows = [(1, "http://h/a", long, 5, 6), (1, "http://h/a", long, 5, 6), (2, "http://h/b", "<div>x", 5, 6)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, mark int, gone int")).collect()
+    assert sorted((r["page_id"], r["n_chars"]) for r in got) == [(1, 60_000 * 12 - 1)] * 2 + [(2, 1)]
+
+
+def test_differencing_equals_brute_force(spark):
+    """Pages of one host by path; each loses the lines of a longest common subsequence with the nearest page on either side that has other lines."""
+    r = random.Random(8)
+    pages = []
+    for host in range(6):
+        for i in range(r.randint(1, 40)):
+            body = r.choice([["a", "b"], ["a", "x%d" % r.randint(0, 3), "c"], ["b", "c", "y%d" % i]])
+            pages.append((len(pages), f"http://h{host}.com/{i:03}", "".join(f"<div>{x}</div>" for x in body), body, host))
+    want = {}
+    for i, (page, _, _, body, host) in enumerate(pages):
+        gone = set()
+        for way in (-1, 1):
+            j = i + way
+            while 0 <= j < len(pages) and pages[j][4] == host and pages[j][3] == body:
+                j += way
+            if 0 <= j < len(pages) and pages[j][4] == host:
+                gone |= {body[k] for k in html_text.aligned([hash(x) for x in body], [hash(x) for x in pages[j][3]])}
+        want[page] = " ".join(x for x in body if x not in gone)
+    r.shuffle(pages)
+    got = html_text.main_text(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()
+    assert {x["page_id"]: x["text"] for x in got} == want
+
+
+def test_registered_pages_equal_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    assert sorted(map(tuple, html_text.op4_html_text(spark, sf).collect())) == sorted(con.sql(html_text.OP4_SQL).fetchall())
+
+
 def test_empty_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
