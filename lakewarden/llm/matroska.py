@@ -1,15 +1,18 @@
 """Matroska files in binary columns: a small muxer for 8-bit PCM, and a parser to packet tables.
 
-The parser reads variable-length EBML elements (also of unknown size), clusters, simple
-blocks and block groups with no, Xiph, EBML or fixed-size lacing, and cues. Media are
+The parser reads variable-length EBML elements (also of unknown size, which end where an element begins that can't be
+a part of them), clusters, simple blocks and block groups with no, Xiph, EBML or fixed-size lacing, and cues. Media are
 values of a table in the shared folder, so that any executor can read what another wrote.
+
+Damaged files: reading ends where bytes aren't an element, a part that runs over its parent's end is cut off there, and blocks
+that can't be read are left out; what was read stays, and `parse` says that the file is damaged. Null and empty texts are one
+frame of spaces; null and repeated doc_ids keep a row each; a very long text is one medium; other columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import ensure_checkpoint_dir, map_text, slabs, table, utf8
+from lakewarden.llm.common import map_text, scratch, slabs, table, utf8
 
 # Element ids of the Matroska specification (RFC 9559).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -27,6 +30,8 @@ TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0xAE, 0xD7, 0x73C5,
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
+_LEVEL = {EBML: 0, SEGMENT: 0} | dict.fromkeys((INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS), 1)
 _MASTERS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS}
 
 RATE, FRAME = 8000, 192
@@ -74,11 +79,10 @@ def mux(payload: bytes) -> bytes:
 
 
 def _number(data: bytes, at: int, keep_mark: bool = False) -> tuple[int, int]:
-    """A variable-length number and where it ends; -1 if all its bits are 1 (unknown)."""
-    first = data[at]
-    if not first:
-        raise ValueError("number of more than 8 bytes")
-    width = 9 - first.bit_length()
+    """A variable-length number and where it ends; -1 if all its bits are 1 (unknown). ValueError where there is none."""
+    width = 9 - data[at].bit_length() if at < len(data) else 9
+    if width > 8 or at + width > len(data):
+        raise ValueError(f"no number at byte {at}")
     n = int.from_bytes(data[at : at + width], "big")
     if not keep_mark:
         n &= (1 << 7 * width) - 1
@@ -87,23 +91,31 @@ def _number(data: bytes, at: int, keep_mark: bool = False) -> tuple[int, int]:
     return n, at + width
 
 
-def elements(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[int, int, int, int]]:
-    """(depth, id, start, end) of the data of each element, masters before their parts.
+def elements(data: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(depth, id, start, end) of the data of each element, masters before their parts; an unknown end is that of the parent.
 
-    A part that a damaged size lets run over its parent's end is cut off there."""
-    end = len(data) if end is None else end
-    while at < end:
+    A part that a damaged size lets run over its parent's end is cut off there. ValueError where bytes aren't an element."""
+    # Open masters: end, id and whether the size is unknown.
+    at, open_ = 0, []
+    while at < len(data):
+        while open_ and open_[-1][0] <= at:
+            open_.pop()
         kind, at = _number(data, at, keep_mark=True)
         size, at = _number(data, at)
+        level = _LEVEL.get(kind, 2)
+        while open_ and open_[-1][2] and (kind == open_[-1][1] or level <= _LEVEL.get(open_[-1][1], 2) < 2 or level < 2 <= _LEVEL.get(open_[-1][1], 2)):
+            open_.pop()
+        end = open_[-1][0] if open_ else len(data)
         stop = end if size < 0 else min(end, at + size)
-        yield depth, kind, at, stop
+        yield len(open_), kind, at, stop
         if kind in _MASTERS:
-            yield from elements(data, at, stop, depth + 1)
-        at = stop
+            open_.append((stop, kind, size < 0))
+        else:
+            at = stop
 
 
 def _laces(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]:
-    """Sizes of a block's frames, and where the first begins."""
+    """Sizes of a block's frames, and where the first begins. ValueError if they don't fit the block."""
     if not lacing:
         return [end - at], at
     n, at, sizes = data[at] + 1, at + 1, []
@@ -120,19 +132,43 @@ def _laces(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]
             begin = at
             size, at = _number(data, at)
             sizes.append(size if not i else sizes[-1] + size - ((1 << 7 * (at - begin) - 1) - 1))
-    return [*sizes, end - at - sum(sizes)], at
+    sizes.append(end - at - sum(sizes))
+    if min(sizes) < 0:
+        raise ValueError(f"frames don't fit the block at byte {at}")
+    return sizes, at
+
+
+def _block(data: bytes, a: int, b: int) -> tuple[int, int, int, list[int], int]:
+    """Track, relative timestamp, flags, sizes of the frames and where the first begins."""
+    number, at = _number(data, a)
+    if at + 3 > b:
+        raise ValueError(f"no block at byte {a}")
+    (relative,) = struct.unpack_from(">h", data, at)
+    flags = data[at + 2]
+    return number, relative, flags, *_laces(data, at + 3, b, flags >> 1 & 3)
 
 
 def parse(data: bytes) -> dict:
-    """Tracks, packets (track, ms, offset, size, cluster, key) and cues (ms, track, offset of the cluster's element in the file)."""
+    """Tracks, packets (track, ms, offset, size, cluster, key), cues (ms, track, offset of the cluster's element in the file), and whether the file is damaged."""
+    state: dict = {}
+    try:
+        _read(data, state)
+    except (ValueError, IndexError, ArithmeticError, struct.error):
+        state["damaged"] = True
+    return state
+
+
+def _read(data: bytes, state: dict) -> None:
     tracks, packets, cues, cluster, base, scale, segment = {}, [], [], -1, 0, 1_000_000, 0
     track, cue = {}, {}
+    state |= {"tracks": tracks, "packets": packets, "cues": cues, "clusters": 0, "damaged": False}
     for _, kind, a, b in elements(data):
         if kind in (SIMPLE_BLOCK, BLOCK):
-            number, at = _number(data, a)
-            (relative,) = struct.unpack_from(">h", data, at)
-            flags = data[at + 2]
-            sizes, at = _laces(data, at + 3, b, flags >> 1 & 3)
+            try:
+                number, relative, flags, sizes, at = _block(data, a, b)
+            except (ValueError, IndexError, struct.error):
+                state["damaged"] = True
+                continue
             step = tracks.get(number, {}).get("frame_ms")
             ms = (base + relative) * scale / 1e6
             for size in sizes:
@@ -144,6 +180,7 @@ def parse(data: bytes) -> dict:
             segment = a
         elif kind == CLUSTER:
             cluster += 1
+            state["clusters"] = cluster + 1
         elif kind == TIMESTAMP:
             base = int.from_bytes(data[a:b], "big")
         elif kind == TIMESTAMP_SCALE:
@@ -155,11 +192,12 @@ def parse(data: bytes) -> dict:
             if kind == TRACK_NUMBER:
                 tracks[track["number"]] = track
         elif kind == CODEC_ID:
-            track["codec"] = data[a:b].decode()
+            track["codec"] = data[a:b].decode("ascii", "replace")
         elif kind == SAMPLING:
             track["rate"] = struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0]
         if kind in (SAMPLING, CHANNELS, BIT_DEPTH) and track.get("codec", "").startswith("A_PCM") and {"rate", "channels", "bits"} <= track.keys():
-            track["frame_ms"] = 8000 / (track["rate"] * track["channels"] * track["bits"])
+            bits = track["rate"] * track["channels"] * track["bits"]
+            track["frame_ms"] = 8000 / bits if 0 < bits < float("inf") else None
         if kind == CUE_POINT:
             cue = {}
         elif kind == CUE_TIME:
@@ -168,7 +206,6 @@ def parse(data: bytes) -> dict:
             cue["track"] = int.from_bytes(data[a:b], "big")
         elif kind == CUE_CLUSTER:
             cues.append((cue.get("ms"), cue.get("track"), segment + int.from_bytes(data[a:b], "big")))
-    return {"tracks": tracks, "packets": packets, "cues": cues, "clusters": cluster + 1}
 
 
 def payload_of(data: bytes, packets: list[tuple], track: int = 1) -> bytes:
@@ -221,6 +258,6 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{ensure_checkpoint_dir(spark)}/media-{uuid.uuid4().hex}"
+    path = scratch(spark, "media")
     write_media(table(spark, sf_dir, "documents"), path)
     return media_features(spark.read.parquet(path))

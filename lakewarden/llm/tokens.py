@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import gc
 import struct
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import ensure_checkpoint_dir, partition_sums, slabs, table
+from lakewarden.llm.common import partition_sums, scratch, slabs, table
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK_IDS = 1 << 16
@@ -257,6 +256,6 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null text is empty (one end id)."""
-    path = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path)

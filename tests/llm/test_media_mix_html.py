@@ -42,6 +42,47 @@ def test_every_lacing_and_unknown_sizes():
     assert got["packets"][0][1] == 1005 and got["clusters"] == 1
 
 
+UNKNOWN_SIZE = b"\x01" + b"\xff" * 7
+
+
+def test_unknown_sizes_end_at_the_next_sibling():
+    part = lambda k: matroska._id(matroska.CLUSTER) + UNKNOWN_SIZE + matroska._uint(matroska.TIMESTAMP, k) + _block(0x80, b"zz")
+    head = matroska._element(matroska.EBML, b"") + matroska._id(matroska.SEGMENT) + UNKNOWN_SIZE
+    cues = matroska._element(matroska.CUES, matroska._element(matroska.CUE_POINT, matroska._uint(matroska.CUE_TIME, 7)))
+    data = head + b"".join(map(part, range(5000))) + cues + matroska._element(0x1254C367, b"")
+    got = matroska.parse(data)
+    assert got["clusters"] == 5000 == len(got["packets"]) and not got["damaged"]
+    assert [p[1] for p in got["packets"][:3]] == [5, 6, 7] and {p[3] for p in got["packets"]} == {2}
+    assert {(d, k) for d, k, _, _ in matroska.elements(data)} >= {(1, matroska.CLUSTER), (2, matroska.SIMPLE_BLOCK), (1, matroska.CUES), (2, matroska.CUE_POINT)}
+
+
+def test_damaged_files_keep_what_was_read(spark):
+    data, r = matroska.mux(b"q" * 192 * 500), random.Random(3)
+    whole = matroska.parse(data)
+    assert not whole["damaged"] and not matroska.parse(b"")["packets"]
+    assert matroska.parse(b"\x00\x01\x02")["damaged"] and matroska.parse(data[:-1])["clusters"] == 3
+    cut = matroska.parse(data[: len(data) // 2])
+    assert 0 < len(cut["packets"]) < len(whole["packets"]) and cut["packets"][:100] == whole["packets"][:100]
+    for _ in range(300):
+        bad = bytearray(data)
+        for _ in range(r.randint(1, 6)):
+            bad[r.randrange(len(bad) if r.random() < 0.3 else 400)] = r.randrange(256)
+        assert all(p[3] >= 0 and p[2] + p[3] <= len(bad) for p in matroska.parse(bytes(bad))["packets"])
+    rows = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"\x00junk")), (3, None), (4, bytearray(data[:5000]))], "doc_id long, media binary")
+    n = {x["doc_id"]: x["count"] for x in matroska.packet_table(rows).groupBy("doc_id").count().collect()}
+    assert n[1] == 500 and n.keys() == {1, 4} and 0 < n[4] < 500
+
+
+def test_registered_media_equal_payloads(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = matroska.op7_matroska(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+
+
 def test_cues_point_at_clusters():
     data = matroska.mux(b"q" * 192 * 500)
     got = matroska.parse(data)
