@@ -9,13 +9,21 @@ It is trained by gradient steps on the likelihood of base spans in a bounded sam
 documents, and on the same zones with a phone's country code taken off. Its segments that
 overlap no base span are added; base spans stay.
 
-Null text is empty and has no spans. Offsets are code points, end exclusive.
+A zone may be a whole table of numbers: its segments are made and scored STEP tokens at a time, and what the whole
+zone keeps is a score and a step back for each token.
+
+Null text is empty and has no spans; repeated rows and null doc_ids keep a row each; an empty table gives no rows; other columns are
+left out by `detected` and kept by `redacted`, whatever their names. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +39,8 @@ SAMPLE = 400
 LOOKED = 20
 LONGEST = 20
 WIDTH = 1 << 12
+#: Tokens of a zone whose segments are held at a time.
+STEP = 512
 
 _SEEN = re.compile(r"[0-9@]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -160,50 +170,101 @@ _PLAUSIBLE = [re.compile(p) for p in (r"[^@]+@[^@]*[A-Za-z][^@]*", r"[0-9]+(?:\.
 _PLAUSIBLE_DIGITS = [(0, 99), (4, 12), (13, 19), (9, 15)]
 
 
-def plausible(s: str) -> list[int]:
-    """Kinds that a segment may be at all."""
-    d = len(_digits(s))
-    return [k for k, (p, (a, b)) in enumerate(zip(_PLAUSIBLE, _PLAUSIBLE_DIGITS)) if a <= d <= b and p.fullmatch(s)]
+def plausible(s: str, digits: int, at: bool) -> list[int]:
+    """Kinds that a segment with so many digits, and an @ or none, may be at all."""
+    return [k for k, (p, (a, b)) in enumerate(zip(_PLAUSIBLE, _PLAUSIBLE_DIGITS)) if a <= digits <= b and (at or k) and p.fullmatch(s)]
+
+
+def token_edges(text: str, begin: int, end: int) -> array:
+    return array("q", [*(m.start() for m in _TOKEN.finditer(text, begin, end)), end])
+
+
+_shapes: dict[tuple, list] = {}
+
 
+def _candidates(s: str, shape: str, digits: int, at: bool, left: str, right: str) -> list[tuple[int, list[int]]]:
+    """The kinds that a segment may be, with their feature numbers.
 
-def lattice(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int, int]], np.ndarray]:
-    """A zone's token edges, its candidate segments (token from, to, kind; -1 nothing) and their feature numbers (rows of WHOLE, 0 filled)."""
-    edges = [m.start() for m in _TOKEN.finditer(text, begin, end)] + [end]
+    `shape` is s with the lengths of its runs of digits in their place: all that features ask of it besides is whether it is a card's or an address's numbers."""
+    card = 14 <= digits <= 19 and luhn(_digits(s))
+    address = shape.count(".") == 3 and digits <= 12 and all(p.isascii() and p.isdigit() and int(p) <= 255 for p in s.split("."))
+    key = shape, card, address, _side(left), _side(right)
+    found = _shapes.get(key)
+    if found is None:
+        if len(_shapes) > 50_000:
+            _shapes.clear()
+        kinds = plausible(s, digits, at)
+        names = _whole(s, left, right) if kinds else []
+        found = [(k, _numbers([f"{k}:{x}" for x in names])) for k in kinds]
+        if len(shape) < 100:
+            _shapes[key] = found
+    return found
+
+
+def segments_from(text: str, edges: array, first: int, last: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """The candidate segments (token from, to, kind; -1 nothing) that begin at tokens first to last - 1 of a zone, and their feature numbers (rows of WHOLE, 0 filled)."""
     n, segments, rows = len(edges) - 1, [], []
-    for i in range(n):
+    for i in range(first, last):
         token = text[edges[i] : edges[i + 1]]
         kind = "d" + str(min(len(token), 20)) if token.isdigit() else "a" if token.isalpha() else token
         segments.append((i, i + 1, -1))
         rows.append([*_numbers(["O:bias", f"O:{kind}"]), *[0] * (WHOLE - 2)])
-        if not (token[0].isalnum() or token[0] in "+(") or text[max(edges[i] - 1, 0) : edges[i]].isalnum():
+        left = text[max(edges[i] - 1, 0) : edges[i]]
+        if not (token[0].isalnum() or token[0] in "+(") or left.isalnum():
             continue
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            s = text[edges[i] : edges[j]]
-            kinds = plausible(s) if s[-1].isalnum() and not text[edges[j] : edges[j] + 1].isalnum() else []
-            if not kinds:
+        farthest, digits, at, shape = min(n, i + LONGEST), 0, False, ""
+        mail = text.find("@", edges[i], edges[farthest]) >= 0
+        for j in range(i + 1, farthest + 1):
+            c = text[edges[j - 1]]
+            at |= c == "@"
+            if "0" <= c <= "9":
+                digits += edges[j] - edges[j - 1]
+                if digits > 19 and not mail:  # too long for any kind, and so is what follows
+                    break
+                shape += f"#{edges[j] - edges[j - 1]}"
+            else:
+                shape += c if edges[j] - edges[j - 1] == 1 else text[edges[j - 1] : edges[j]]
+            right = text[edges[j] : edges[j] + 1]
+            if digits < 4 and not at or not text[edges[j] - 1].isalnum() or right.isalnum():
                 continue
-            names = _whole(s, text[max(edges[i] - 1, 0) : edges[i]], text[edges[j] : edges[j] + 1])
-            for k in kinds:
+            for k, numbers in _candidates(text[edges[i] : edges[j]], shape, digits, at, left, right):
                 segments.append((i, j, k))
-                rows.append(_numbers([f"{k}:{x}" for x in names]))
-    return edges, segments, np.array(rows, np.int64).reshape(-1, WHOLE)
+                rows.append(numbers)
+    return segments, np.array(rows, np.int64).reshape(-1, WHOLE)
+
+
+def lattice(text: str, begin: int, end: int) -> tuple[array, list[tuple[int, int, int]], np.ndarray]:
+    """A zone's token edges, and all its candidate segments with their feature numbers."""
+    edges = token_edges(text, begin, end)
+    return edges, *segments_from(text, edges, 0, len(edges) - 1)
 
 
 def _scores(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
     return w[rows].sum(axis=1)
 
 
-def decode(n: int, segments: list[tuple[int, int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best cut of a zone's n tokens, without the segments that are nothing."""
-    best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
-    for (i, j, k), s in zip(segments, scores.tolist()):  # segments come by their first token, whose best is final by then
-        if best[i] + s > best[j]:
-            best[j], back[j] = best[i] + s, (i, j, k)
+def decode(n: int, parts: Iterable[tuple[list[tuple[int, int, int]], np.ndarray]]) -> list[tuple[int, int, int]]:
+    """The best cut of a zone's n tokens, without the segments that are nothing, from (segments, scores) in order of their first tokens."""
+    best, back, kind = array("d", [0.0]) + array("d", [-np.inf]) * n, array("q", [0]) * (n + 1), array("b", [0]) * (n + 1)
+    for segments, scores in parts:
+        for (i, j, k), s in zip(segments, scores.tolist()):  # a first token's best is final by then
+            if best[i] + s > best[j]:
+                best[j], back[j], kind[j] = best[i] + s, i, k
     out, at = [], n
     while at:
-        out.append(back[at])
-        at = back[at][0]
-    return [s for s in reversed(out) if s[2] >= 0]
+        if kind[at] >= 0:
+            out.append((back[at], at, kind[at]))
+        at = back[at]
+    return out[::-1]
+
+
+def best_segments(text: str, begin: int, end: int, w: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(start, end, kind) of the segments of a zone's best cut."""
+    edges = token_edges(text, begin, end)
+    n = len(edges) - 1
+    parts = (segments_from(text, edges, a, min(n, a + STEP)) for a in range(0, n, STEP))
+    for i, j, k in decode(n, ((segments, _scores(rows, w)) for segments, rows in parts)):
+        yield edges[i], edges[j], k
 
 
 def _expected(n: int, segments: list[tuple[int, int, int]], scores: np.ndarray) -> np.ndarray:
@@ -275,13 +336,13 @@ def train(texts: list[str], epochs: int = 6, rate: float = 0.3, l2: float = 1e-3
 def all_spans(text: str, w: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: these and the field's segments that overlap none of them."""
     base = base_spans(text)
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
     added = []
     if _SEEN.search(text):
         for begin, end in zones(text):
-            edges, segments, rows = lattice(text, begin, end)
-            for i, j, k in decode(len(edges) - 1, segments, _scores(rows, w)):
-                a, b = edges[i], edges[j]
-                if not any(a < y and x < b for x, y, _ in base):
+            for a, b, k in best_segments(text, begin, end, w):
+                before = bisect_left(starts, b)  # base spans that begin before its end
+                if not before or reach[before - 1] <= a:
                     added.append((a, b, k))
     return base, sorted([*base, *added], key=lambda s: (s[0], s[2]))
 

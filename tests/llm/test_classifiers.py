@@ -93,3 +93,83 @@ def test_spans_are_code_points(spark, tables):
     model = toxicity.fit(docs, labels)
     r = toxicity.scored(spark.createDataFrame([(1, "é漢 sun grumfly sea")], "doc_id long, text string"), model).first()
     assert r["spans"] == "7-14" and r["predicted"] == 1
+
+
+def test_training_and_scores_equal_plain_ftrl():
+    """One update after the other with dictionaries, on the features named in the module's text."""
+    docs, labels = made(60)
+    texts, y = [(t or "").encode() for _, t, *_ in docs], [q for _, q, _ in labels]
+    f, first = quality.features(texts)
+    rows = []
+    for a, b in zip(first[:-1], first[1:]):
+        x = {}
+        for i in f[a:b].tolist():
+            x[i] = x.get(i, 0.0) + quality.SCALE / (b - a)
+        rows.append(x | {1 << quality.BITS: 1.0})
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.1
+    z, n = {}, {}
+
+    def weight(i):
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - (l1 if v > 0 else -l1)) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(2):
+        for x, label in zip(rows, y):
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g, m = (p - label) * v, n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((m + g * g) ** 0.5 - m**0.5) / alpha * w[i]
+                n[i] = m + g * g
+    got = quality.train(texts, y, epochs=2)
+    assert np.allclose([got[i] for i in z], [weight(i) for i in z], atol=1e-9) and np.count_nonzero(got) == sum(weight(i) != 0 for i in z)
+    dots = [sum(weight(i) * v for i, v in x.items()) for x in rows]
+    assert np.allclose(quality.score(texts, got), 1 / (1 + np.exp(-np.array(dots))), atol=2e-9)
+
+
+def test_features_are_words_pairs_shapes_and_repeats():
+    names = lambda text: {tuple(r) for r in quality.features([text])[0].reshape(-1, 4).tolist()}
+    assert len(names(b"Sun sun sun SUN")) == 4  # one word, but the first of a text, a repeat, and in capitals
+    a, b = quality.features([b"sea SUN!! 12", b"sea sun!! 13"])[0].reshape(2, 4, 4)
+    assert (a[:, 0] == b[:, 0]).tolist() == [True, True, True, False]
+    assert (a[:, 1] == b[:, 1]).tolist() == [True, True, True, False]
+    assert (a[:, 2] == b[:, 2]).tolist() == [True, False, True, True]
+
+
+def test_toxic_scores_equal_sums_over_all_taggings(tables):
+    """A document's score from the marginals of every tagging of its words, one by one."""
+    docs, labels = tables
+    model = toxicity.fit(docs, labels)
+    for text in (b"sun grumfly sea", b"Grumf grumfing hills", b"lamp door rain roads tree", b"grumf", b"a b c d e f g"):
+        f, *_ = toxicity.tokens([text])
+        e = np.clip(model["w"][f].sum(axis=1) + model["bias"], -30, 30)
+        total, ones = 0.0, np.zeros(len(e))
+        for code in range(1 << len(e)):
+            tags = [code >> i & 1 for i in range(len(e))]
+            s = sum(e[i] * tags[i] + (model["trans"][tags[i - 1], tags[i]] if i else model["init"] * tags[0]) for i in range(len(e)))
+            total += np.exp(s)
+            ones += np.exp(s) * np.array(tags)
+        p = np.clip(ones / total, 1e-6, 1 - 1e-6)
+        odds = sorted(np.log(p / (1 - p)), reverse=True)
+        x = np.array([odds[0], odds[1] if len(odds) > 1 else -12.0, np.log1p(p.sum()), 1.0])
+        want = 1 / (1 + np.exp(-np.clip(x @ model["scale"], -35, 35)))
+        got, spans = toxicity.score([text], model)
+        assert abs(got[0] - want) < 1e-6
+        words = list(__import__("re").finditer(rb"[A-Za-z]+", text))
+        assert spans[0] == [m.span() for m, q in zip(words, p) if q >= 0.5]
+
+
+@pytest.mark.parametrize("module, query, label, at", [(quality, quality.op5_quality, "quality", 0.3), (toxicity, toxicity.op1_toxicity, "toxic", 0.5)])
+def test_registered_scores_of_whole_tables(spark, module, query, label, at):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in query(spark, sf).collect()}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    model = module.fit(docs, labels)
+    for d in list(texts)[::37]:  # one text at a time gives the same score
+        s = module.score([texts[d]], model)
+        s = (s[0] if module is toxicity else s)[0]
+        assert got[d]["score"] == pytest.approx(s, abs=2e-9) and got[d]["predicted"] == int(got[d]["score"] >= at)
+    held = [r for r in labels.collect() if got[r["doc_id"]]["held_out"] and r[label] is not None]
+    assert np.mean([got[r["doc_id"]]["predicted"] == r[label] for r in held]) >= 0.95

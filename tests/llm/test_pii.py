@@ -59,7 +59,70 @@ def test_expected_and_best_cut_equal_all_cuts():
         expected[c] += w / sum(weight)
     assert np.allclose(pii._expected(3, segments, scores), expected)
     best = cuts[int(np.argmax(weight))]
-    assert pii.decode(3, segments, scores) == [segments[i] for i in best if segments[i][2] >= 0]
+    halves = [(segments[:3], scores[:3]), (segments[3:], scores[3:])]
+    assert pii.decode(3, halves) == [segments[i] for i in best if segments[i][2] >= 0]
+
+
+def test_candidates_are_all_plausible_segments():
+    r = random.Random(7)
+    for _ in range(400):
+        text = "".join(r.choice("0123456789012345678901234567899  .-+()@ab") for _ in range(r.randint(1, 60)))
+        edges, segments, rows = pii.lattice(text, 0, len(text))
+        n, want = len(edges) - 1, []
+        for i in range(n):
+            want.append((i, i + 1, -1))
+            c = text[edges[i]]
+            if not (c.isalnum() or c in "+(") or text[max(edges[i] - 1, 0) : edges[i]].isalnum():
+                continue
+            for j in range(i + 1, min(n, i + pii.LONGEST) + 1):
+                s = text[edges[i] : edges[j]]
+                if s[-1].isalnum() and not text[edges[j] : edges[j] + 1].isalnum():
+                    d = sum(x.isdigit() for x in s)
+                    want += [(i, j, k) for k in range(4) if pii._PLAUSIBLE_DIGITS[k][0] <= d <= pii._PLAUSIBLE_DIGITS[k][1] and pii._PLAUSIBLE[k].fullmatch(s)]
+        assert segments == want and len(rows) == len(want)
+        for (i, j, k), row in zip(segments, rows.tolist()):
+            if k >= 0:
+                names = pii._whole(text[edges[i] : edges[j]], text[max(edges[i] - 1, 0) : edges[i]], text[edges[j] : edges[j] + 1])
+                assert row == pii._numbers([f"{k}:{x}" for x in names])
+
+
+def test_spans_do_not_depend_on_steps_and_overlap_nothing(weights, monkeypatch):
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["4532015112830366", "10.1.2.3", "(212) 555-1234", "+1 (212) 555-1234", "77", "a@b.org", str(r.randint(0, 10**12))]) for _ in range(80)) for _ in range(20)]
+    want = [pii.all_spans(t, weights) for t in texts]
+    for base, every in want:
+        added = [s for s in every if s not in base]
+        assert all(not (a < y and x < b) for a, b, _ in added for x, y, _ in base)
+    monkeypatch.setattr(pii, "STEP", 7)
+    assert [pii.all_spans(t, weights) for t in texts] == want
+
+
+def test_a_megabyte_of_numbers(weights):
+    import time
+    import tracemalloc
+
+    r, begin = random.Random(2), time.process_time()
+    text = " ".join(str(r.randint(0, 99999)) for _ in range(180_000))[:1_000_000]
+    pii.all_spans(text[:250_000], weights)
+    tracemalloc.start()
+    pii.all_spans(text[500_000:520_000], weights)
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    tracemalloc.stop()
+    part = time.process_time() - begin
+    begin = time.process_time()
+    pii.all_spans(text, weights)
+    assert time.process_time() - begin < 6 * part + 2 and part < 30
+
+
+def test_registered_query_equals_patterns(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = pii.op10_pii(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = brute(texts[r["doc_id"]] or "")
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(s[2] == k for s in base) for k in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(pii.written(base).encode()).hexdigest()
+        assert set(pii.written(base).split(",")) <= set(r["spans"].split(","))
 
 
 def test_detected_and_redacted(spark, weights):
@@ -76,4 +139,4 @@ def test_detected_and_redacted(spark, weights):
 
 
 def test_odd_digits_do_not_crash(weights):
-    pii.all_spans("²³.¹.1.2 ٣٤٥.1.1.1 1²3@é.com", weights)
+    pii.all_spans("²³.¹.1.2 ٣٤٥.1.1.1 1²3@é.com ²³.¹.111.222 11.22.33.٤4", weights)
