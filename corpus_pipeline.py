@@ -5,13 +5,11 @@ Each stage takes what its predecessor kept and returns the columns of documents;
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm import mixing, near_dup, packing, pii, quality
-from lakewarden.llm.common import cut, ensure_checkpoint_dir, table
+from lakewarden.llm.common import cut, numbered, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +21,14 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One row of each group of near-duplicates by sets of five words: the one with the smallest doc_id, null last.
 
     Rows are told apart by a number, as ids may be null or repeated. Rows without words are in no group and stay."""
-    path = f"{ensure_checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    found = near_dup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k=5, percent=80)
-    groups = cut(found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")))
-    crowded = groups.groupBy("__group").agg(F.count("*").alias("__n")).where("__n > 1").select("__group")
-    members = groups.join(crowded, "__group").join(rows.select("__row", F.col("doc_id").cast("long").alias("__id")), "__row")
-    first = members.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("nameless"), "__id", "__row"))["__row"].alias("__first"))
-    gone = members.join(first, "__group").where("__row <> __first").select(F.col("__row").alias("__gone"))
-    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = near_dup.near_duplicates(rows.select(F.col("n").alias("doc_id"), F.col("row.text").alias("text")), k=5, percent=80)
+    groups = cut(found.select(F.col("doc_id").alias("n"), F.col("component_id").alias("group")))
+    crowded = groups.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").select("group")
+    members = groups.join(crowded, "group").join(rows.select("n", F.col("row.doc_id").cast("long").alias("id")), "n")
+    first = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "n"))["n"].alias("first"))
+    gone = members.join(first, "group").where("n <> first").select("n")
+    return rows.join(gone, "n", "left_anti").select("row.*")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in turn, each written to the shared folder and read again; the last is returned as it is."""
-    base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
