@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,15 @@ def normalised(c: Column, kind: T.DataType) -> Column:
     return c
 
 
+def normalised_column(name: str, kind: T.DataType) -> Column:
+    """The same of a column by its exact name. One expression text instead of a column object for each sentinel, which adds up over wide tables."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    if isinstance(kind, T.StringType):
+        listed = ", ".join("'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'" for s in config.SENTINELS)
+        return F.expr(f"CASE WHEN {quoted} NOT IN ({listed}) THEN {quoted} END")
+    return normalised(F.col(quoted), kind)
+
+
 def as_text(c: Column, kind: T.DataType) -> Column:
     """A value as patterns see it; fractions without exponents."""
     return c.cast("decimal(38,6)").cast("string") if isinstance(kind, (T.FloatType, T.DoubleType)) else c.cast("string")
@@ -36,11 +47,20 @@ def contains(c: Column, pattern: str) -> Column:
     return c.rlike(pattern)
 
 
+def date_shape(pattern: str) -> str:
+    """A pattern for all that a date format may read: digits, names and marks in its order. It only spares cells of other shapes the parsing."""
+    parts = {"y": r"[+-]?[0-9]+", "MMM": r"[^0-9 ]+"}
+    found = re.findall(r"y+|M+|[a-zA-Z]+|'[^']*'|.", pattern)
+    return "".join(parts.get(f, parts["y"] if f[0] == "y" else "[0-9]+" if f.isalpha() else re.escape(f.strip("'"))) for f in found)
+
+
 def as_timestamp(c: Column, kind: T.DataType) -> Column:
-    """A timestamp by the first format that fits, else null."""
+    """A timestamp by the first format that fits, else null. A cell is parsed only by formats of its shape."""
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("timestamp")
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in config.DATE_FORMATS])
+    shapes = {f: rf"\A{date_shape(f)}\z" for f in config.DATE_FORMATS}
+    parsed = F.coalesce(*[F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(f))) for f, shape in shapes.items()])
+    return F.when(c.rlike(r"\A[0-9+-][^\n]*[0-9]\z"), parsed)
 
 
 def half_even(c: Column, digits: int) -> Column:

@@ -9,8 +9,12 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
+
 from lakewarden import config
 
+_ANSWER = "transport string, prompt string, answer string"
 _NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)?")
 
 
@@ -41,13 +45,31 @@ def facts_text(facts: dict[str, object]) -> tuple[str, set[float]]:
 
 @dataclass
 class Writer:
-    """Asks a transport at most twice and keeps answers by transport and prompt."""
+    """Asks a transport at most twice and keeps answers by transport and prompt. `load` and `save` carry them from run to run."""
 
     transport: str | Callable[[str], str] = "off"
     cache: dict[tuple[str, str], str] = field(default_factory=dict)
+    known: set[tuple[str, str]] = field(default_factory=set)
     rejected_numbers: int = 0
     rejected_terms: int = 0
 
+    def load(self, spark: SparkSession, path: str) -> Writer:
+        """Takes over the answers saved at path, if there are any."""
+        try:
+            rows = spark.read.schema(_ANSWER).json(path).collect()  # a few lines a report
+        except AnalysisException:
+            return self
+        self.cache |= {(r["transport"], r["prompt"]): r["answer"] for r in rows}
+        self.known |= self.cache.keys()
+        return self
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Appends the answers that path doesn't have yet."""
+        new = [(*k, v) for k, v in self.cache.items() if k not in self.known]
+        if new:
+            spark.createDataFrame(new, _ANSWER).coalesce(1).write.mode("append").json(path)
+            self.known |= self.cache.keys()
+
     def write(self, task: str, facts: dict[str, object]) -> str | None:
         if self.transport == "off":
             return None

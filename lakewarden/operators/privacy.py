@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden import config
-from lakewarden.functions.columns import as_text, contains, mask, normalised
+from lakewarden.functions.columns import as_text, contains, mask, normalised_column
 from lakewarden.operators.findings import Finding, articles
 from lakewarden.operators.quality import CELL
 from lakewarden.operators.typing import Typed, type_from_name
@@ -31,7 +31,7 @@ def scan(df: DataFrame, wanted: dict[str, list[str]], issue: str, row: str = ROW
         return df.sparkSession.createDataFrame([], CELL)
     records = []
     for name, kinds in wanted.items():
-        text = as_text(normalised(column(name), df.schema[name].dataType), df.schema[name].dataType)
+        text = as_text(normalised_column(name, df.schema[name].dataType), df.schema[name].dataType)
         records += [F.struct(F.lit(issue).alias("issue_type"), F.lit(name).alias("column"), F.lit(k).alias("kind"), F.coalesce(contains(text, config.PATTERNS[k]), F.lit(False)).alias("hit")) for k in kinds]
     return df.select(F.inline(F.array(*records)), F.col(row).cast("long").alias("row_id")).where("hit").drop("hit")
 

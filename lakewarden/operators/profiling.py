@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden import config
-from lakewarden.functions.columns import as_text, normalised
+from lakewarden.functions.columns import as_text, normalised_column
 from lakewarden.sources.tables import ROW, column
 
 SIMPLE = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -42,7 +42,7 @@ def basics(df: DataFrame) -> DataFrame:
 def _basics(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
-        c = normalised(column(f.name), f.dataType)
+        c = normalised_column(f.name, f.dataType)
         aggs.append(F.count(c).alias(f"n{i}"))
         if isinstance(f.dataType, T.StringType):
             aggs.append(F.avg(F.length(c)).alias(f"len{i}"))
@@ -51,9 +51,9 @@ def _basics(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
             aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.avg(x).alias(f"avg{i}")]
     row = df.agg(*aggs)
     null = F.lit(None).cast("double")
-    records = []
+    names, records = set(row.columns), []
     for i, f in enumerate(fields):
-        has = lambda name: f"{name}{i}" in row.columns  # noqa: B023, E731
+        has = lambda name: f"{name}{i}" in names  # noqa: B023, E731
         nulls = F.col("rows") - F.col(f"n{i}")
         records.append(
             F.struct(
@@ -73,17 +73,22 @@ def _basics(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
 
 def values(df: DataFrame) -> DataFrame:
     """(name, value, row): one row a non-null cell, values as text."""
-    cells = [F.struct(F.lit(f.name).alias("name"), as_text(normalised(column(f.name), f.dataType), f.dataType).alias("value")) for f in profiled_fields(df)]
+    cells = [F.struct(F.lit(f.name).alias("name"), as_text(normalised_column(f.name, f.dataType), f.dataType).alias("value")) for f in profiled_fields(df)]
     row = F.col(ROW) if ROW in df.columns else F.monotonically_increasing_id()
     return df.select(row.alias("row"), F.inline(F.array(*cells))).where("value is not null")
 
 
 def distincts(df: DataFrame, samples: int = 5) -> DataFrame:
-    """name, distinct_count, top_count, non_null, samples (first values in row order): one shuffle on (name, value)."""
+    """name, distinct_count, top_count, non_null, samples (first values in row order): one shuffle on (name, value).
+
+    Samples are the first of each slice of a column's values, then of these, so that no task sorts all values of a column."""
     counted = values(df).groupBy("name", "value").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     totals = counted.groupBy("name").agg(F.count("*").alias("distinct_count"), F.max("n").alias("top_count"), F.sum("n").alias("non_null"))
-    place = Window.partitionBy("name").orderBy("first", "value")
-    firsts = counted.withColumn("place", F.row_number().over(place)).where(F.col("place") <= samples)
+    # A slice of the values of each column by their hash is cut to its first ones before a column's slices come together.
+    firsts = counted.withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(64)))
+    for part in (["slice"], []):
+        place = Window.partitionBy("name", *part).orderBy("first", "value")
+        firsts = firsts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= samples)
     listed = firsts.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("samples"))
     return totals.join(listed, "name", "left")
 
@@ -92,7 +97,7 @@ def approximate_distincts(df: DataFrame, error: float = 0.02) -> DataFrame:
     """As distincts, with counts by mergeable sketches: one pass, and no value is shuffled. There are no samples and no top counts."""
 
     def one(fields: list[T.StructField]) -> DataFrame:
-        cells = [normalised(column(f.name), f.dataType) for f in fields]
+        cells = [normalised_column(f.name, f.dataType) for f in fields]
         row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(c, error).alias(f"d{i}") for i, c in enumerate(cells)], *[F.count(c).alias(f"n{i}") for i, c in enumerate(cells)])
         null = F.lit(None)
         records = [F.struct(F.lit(f.name).alias("name"), F.col(f"d{i}").alias("distinct_count"), null.cast("long").alias("top_count"), F.col(f"n{i}").alias("non_null"), null.cast("array<string>").alias("samples")) for i, f in enumerate(fields)]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lakewarden import config
-from lakewarden.functions.columns import as_text, as_timestamp, normalised, whole_match
+from lakewarden.functions.columns import as_text, as_timestamp, normalised_column, whole_match
 from lakewarden.operators.findings import Finding
 from lakewarden.operators.profiling import profiled_fields
 from lakewarden.operators.typing import Typed
@@ -35,7 +35,7 @@ class Dimension:
 
 
 def _cell(df: DataFrame, name: str) -> Column:
-    return normalised(column(name), df.schema[name].dataType)
+    return normalised_column(name, df.schema[name].dataType)
 
 
 def _class_of(types: list[Typed], name: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden import config
@@ -60,9 +60,9 @@ def rationale() -> Column:
 
 
 def recommendations(findings: DataFrame) -> DataFrame:
-    """The worst finding of each issue and column with the playbook's action."""
-    order = Window.partitionBy("issue_type", "column").orderBy(F.desc("risk"), F.desc("affected_rows"), "finding_key")
-    first = findings.withColumn("__r", F.row_number().over(order)).where("__r = 1")
+    """The worst finding of each issue and column with the playbook's action. The worst is found by an aggregate that is combined before the shuffle."""
+    kept = F.struct((-F.col("risk")).alias("least"), (-F.col("affected_rows")).alias("fewest"), "finding_key", *[c for c in ("id", "risk", "band", "status", "description", "affected_rows", "total_rows")])
+    first = findings.groupBy("issue_type", "column").agg(F.min(kept).alias("worst")).select("issue_type", "column", "worst.*")
     actions = {i: F.create_map(*[F.lit(x) for k, v in config.PLAYBOOK.items() for x in (k, v[i])]) for i in range(3)}
     part = lambda i: F.coalesce(F.element_at(actions[i], F.col("issue_type")), F.lit(config.DEFAULT_ACTION[i]))
     out = first.select(F.col("id").alias("finding_id"), "column", "issue_type", part(0).alias("action"), part(1).alias("suggested_owner"), part(2).alias("effort"), rationale().alias("rationale"), "risk", "band", "status", "affected_rows")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden import config
-from lakewarden.functions.columns import as_text, as_timestamp, normalised, whole_match
+from lakewarden.functions.columns import as_text, as_timestamp, normalised_column, whole_match
 from lakewarden.operators.profiling import in_chunks, profiled_fields
 from lakewarden.sources.tables import column, normal_name
 
@@ -23,24 +23,27 @@ def type_from_name(name: str) -> str | None:
 
 
 def match_rates(df: DataFrame) -> DataFrame:
-    """name, non_null, date_rate and one rate a pattern: the share of non-null values that match as a whole. One pass for each 20 columns."""
-    return in_chunks(profiled_fields(df), lambda fields: _rates(df, fields), 20)
+    """name, non_null, date_rate and one rate a pattern: the share of non-null values that match as a whole.
+
+    Cells are unpivoted within their rows, so that one small set of expressions serves all columns; what is shuffled is a row a column and task."""
+    return in_chunks(profiled_fields(df), lambda fields: _rates(df, fields), 200)
 
 
 def _rates(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    aggs = []
+    kinds = "name string, non_null long, date_rate double, " + ", ".join(f"{k} double" for k in config.PATTERNS)
+    if not fields:
+        return df.sparkSession.createDataFrame([], kinds)
+    cells = []
     for i, f in enumerate(fields):
-        c = normalised(column(f.name), f.dataType)
-        text = as_text(c, f.dataType)
-        aggs.append(F.count(c).alias(f"n{i}"))
-        aggs += [F.coalesce(F.avg(whole_match(text, p).cast("double")), F.lit(0.0)).alias(f"{k}{i}") for k, p in config.PATTERNS.items()]
-        dates = isinstance(f.dataType, T.StringType)
-        aggs.append((F.coalesce(F.avg(F.when(c.isNotNull(), as_timestamp(c, f.dataType).isNotNull().cast("double"))), F.lit(0.0)) if dates else F.max(F.lit(0.0))).alias(f"date{i}"))
-    row = df.agg(*aggs)
-    records = [F.struct(F.lit(f.name).alias("name"), F.col(f"n{i}").alias("non_null"), F.coalesce(F.col(f"date{i}"), F.lit(0.0)).alias("date_rate"), *[F.col(f"{k}{i}").alias(k) for k in config.PATTERNS]) for i, f in enumerate(fields)]
-    if not records:
-        return df.sparkSession.createDataFrame([], "name string, non_null long, date_rate double, " + ", ".join(f"{k} double" for k in config.PATTERNS))
-    return row.select(F.inline(F.array(*records)))
+        text = as_text(normalised_column(f.name, f.dataType), f.dataType)
+        cells.append(F.struct(F.lit(i).alias("i"), text.alias("value"), F.lit(isinstance(f.dataType, T.StringType)).alias("dated")))
+    long = df.select(F.inline(F.array(*cells))).where("value is not null")
+    value = F.col("value")
+    is_date = F.col("dated") & as_timestamp(value, T.StringType()).isNotNull()
+    rates = long.groupBy("i").agg(F.count("*").alias("non_null"), F.avg(is_date.cast("double")).alias("date_rate"), *[F.avg(whole_match(value, p).cast("double")).alias(k) for k, p in config.PATTERNS.items()])
+    names = df.sparkSession.createDataFrame([(i, f.name) for i, f in enumerate(fields)], "i int, name string")
+    filled = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("date_rate", *config.PATTERNS)]
+    return rates.join(F.broadcast(names), "i", "right").select("name", F.coalesce("non_null", F.lit(0)).alias("non_null"), *filled)
 
 
 @dataclass(frozen=True)

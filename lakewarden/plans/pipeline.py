@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +23,11 @@ NO_ROWS = "the table has no rows"
 
 @dataclass
 class Assessment:
-    """Small things as values, the rest as lazy DataFrames. `cells` has the rows at fault."""
+    """Small things as values, the rest as lazy DataFrames. `cells` has the rows at fault. The catalog's exact profile is planned when it is asked for."""
 
     dataset: str
     total_rows: int
-    catalog: DataFrame
+    listing: Callable[[], DataFrame]
     types: list[Typed]
     dimensions: list[Dimension]
     overall_score: float | None
@@ -34,6 +36,10 @@ class Assessment:
     recommendations: DataFrame
     audit: list[dict] = field(default_factory=list)
 
+    @cached_property
+    def catalog(self) -> DataFrame:
+        return self.listing()
+
 
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="seconds")
@@ -57,7 +63,6 @@ def assess(df: DataFrame, dataset: str = "table", rules: config.Profile | None =
     df = df.withColumnRenamed(row, ROW) if row else with_row_id(df)
     base = basics(df).collect() if profiled_fields(df) else []
     types = typed_columns(df, base) if base else []
-    listed = catalog(df, profile(df), types)
     total = base[0]["rows"] if base else df.count()
     note("profiled", columns=len(types), rows=total)
 
@@ -98,7 +103,7 @@ def assess(df: DataFrame, dataset: str = "table", rules: config.Profile | None =
     out = cells[0]
     for c in cells[1:]:
         out = out.unionByName(c.select("issue_type", "column", "kind", F.col("row_id").cast("long").alias("row_id")))
-    return Assessment(dataset, total, listed, types, dimensions, quality.overall(dimensions), findings, out, risk.recommendations(findings), audit)
+    return Assessment(dataset, total, lambda: catalog(df, profile(df), types), types, dimensions, quality.overall(dimensions), findings, out, risk.recommendations(findings), audit)
 
 
 def report(a: Assessment, df: DataFrame | None = None) -> dict:

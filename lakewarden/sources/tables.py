@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -145,13 +146,18 @@ def read_report(spark: SparkSession, path: str) -> dict | None:
 
 
 AUDIT = "timestamp string, actor string, action string, dataset string, detail string"
+#: What the log holds besides: when the entry was appended, in microseconds, and its place among those appended with it.
+_PLACE = ", appended long, place long"
 
 
 def append_audit(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").json(path)
+    """Appends entries in the order of their rows."""
+    at = time.time_ns() // 1000
+    entries.withColumns({"appended": F.lit(at), "place": F.monotonically_increasing_id()}).write.mode("append").json(path)
 
 
 def audit_tail(spark: SparkSession, path: str, rows: int = 40, width: int = 120) -> DataFrame:
-    """The latest entries, newest first, details cut to `width` characters."""
-    log = spark.read.schema(AUDIT).json(path)
-    return log.orderBy(F.desc("timestamp"), "action").limit(rows).withColumn("detail", F.left("detail", F.lit(width)))
+    """The latest entries in the order they were appended, last first, details cut to `width` characters."""
+    log = spark.read.schema(AUDIT + _PLACE).json(path)
+    last = log.orderBy(F.desc_nulls_last("appended"), F.desc_nulls_last("place"), F.desc("timestamp"), "action").limit(rows)
+    return last.drop("appended", "place").withColumn("detail", F.left("detail", F.lit(width)))

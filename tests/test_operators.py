@@ -151,6 +151,45 @@ def test_review_log(spark, tmp_path):
     assert [(r["finding_id"], r["decision"]) for r in review.current(review.log(spark, path)).collect()] == [("f1", "rejected")]
 
 
+def test_decisions_are_audited(spark, tmp_path):
+    path, audit = str(tmp_path / "log"), str(tmp_path / "audit")
+    review.record(spark, path, "f1", "approved", " ann ", "seen", audit=audit, dataset="d")
+    review.record(spark, path, "f1", "rejected", "bob", audit=audit, dataset="d")
+    review.clear(spark, path, "f1", "ann", audit=audit, dataset="d")
+    assert [(r["action"], r["actor"], r["dataset"], r["detail"]) for r in tables.audit_tail(spark, audit).collect()] == [("review_reopened", "ann", "d", "f1"), ("review_rejected", "bob", "d", "f1"), ("review_approved", "ann", "d", "f1: seen")]
+    assert review.current(review.log(spark, path)).count() == 0
+    with pytest.raises(ValueError):
+        review.record(spark, path, "f1", "reopened", "ann")
+
+
+def test_audit_of_one_second_keeps_its_order(spark, tmp_path):
+    for actions in (["profiled", "assessed", "not_cited"], ["b", "a"]):
+        rows = [{"timestamp": "2026-01-01T00:00:00", "actor": "a", "action": x, "dataset": "d", "detail": ""} for x in actions]
+        tables.append_audit(pipeline.audit_table(spark, rows), str(tmp_path / "log"))
+    assert [r["action"] for r in tables.audit_tail(spark, str(tmp_path / "log")).collect()] == ["a", "b", "not_cited", "assessed", "profiled"]
+
+
+def test_answers_outlive_a_run(spark, tmp_path):
+    asked, path = [], str(tmp_path / "answers")
+    ask = lambda p: asked.append(p) or "Fine."
+    for _ in range(2):
+        w = narrative.Writer(ask).load(spark, path)
+        assert w.write("x", {"a": 1}) == "Fine."
+        w.save(spark, path)
+    assert len(asked) == 1 and narrative.Writer(ask).load(spark, path).cache.keys() == w.cache.keys()
+
+
+def test_dates_are_parsed_by_shape(spark):
+    from pyspark.sql import types as T
+
+    cells = ["2024-02-29", "2024-02-30", "2024-2-9", "2024/12/31", "12/31/2024", "31-12-2024", "31 Dec 2024", "31 Xyz 2024", "2024-01-01 10:20:30", "2024-01-01T10:20:30", "12345", "+1 555", "", "x", "2024-01-01\n", "١٢-١٢-٢٠٢٤", "99999-01-01", "+12024-01-01"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    plain = F.coalesce(*[F.try_to_timestamp("c", F.lit(f)) for f in config.DATE_FORMATS])
+    rows = df.select("c", (fx.as_timestamp(F.col("c"), T.StringType()).cast("string")).alias("got"), plain.cast("string").alias("want")).collect()
+    assert {r["c"]: r["got"] for r in rows} == {r["c"]: r["want"] for r in rows}
+    assert sum(r["want"] is not None for r in rows) >= 7
+
+
 def test_metrics_of_nothing(spark):
     none = spark.createDataFrame([], "defect_type string, column string, row_id long")
     m = evaluate.metrics(evaluate.compared(none, none)).first()
