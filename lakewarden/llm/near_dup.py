@@ -47,7 +47,7 @@ MARGIN = 0.1
 #: Texts, and members of a bucket by their sketches, that one group holds: of those that ask and of those that answer each.
 BLOCK, MEET = 256, 512
 #: Bytes of text that one group holds, if no single pair of texts is longer.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 U = np.uint64
 
 

@@ -103,27 +103,20 @@ class Words(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.bytes, self.raw = 0, []
+        self.raw = bytearray()
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
-        self.raw.append(blake2b(word, digest_size=16, key=b"shingles").digest())
-        self.bytes += len(word) + 150
+        self.raw += blake2b(word, digest_size=16, key=b"shingles").digest()
         return n
 
     def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
         """Both hashes (two rows) of all words of lower-cased texts, one after the other, and each text's number of words."""
-        if self.bytes > WORDS_BYTES:
-            self.clear()
-            self.bytes, self.raw = 0, []
-        at = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in map(split, texts)]
-        table = np.frombuffer(b"".join(self.raw), U).reshape(-1, 2).T
-        return table[:, np.concatenate([np.empty(0, np.int64), *at])], [len(a) for a in at]
+        at = [np.fromiter(map(self.__getitem__, w), np.int32, len(w)) for w in map(split, texts)]
+        table = np.frombuffer(self.raw, U).reshape(-1, 2).T
+        return table[:, np.concatenate([np.empty(0, np.int32), *at])], [len(a) for a in at]
 
 
-#: What remembered words may take up in a worker process, about.
-WORDS_BYTES = 60_000_000
-_words = Words()
 _LOWER = LOWER.tobytes()
 
 
@@ -147,7 +140,7 @@ def shingle_sets(texts: list[bytes], k: int, at_once: int = 500_000) -> list[tup
 
 
 def _shingle_sets(texts: list[bytes], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    h, counts = _words.hashes(texts)
+    h, counts = Words().hashes(texts)  # words are remembered for this slab only, so that workers hold none
     n = h.shape[1]
     if n >= k:
         rolled = np.zeros((2, n - k + 1), U)
