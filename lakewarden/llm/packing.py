@@ -33,6 +33,8 @@ from lakewarden.llm.common import scratch, slabs, table
 from lakewarden.llm.tokens import encoder, vocabulary_path
 
 WINDOW = 2048
+#: Pieces of text that a worker remembers the ids of.
+REMEMBER = 200_000
 #: Ids whose remainders are packed at a time, and ids of the tails of one group.
 GROUP_IDS = 4_000_000
 
@@ -71,13 +73,14 @@ def fill(counts: dict[int, int], room: int, lengths: list[int] | None = None) ->
 class Packer:
     """Pieces in, placed pieces out. A piece is (document, first id's place in it, ids as u32 bytes, ids of the document)."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window, self.next, self.pool = window, 0, defaultdict(list)
+    def __init__(self, window: int = WINDOW, keep: bool = True):
+        """keep: placed pieces carry their ids."""
+        self.window, self.keep, self.next, self.pool = window, keep, 0, defaultdict(list)
         self.ids = 0  # in the pool
 
     def _placed(self, piece: tuple, at: int) -> tuple:
         doc, start, ids, n = piece
-        return doc, start, len(ids) // 4, zlib.crc32(ids), n, self.next, at, ids
+        return doc, start, len(ids) // 4, zlib.crc32(ids), n, self.next, at, ids if self.keep else None
 
     def add(self, piece: tuple) -> Iterator[tuple]:
         length = len(piece[2]) // 4
@@ -158,15 +161,15 @@ def pack(docs: DataFrame, end_id: int = 1, window: int = WINDOW, vocabulary: str
     kinds = [*[pa.int64()] * 7, pa.binary(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, packer, out = TaskContext.get().partitionId() << 40, Packer(window), []
+        base, packer, out = TaskContext.get().partitionId() << 40, Packer(window, with_ids), []
 
         def batch(tail: bool) -> pa.RecordBatch:
-            columns = list(zip(*[(*p[:5], base + p[5], p[6], p[7] if with_ids or tail else None, tail) for p in out]))
+            columns = list(zip(*[(*p[:5], base + p[5], p[6], p[7], tail) for p in out]))
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for b in slabs(batches, chars=2_000_000):
-            for doc, ids in zip(b.column(0).to_pylist(), encoder(vocab).encode([t or "" for t in b.column(1).to_pylist()])):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder(vocab, REMEMBER).encode([t or "" for t in b.column(1).to_pylist()])):
                 ids += end
                 n = len(ids) // 4
                 for at in range(0, n, window):
@@ -178,6 +181,7 @@ def pack(docs: DataFrame, end_id: int = 1, window: int = WINDOW, vocabulary: str
         out += packer.pack()
         if out:
             yield batch(False)
+        packer.keep = True
         out += packer.rest()
         if out:
             yield batch(True)
