@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,6 +85,15 @@ def slabs(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SL
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Hands memory that a task is done with back to the system: workers outlive tasks, and stages that follow run in them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """fn over slabs of df's rows, without a shuffle."""
 
@@ -92,6 +102,7 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
             out = fn(slab)
             if out is not None and out.num_rows:
                 yield out
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm.common import scratch, slabs, table
-from lakewarden.llm.tokens import encoder, vocabulary_path
+from lakewarden.llm.tokens import encoder, forget, vocabulary_path
 
 WINDOW = 2048
 #: Pieces of text that a worker remembers the ids of.
@@ -185,6 +185,7 @@ def pack(docs: DataFrame, end_id: int = 1, window: int = WINDOW, vocabulary: str
         out += packer.rest()
         if out:
             yield batch(True)
+        forget(vocab)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     path = scratch(spark, "pieces")

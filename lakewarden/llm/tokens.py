@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import partition_sums, scratch, slabs, table
+from lakewarden.llm.common import partition_sums, release, scratch, slabs, table
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK_IDS = 1 << 16
@@ -137,6 +137,13 @@ def encoder(path: str, remember: int = 400_000) -> Encoder:
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """Drops the pieces that the worker's encoder remembers, at a task's end: other stages' tasks need the memory."""
+    if path in _encoders:
+        _encoders[path].young, _encoders[path].old, _encoders[path].heads = {}, {}, {}
+    release()
+
+
 def _planes(block: np.ndarray, bits: bool) -> np.ndarray:
     raw = block.astype("<u4").view(np.uint8).reshape(-1, 4)
     return np.packbits(np.unpackbits(raw, axis=1).T, axis=1) if bits else np.ascontiguousarray(raw.T)
@@ -224,6 +231,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: s
                     before, count, held = before + count, 0, ([], [], [])
         if held[0]:
             yield shard(count)
+        forget(vocab)
 
     dealt.mapInArrow(run, "part int, before long, n_ids long, file binary").write.mode("overwrite").option("compression", "none").parquet(path)
 
