@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -148,14 +150,41 @@ def forbidden_terms(text: Column) -> Column:
     return F.filter(F.array(*[F.regexp_extract(text, f"(?i){p}", 0) for p in config.FORBIDDEN]), lambda x: x != "")
 
 
-def html_lines(c: Column) -> Column:
-    """Plain text of an HTML fragment, a line a block: scripts and styles go, list items begin with a dash.
+def _by_number(code: Column) -> Column:
+    """The character of a numeric reference as HTML5 reads it: windows-1252 for 128 to 159, none for codes that stand for no character."""
+    windows = [bytes([i]).decode("cp1252") if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(i) for i in range(0x80, 0xA0)]
+    none = code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE)
+    char = F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "�")
+    char = char.when(code.between(0x80, 0x9F), F.get(F.array(*[F.lit(w) for w in windows]), code - 0x80)).when(none, "")
+    return char.otherwise(F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32"))
+
+
+def decoded(c: Column) -> Column:
+    """Character references as characters: by number or by the names of HTML5, of which the older ones need no semicolon."""
+    common = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "copy;", "middot;")  # found first in the map
+    named = F.from_json(F.lit(json.dumps({n: html5[n] for n in (*common, *html5)})), "map<string,string>")
+    older = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+
+    def one(p: Column) -> Column:
+        number, name, short = (F.regexp_extract(p, x, 0) for x in (r"\A#(?:[0-9]+|[xX][0-9a-fA-F]+);?", r"\A[A-Za-z][A-Za-z0-9]{0,31};", rf"\A(?:{older})"))
+        digits = F.regexp_replace(number, r"\A#[xX]?0*|;", "")
+        value = [F.conv(F.concat(F.lit("0"), digits), base, 10).cast("int") for base in (16, 10)]
+        code = F.when(F.length(digits) > 7, 0x110000).when(number.rlike(r"\A#[xX]"), value[0]).otherwise(value[1])
+        rest = lambda token: F.substr(p, F.length(token) + 1)
+        out = F.when(number != "", F.concat(_by_number(code), rest(number)))
+        for token in (name, short):
+            out = out.when((token != "") & F.try_element_at(named, token).isNotNull(), F.concat(F.try_element_at(named, token), rest(token)))
+        return out.otherwise(F.concat(F.lit("&"), p))
 
-    The commonest character references are decoded by name; numeric ones by number need `llm` or a UDF."""
+    parts = F.split(c, "&")
+    return F.when(~F.contains(c, F.lit("&")), c).otherwise(F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), one), "")))
+
+
+def html_lines(c: Column) -> Column:
+    """Plain text of an HTML fragment, a line a block: scripts and styles go, list items begin with a dash, character references are decoded."""
     for pattern, by in ((r"(?is)<(script|style)[^>]*>.*?</\1>", " "), (r"(?i)<li[^>]*>", " \n- "), (r"(?i)</(p|div|li|tr|h[0-9])>", "\n"), (r"<[^>]+>", " ")):
         c = F.regexp_replace(c, pattern, by)
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
+    c = decoded(c)
     c = F.regexp_replace(c, r"[ \t\f\r ]+", " ")
     c = F.regexp_replace(c, r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(c, r"\n+", "\n"), r"\A[\n ]+|[\n ]+\z", "")

@@ -11,6 +11,9 @@ from lakewarden.functions.columns import dot, keyword_score, search_tokens, unit
 #: Queries are sent to all tasks up to this many; more are joined in parts.
 MOST_QUERIES = 10_000
 
+#: The same for keyword search, in bytes: each word of a query counts its characters and this much for its row.
+MOST_BYTES, WORD_BYTES = 32 << 20, 40
+
 
 def _all_pairs(queries: DataFrame, passages: DataFrame) -> DataFrame:
     """Every query with every passage; each part of the queries is small enough to send to all tasks."""
@@ -52,12 +55,17 @@ def vector_search(queries: DataFrame, passages: DataFrame, k: int, floor: float
 def keyword_search(queries: DataFrame, passages: DataFrame, k: int, floor: float | None = 0.0) -> DataFrame:
     """query_id, chunk_no, score, rank by shared words.
 
-    An inverted index by join: only pairs with a common word are made, and what a pair needs besides is each side's count."""
+    An inverted index by join: only pairs with a common word are made, and what a pair needs besides is each side's count.
+    Queries whose words are few enough to send to all tasks meet each passage where it lies: pairs aren't shuffled, only the
+    best k of each query and task, and frequent words are no join keys. More queries are joined by word."""
     q = queries.select("query_id", search_tokens(F.col("text")).alias("words"))
     p = passages.select("chunk_no", search_tokens(F.col("text")).alias("words"))
     qs = q.select("query_id", F.size("words").alias("nq"), F.explode("words").alias("word"))
+    size = qs.agg(F.sum(F.length("word") + F.lit(WORD_BYTES))).first()[0] or 0
+    if size <= MOST_BYTES:
+        qs, p = F.broadcast(qs), p.repartition("chunk_no")
     ps = p.select("chunk_no", F.size("words").alias("np"), F.explode("words").alias("word"))
-    both = qs.join(ps, "word").groupBy("query_id", "chunk_no").agg(F.count("*").alias("both"), F.first("nq").alias("nq"), F.first("np").alias("np"))
+    both = ps.join(qs, "word").groupBy("query_id", "chunk_no").agg(F.count("*").alias("both"), F.first("nq").alias("nq"), F.first("np").alias("np"))
     score = F.bround(F.col("both") / F.sqrt(F.greatest("nq", F.lit(1)).cast("double") * F.greatest("np", F.lit(1)).cast("double")), 4)
     return top_k(both.select("query_id", "chunk_no", score.alias("score")), k, floor)
 

@@ -126,6 +126,27 @@ def test_keyword_search_ranks_and_drops(spark):
     assert [(r["query_id"], r["chunk_no"]) for r in retrieval.keyword_search(queries, passages, 2).collect()] == [("q", 1)]
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_keyword_search_either_way(spark, monkeypatch, most):
+    monkeypatch.setattr(retrieval, "MOST_BYTES", most)
+    passages = spark.createDataFrame([(i, f"common words {'rare' if i % 7 == 0 else ''} number{i % 5}") for i in range(60)] + [(99, None)], "chunk_no int, text string")
+    queries = spark.createDataFrame([("a", "rare number3"), ("b", "common"), ("c", ""), ("d", None)], "query_id string, text string")
+    found = [(r["query_id"], r["chunk_no"], r["rank"]) for r in retrieval.keyword_search(queries, passages, 3).orderBy("query_id", "rank").collect()]
+    assert found == [("a", 28, 1), ("a", 3, 2), ("a", 8, 3), ("b", 1, 1), ("b", 2, 2), ("b", 3, 3)]
+
+
+def test_character_references(spark):
+    import html
+    import random
+
+    r = random.Random(3)
+    parts = ["&", "#", "amp", "notit;", "not", "eacute", "&eacute;", "&#8217;", "&#x41;", "&#X1F600", "&#0;", "&#128;", "&#129;", "&#xD800;", "&#99999999999;", "&#x110000;", "&#13;", "&#1;", "&#xFEFF;", "&NotEqualTilde;", "&lt", ";", " ", "x", "9"]
+    texts = ["", "plain", "&amp;lt;", "&ampx", "&unknown;", "&#;", "&#x;", "a&"] + ["".join(r.choices(parts, k=6)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    for row in df.select("t", fx.decoded(F.col("t")).alias("d")).collect():
+        assert row["d"] == (None if row["t"] is None else html.unescape(row["t"])), row["t"]
+
+
 def test_regulations_and_index(spark, tmp_path):
     (tmp_path / "a.md").write_text("PLACEHOLDER text\n\n## Art. 1 | First\nOne  line.\nMore\n\n## Art. 2 | Empty\n\n## Art. 3 | Last\nEnd")
     chunks = tables.read_regulations(spark, str(tmp_path))

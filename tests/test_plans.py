@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from lakewarden.operators import retrieval
 from lakewarden.plans import catalogue
 
 
@@ -28,4 +29,6 @@ def test_no_python_in_plans(spark, sf, name):
 
 
 def test_filters_reach_the_scan(spark, sf):
-    assert "EqualTo(label,0)" in plan(catalogue.QUERIES["vector_search"](spark, sf))
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    queries, all_rows = e.where("label = 0").selectExpr("vec_id AS query_id", "embedding"), e.selectExpr("vec_id AS chunk_no", "embedding")
+    assert "EqualTo(label,0)" in plan(retrieval.vector_search(queries, all_rows, 3))
