@@ -39,12 +39,31 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: ASCII marks but the apostrophe, which begins tokens such as 's; they are written as they are.
+_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Letters below it are letters in every version of Unicode that a library may follow.
+_LATIN_END = "\u0250"
+
+
+class _Written(dict):
+    """How the vocabulary writes a character, by its code point: the library is asked once for each."""
+
+    def __missing__(self, code: int) -> str:
+        from tokenizers import pre_tokenizers
+
+        ((written, _),) = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))
+        self[code] = written
+        return written
+
+
 class Encoder:
     """Ids of whole texts (as little-endian u32 bytes), remembering words.
 
     The byte-level pre-tokenizer always ends a token before a space or line break that
     stands between two other characters, so such pieces are encoded once each and joined;
-    a text in which white space adjoins white space is encoded whole. New pieces are
+    a text in which white space adjoins white space is encoded whole. It also ends a token between
+    Latin letters and marks that end a piece, so a new piece of Latin letters, with or without such
+    marks, is given to the library's model as it is, letters and marks apart. Other new pieces are
     encoded many at a time as one text, and parted again where a token begins with the
     space (or is the line break) that led each. Two generations of at most `remember` pieces are held.
     """
@@ -53,6 +72,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.written, self.marks = self.tokenizer.model, _Written(), {}
         vocabulary = self.tokenizer.get_vocab()
         # How the vocabulary writes a space and a line break.
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -65,11 +85,26 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _run(self, written: str) -> bytes:
+        """Ids of a run that the pre-tokenizer doesn't cut, as the vocabulary writes it."""
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
     def _learn(self, cache: dict, pieces: list[str], spaced: bool) -> None:
         """Pieces without white space at their ends, as they are encoded after a space, or at the start of a line."""
-        clean = []
+        clean, lead, old = [], "\u0120" if spaced else "", self.old if spaced else {}
+        if len(self.marks) > 10_000:
+            self.marks = {}
         for p in pieces:
-            if p.isalpha() or p and not p[0].isspace() and not p[-1].isspace():
+            letters = p if p.isalpha() else p.rstrip(_MARKS)
+            if letters.isalpha() and (letters.isascii() or max(letters) < _LATIN_END):
+                ids = cache.get(letters) or old.get(letters) or self._run(lead + letters.translate(self.written))
+                cache[letters] = ids
+                if letters != p:
+                    marks = p[len(letters) :]
+                    if marks not in self.marks:
+                        self.marks[marks] = self._run(marks)
+                    cache[p] = ids + self.marks[marks]
+            elif p and not p[0].isspace() and not p[-1].isspace():
                 clean.append(p)
             else:
                 cache[p] = None
