@@ -48,6 +48,8 @@ MARGIN = 0.1
 BLOCK, MEET = 256, 512
 #: Bytes of text that one group holds, if no single pair of texts is longer.
 BLOCK_BYTES = 8_000_000
+#: Characters of pairs' texts whose words are numbered at a time.
+CHECK_CHARS = 500_000
 U = np.uint64
 
 
@@ -187,11 +189,27 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     left = blocks.join(texts.withColumnRenamed("b", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text").select(slot, "a", "text")
 
     def check(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        ours = ours.drop_duplicates("a")
-        sets = tx.exact_sets([(t or "").encode() for t in [*ours["text"], *theirs["theirs"]]], k)
-        firsts = dict(zip(ours["a"], sets))
-        good = [_linked(firsts[of], s, percent) for of, s in zip(theirs["of"], sets[len(ours) :])]
-        return theirs.loc[good, ["of", "b"]].rename(columns={"of": "a"})
+        texts, out = dict(zip(ours["a"], ours["text"])), []
+        held: list[tuple[int, int, str]] = []  # pairs whose words are numbered together
+
+        def link() -> None:
+            mine = list(dict.fromkeys(of for of, _, _ in held))
+            sets = tx.exact_sets([(t or "").encode() for t in [*map(texts.get, mine), *(t for _, _, t in held)]], k)
+            firsts = dict(zip(mine, sets))
+            out.extend((of, b) for (of, b, _), s in zip(held, sets[len(mine) :]) if _linked(firsts[of], s, percent))
+            held.clear()
+
+        size, last = 0, None
+        for pair in sorted(zip(theirs["of"], theirs["b"], theirs["theirs"]), key=lambda p: p[:2]):
+            size += len(pair[2] or "") + (len(texts[pair[0]] or "") if pair[0] != last else 0)
+            held.append(pair)
+            last = pair[0]
+            if size > CHECK_CHARS:
+                link()
+                size, last = 0, None
+        if held:
+            link()
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return left.groupBy("slot").cogroup(right.groupBy("in_slot")).applyInPandas(check, "a long, b long")
 
@@ -211,7 +229,9 @@ def _crossing(buckets: DataFrame, comp: DataFrame, classes: DataFrame, percent:
     parts = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("most < all")
     parts = parts.select("key", "main", F.ceil(F.col("all") / F.lit(MEET)).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / F.lit(MEET)).cast("int").alias("askers"))
     held = cut(members.join(parts, "key").join(classes.select("id", "n", "bytes", "registers"), "id"))
-    slots = max(1, held.count() // BLOCK)
+    # A member stands in as many blocks as answer or ask; groups of rows stay the same size in buckets of any size.
+    stands = held.agg(F.coalesce(F.sum(F.col("askers") + F.when(F.col("comp") != F.col("main"), F.col("blocks")).otherwise(0)), F.lit(0))).first()[0]
+    slots = max(1, stands // (2 * MEET))
     # A block is a block of those that ask by one of those that answer; a member stands in all blocks of its own row or column.
     row, column = F.pmod(F.xxhash64("id", F.lit(1)), F.col("askers")).cast("int"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
