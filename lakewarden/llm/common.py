@@ -50,6 +50,42 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+class Stored:
+    """Steps of a job as tables in the shared folder. All but the last one kept are removed at the end of the `with` block.
+
+    At that point the shuffles behind them are of no more use; the driver is asked to collect its garbage, so that Spark's cleaner
+    removes their files, which it otherwise does long after."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.paths = spark, name, []
+
+    def __enter__(self) -> Stored:
+        return self
+
+    def __call__(self, df: DataFrame, last: bool = False) -> DataFrame:
+        path = scratch(self.spark, self.name)
+        if not last:
+            self.paths.append(path)
+        df.write.parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Removes all tables but the newest."""
+        for path in self.paths[:-1]:
+            removed(self.spark, path)
+        self.paths = self.paths[-1:]
+
+    def __exit__(self, *error: object) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder, so that later steps neither run it again nor need the executors that made it."""
     ensure_checkpoint_dir(df.sparkSession)
