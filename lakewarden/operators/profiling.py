@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lakewarden import config
 from lakewarden.functions.columns import as_text, normalised_column
+from lakewarden.functions.rows import repeats, whole_row
 from lakewarden.sources.tables import ROW, column
 
 SIMPLE = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -132,12 +133,11 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def quick_stats(df: DataFrame, not_negative: list[str] = ()) -> DataFrame:
-    """stat, value: null share of each column, repeated whole rows, negative values of the named columns."""
-    fields = profiled_fields(df)
-    shares = [F.avg(column(f.name).isNull().cast("double")).alias(f"null share {f.name}") for f in fields]
+    """stat, value: null share of each column, repeated whole rows (nested columns are part of both), negative values of the named columns."""
+    names = whole_row(df)
+    shares = [F.avg(column(n).isNull().cast("double")).alias(f"null share {n}") for n in names]
     wrong = [F.count_if(column(c) < 0).cast("double").alias(f"negative {c}") for c in not_negative]
-    whole = df.select(*[column(f.name) for f in fields]).groupBy(*[column(f.name) for f in fields]).count()
-    repeated = whole.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("double").alias("v")).select(F.lit("repeated rows").alias("stat"), F.col("v").alias("value"))
+    repeated = repeats(df, names).select(F.lit("repeated rows").alias("stat"), F.col("n").cast("double").alias("value"))
     row = df.agg(*shares, *wrong)
     listed = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stat"), column(c).alias("value")) for c in row.columns])))
     return listed.unionByName(repeated)

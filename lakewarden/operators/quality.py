@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lakewarden import config
+from lakewarden.functions import rows as whole
 from lakewarden.functions.columns import as_text, as_timestamp, normalised_column, whole_match
 from lakewarden.operators.findings import Finding
 from lakewarden.operators.profiling import profiled_fields
@@ -86,10 +87,16 @@ def completeness(df: DataFrame, types: list[Typed], required: list[str] | None,
 # Uniqueness
 
 
+def _nested(df: DataFrame, key: list[str]) -> bool:
+    return any(whole.is_nested(df.schema[k].dataType) for k in key)
+
+
 def repeated_rows(df: DataFrame, key: list[str], order: str = ROW) -> DataFrame:
     """Rows that repeat an earlier row's key (nulls are equal); cells aren't normalised first.
 
-    The first row of each key comes from an aggregate that is combined before the shuffle, so that a key of a third of the rows is no hot task; rows are then compared with it."""
+    A key with nested columns is compared by digests, confirmed on canonical values. Of any other the first row of each key comes from an aggregate that is combined before the shuffle, so that a key of a third of the rows is no hot task; rows are then compared with it."""
+    if _nested(df, key):
+        return whole.later(df, key, order)
     named = [column(k).alias(f"__k{i}") for i, k in enumerate(key)]
     firsts = df.select(*named, F.col(order).alias("__o")).groupBy(*[f"__k{i}" for i in range(len(key))]).agg(F.min("__o").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
     on = [column(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
@@ -98,6 +105,8 @@ def repeated_rows(df: DataFrame, key: list[str], order: str = ROW) -> DataFrame:
 
 def all_copies(df: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key occurs more than once, the first included."""
+    if _nested(df, key):
+        return whole.shared(df, key)
     named = [column(k).alias(f"__k{i}") for i, k in enumerate(key)]
     shared = df.select(*named).groupBy(*[f"__k{i}" for i in range(len(key))]).count().where("count > 1").drop("count")
     on = [column(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
@@ -105,17 +114,25 @@ def all_copies(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def uniqueness(df: DataFrame, types: list[Typed], key: list[str] | None, total: int) -> tuple[Dimension, DataFrame | None]:
-    fields = [f.name for f in profiled_fields(df)]
-    key = [k for k in (fields if key is None else key) if k in fields]
+    """Without a key, whole rows are compared: all columns but the row number, nested ones included."""
+    by_row, fields = key is None, whole.whole_row(df)
+    key = [k for k in (fields if by_row else key) if k in fields]
     limit = config.THRESHOLDS["uniqueness"]
     if not key:
         return Dimension("uniqueness", None, limit, reason="business key not present"), None
-    rows = repeated_rows(df, key).select(F.lit("duplicate_record").alias("issue_type"), F.lit(" + ".join(key)).alias("column"), F.lit("").alias("kind"), F.col(ROW).alias("row_id"))
-    n = df.groupBy(*[column(k) for k in key]).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0]
+    if by_row or _nested(df, key):
+        rows, n = whole.later(df, key), whole.repeats(df, key).first()["n"]
+    else:
+        rows = repeated_rows(df, key)
+        n = df.groupBy(*[column(k) for k in key]).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0]
+    label = " + ".join(key)
+    rows = rows.select(F.lit("duplicate_record").alias("issue_type"), F.lit(label).alias("column"), F.lit("").alias("kind"), F.col(ROW).alias("row_id"))
     out = Dimension("uniqueness", round(100 * (1 - n / max(total, 1)), 2), limit, key if n else [], {"business_key": key, "duplicate_count": n})
     if n:
-        label = " + ".join(key)
-        out.findings.append(Finding("quality", "duplicate_record", label, config.DESCRIPTIONS["duplicate_record"].format(n=n, key=label), worst_class(types), total, n, evidence={"business_key": key, "duplicate_count": n}, articles=tuple(config.ISSUE_ARTICLES["duplicate_record"])))
+        description = config.DESCRIPTIONS["duplicate_record"].format(n=n, key=label)
+        evidence = {"business_key": key, "duplicate_count": n}
+        found = Finding("quality", "duplicate_record", label, description, worst_class(types), total, n, evidence=evidence, articles=tuple(config.ISSUE_ARTICLES["duplicate_record"]))
+        out.findings.append(found)
     return out, rows
 
 

@@ -13,6 +13,7 @@ from lakewarden.functions import columns as fx
 from lakewarden.operators import assistant, evaluate, privacy, profiling, quality, retrieval, review, risk, typing
 from lakewarden.plans import fixtures, pipeline
 from lakewarden.plans.fixtures import dirty_cte, findings_cte
+from lakewarden.sources import tables
 from lakewarden.streaming import monitors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,6 +191,51 @@ def duplicate_texts(spark: SparkSession, sf: str) -> DataFrame:
     return firsts.join(rest, "text").select("first_doc", "text", "repeats")
 
 
+@_query("SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY embedding, label ORDER BY vec_id) AS r FROM embeddings) WHERE r > 1")
+def repeated_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """E3 on nested keys: rows whose vector and label an earlier row has."""
+    return quality.repeated_rows(_t(spark, sf, "embeddings"), ["embedding", "label"], "vec_id").select("vec_id")
+
+
+@_query("SELECT 'repeated rows' AS stat, (count(*) - count(DISTINCT (embedding, label)))::DOUBLE AS value FROM embeddings" + "".join(f" UNION ALL SELECT 'null share {c}', avg(({c} IS NULL)::INT)::DOUBLE FROM embeddings" for c in ("embedding", "label")))
+def quick_stats_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """C12 where a column is nested; vec_id numbers the rows."""
+    return profiling.quick_stats(_t(spark, sf, "embeddings").withColumnRenamed("vec_id", "_row_id"))
+
+
+@_query("SELECT count(*) AS total, (count(*) - count(DISTINCT (embedding, label))) AS repeats, round_even(100 * (1 - (count(*) - count(DISTINCT (embedding, label))) / count(*)::DOUBLE), 2) AS score FROM embeddings")
+def whole_row_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
+    """E3 without a key: the dimension's score over whole rows, vectors included."""
+    d = _t(spark, sf, "embeddings").withColumnRenamed("vec_id", "_row_id")
+    total = d.count()
+    found, _ = quality.uniqueness(d, [], None, total)
+    return spark.createDataFrame([(total, found.evidence["duplicate_count"], found.score)], "total long, repeats long, score double")
+
+
+@_query("WITH m AS (SELECT conv_id, list((turn, role) ORDER BY turn, role) AS shape FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2) GROUP BY 1) SELECT conv_id, len(shape) AS turns FROM (SELECT *, count(*) OVER (PARTITION BY shape) AS n FROM m) WHERE n > 1")
+def repeated_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """E4 on a map column: conversations whose map from turn to role another one has, whatever the order of its entries."""
+    turns = _t(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    maps = turns.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("turn", "role"))).alias("shape"))
+    return quality.all_copies(maps, ["shape"]).select("conv_id", F.size("shape").cast("long").alias("turns"))
+
+
+_PLACED = "SELECT *, row_number() OVER () - 1 AS r FROM lineitem"
+
+
+@_query(f"SELECT l_returnflag, l_linestatus, count(*) AS rows, min(r) AS first, max(r) AS last, sum(r)::BIGINT AS total FROM ({_PLACED}) GROUP BY 1, 2")
+def row_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """A1: numbers of rows by their places in files."""
+    numbered = tables.with_row_id(_t(spark, sf, "lineitem"))
+    return numbered.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("rows"), F.min("_row_id").alias("first"), F.max("_row_id").alias("last"), F.sum("_row_id").alias("total"))
+
+
+@_query(f"SELECT r, l_orderkey, l_linenumber FROM ({_PLACED}) WHERE r BETWEEN 500 AND 1499")
+def row_block(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: a thousand neighbouring rows, by number."""
+    return tables.block(_t(spark, sf, "lineitem"), 500, 1000).select(F.col("_row_id").alias("r"), "l_orderkey", "l_linenumber")
+
+
 _KINDS = {"customer_email": "email", "phone_no": "phone", "postcode": "postcode_us"}
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,13 +18,67 @@ from lakewarden import config
 ROW = "_row_id"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names. Where it names none, one of our own serves in local mode; a cluster must name one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakewarden-"))
+    return sc.getCheckpointDir()
+
+
+def _nodes(plan: object) -> Iterator[object]:
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def _kinds(df: DataFrame) -> set[str]:
+    """Names of the steps of df's plan; with a step that isn't deterministic also "random"."""
+    nodes = list(_nodes(df._jdf.queryExecution().analyzed()))
+    return {n.nodeName() for n in nodes} | ({"random"} if not all(n.deterministic() for n in nodes) else set())
+
+
+def file_starts(df: DataFrame) -> list[tuple[str, int, int]] | None:
+    """File, number of its first row and of its rows, in the order of paths, if df is a plain scan of Parquet; else None.
+
+    One aggregate that reads no column: a row group gives its rows' places. A row a file reaches the driver, which lists all files in any case."""
+    if "_metadata" in df.columns or not _kinds(df) <= {"LogicalRelation", "Project", "SubqueryAlias"}:
+        return None
+    try:
+        at = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:  # not Parquet
+        return None
+    out, total = [], 0
+    for r in sorted(at.groupBy("file").agg(F.max("place").alias("last")).collect()):
+        out.append((r["file"], total, r["last"] + 1))
+        total += r["last"] + 1
+    return out
+
+
+def _numbered_by_files(df: DataFrame, files: list[tuple[str, int, int]]) -> DataFrame:
+    starts = df.sparkSession.createDataFrame([f[:2] for f in files], "__file string, __start long")
+    placed = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__place"))
+    joined = placed.join(F.broadcast(starts), F.col("__path") == F.col("__file"))  # one row a file
+    return joined.withColumn(ROW, F.col("__start") + F.col("__place")).drop("__path", "__place", "__file", "__start")
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
-    """df, as read from files, with a dense row number from 0 in reading order.
+    """df with a dense row number from 0 that stays the same whenever and in however many parts df is computed.
 
-    One extra pass counts each partition's rows; no row moves and one number a partition reaches the
-    driver. Where a table has a key of its own, use that instead."""
+    Rows of a plain scan of Parquet are numbered by their place in their file, files by path. Other rows are numbered by partition and place: one extra pass
+    counts each partition's rows, and one number a partition reaches the driver. Where partitions could differ between the two passes, or when a lost task is run again (behind
+    a shuffle, say), df is first written to the shared folder. Where a table has a key of its own, use that instead."""
     if ROW in df.columns:
         return df
+    files = file_starts(df)
+    if files:
+        return _numbered_by_files(df, files)
+    if not _kinds(df) <= {"LogicalRelation", "LocalRelation", "Range", "Project", "Filter", "SubqueryAlias"}:
+        shared_folder(df.sparkSession)
+        df = df.checkpoint(eager=True)
     at = F.monotonically_increasing_id()  # partition in the upper bits, place in the lower 33
     counts = df.select(F.shiftright(at, 33).alias("p")).groupBy("p").count().collect()
     starts, total = [], 0
@@ -35,6 +91,12 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return joined.withColumn(ROW, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__q", "__p", "__start")
 
 
+def store_numbered(df: DataFrame, path: str) -> DataFrame:
+    """df written with its row number as a column, sorted within files, so that `block` reads only the row groups that hold the rows asked for."""
+    with_row_id(df).sortWithinPartitions(ROW).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def unique_names(names: list[str]) -> tuple[list[str], dict[str, str]]:
     """Headers made unique as x, x.1 and so on (never one that is taken), and what was renamed."""
     taken, out, renamed = set(names), [], {}
@@ -61,15 +123,23 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _has_broken_cells(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell may hold a line break: then some line has an odd number of quotes. Files without one are read by many tasks."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header. Missing-value tokens become null before types are inferred: a column is
     long or double if every other value is one, else text."""
-    raw = spark.read.csv(path, header=False, multiLine=True, escape='"')
+    broken = _has_broken_cells(spark, path)
+    raw = spark.read.csv(path, header=False, multiLine=broken, escape='"')
     head = raw.first()
     if head is None:
         return spark.createDataFrame([], T.StructType([]))
     names, _ = unique_names([h if h is not None else f"Unnamed: {i}" for i, h in enumerate(head)])
-    first = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, enforceSchema=True, schema=T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    first = spark.read.csv(path, header=True, multiLine=broken, escape='"', inferSchema=False, enforceSchema=True, schema=schema)
     cells = first.select([F.when(~F.col(f"c{i}").isin(config.CSV_NULLS), F.col(f"c{i}")).alias(f"c{i}") for i in range(len(names))])
     tests = []
     for i in range(len(names)):
@@ -85,7 +155,17 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def block(df: DataFrame, start: int, rows: int) -> DataFrame:
-    """Neighbouring rows by number, not a sample."""
+    """Neighbouring rows by number, not a sample.
+
+    A table that was stored with its numbers is asked for a range of them, which skips files and row groups by their statistics. Of a plain scan of Parquet only the files that hold
+    the rows are read, by their places. Anything else is numbered first."""
+    if ROW not in df.columns:
+        files = file_starts(df)
+        if files is None:
+            df = with_row_id(df)
+        else:
+            held = [f for f in files if f[1] < start + rows and f[1] + f[2] > start]
+            df = _numbered_by_files(df.where(F.col("_metadata.file_path").isin([f[0] for f in held])), held)
     return df.where(F.col(ROW).between(start, start + rows - 1))
 
 
