@@ -19,15 +19,16 @@ time; an empty table gives no rows; other columns are left out, whatever their n
 from __future__ import annotations
 
 import html
+import math
+import os
 import re
+from hashlib import blake2b
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import text as tx
 from lakewarden.llm.common import cut, map_text, running_total, table
 
 NEIGHBOURS = 16
@@ -56,7 +57,9 @@ _MARKS = {
 _WEAK_MARKS = set("related recommended share search skip hidden notice notices alert banner".split())
 _LAYOUT = set("box bar list lists item items link links post posts article articles story stories section block area wrap wrapper container inner outer site page top bottom left right content text message msg form button buttons unit slot zone panel group row col main to the js u".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: What stands between the values of attributes, a value without quotes, and white space.
+_BARE, _VALUE, _SPACE = re.compile(r"[^>=]*+"), re.compile(r"[^\s>]*+"), re.compile(r"\s*+")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -84,70 +87,132 @@ def _marked(name: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
+class Tags:
+    """The tags of a page, one after the other, in time that grows with its length: what isn't found once isn't looked for again.
+
+    Quotes count where a value begins only; within a value without quotes they are part of it, and one that isn't closed on the page ends at the next >.
+    A comment that isn't closed goes to the end. A < that begins no tag, or has no > after it, is text."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quotes = page, page.rfind(">"), {'"', "'"}
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Begin, end, "/" of an end tag, lower-case name (empty: a comment or declaration) and attributes of the first tag from `at` on."""
+        page = self.page
+        while (i := page.find("<", at)) >= 0:
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 4)
+                return i, end + 3 if end >= 0 else len(page), "", "", ""
+            if i > self.last:  # only a comment could begin here
+                at = page.find("<!--", i)
+                if at < 0:
+                    return None
+                continue
+            if page[i + 1] in "!?":
+                return i, page.index(">", i) + 1, "", "", ""
+            m = _NAME.match(page, i + 1)
+            if not m:
+                at = i + 1
+                continue
+            end = self._end(m.end())
+            if end >= 0:
+                return i, end + 1, m[1], m[2].lower(), page[m.end() : end]
+            at = i + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the > of the tag stands whose name ends at `at`."""
+        page, begin = self.page, at
+        while self.quotes:
+            at = _BARE.match(page, at).end()
+            if at == len(page):  # all > that follow are in quotes: from here on quotes don't count
+                self.quotes = set()
+                break
+            if page[at] == ">":
+                return at
+            at = _SPACE.match(page, at + 1).end()
+            quote = page[at : at + 1]
+            if quote not in ('"', "'"):
+                at = _VALUE.match(page, at).end()
+                continue
+            end = page.find(quote, at + 1) if quote in self.quotes else -1
+            if end < 0:
+                self.quotes.discard(quote)
+                return page.find(">", at)
+            at = end + 1
+        return page.find(">", begin)
+
+
 def lines(page: str) -> list[tuple[str, int]]:
     """(text, part) of each block of a page, in page order; texts have references decoded and white space made one space."""
     out: list[tuple[str, int]] = []
-    # Open containers and marked elements: name, whether it is dropped, whether it is main.
+    # Open containers and marked elements: name, whether it is dropped, whether it is main; how many have each name; and open forms that are dropped.
     stack: list[list] = []
-    # How many open elements are dropped, are forms, are main, and are dropped stretches of a line.
-    dropped = forms = main = mute = 0
+    named: dict[str, int] = {}
+    open_forms: list[list] = []
+    # How many open elements are dropped, are main, and are dropped stretches of a line.
+    dropped = main = mute = 0
     held: list[str] = []
-    at, size = 0, len(page)
+    at, size, tags = 0, len(page), Tags(page)
 
     def close() -> None:
         if held:
             t = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if t:
-                out.append((t, CHROME if dropped else FORM if forms else MAIN if main else UNKNOWN))
+                out.append((t, CHROME if dropped else FORM if open_forms else MAIN if main else UNKNOWN))
 
     def pop() -> str:
-        nonlocal dropped, forms, main, mute
+        nonlocal dropped, main, mute
         name, gone, is_main = stack.pop()
+        named[name] -= 1
         if gone:
-            forms -= name == "form"
+            if name == "form":
+                open_forms.pop()
             mute -= name not in _BLOCKS
             dropped -= name != "form" and name in _BLOCKS
         main -= is_main
         return name
 
     while at < size:
-        m = _TAG.search(page, at)
-        if not m:
+        tag = tags.next(at)
+        if not tag:
             if not mute:
                 held.append(page[at:])
             break
-        if m.start() > at and not mute:
-            held.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+        begin, end, slash, name, attributes = tag
+        if begin > at and not mute:
+            held.append(page[at:begin])
+        at = end
         if not name:
             continue
         if name in _BLOCKS:
             close()
-        if m[1]:
-            if any(s[0] == name for s in stack):
+        if slash:
+            if named.get(name):
                 while pop() != name:
                     pass
             continue
         while stack and name in _ENDED.get(stack[-1][0], ()):
             pop()
         if name in _RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
-        elif name not in _VOID and not m[3].endswith("/"):
-            gone = bool(m[3] or name in _CONTAINERS) and _marked(name, m[3], bool(main))
+            ended = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = ended.end() if ended else size
+        elif name not in _VOID and not attributes.endswith("/"):
+            gone = bool(attributes or name in _CONTAINERS) and _marked(name, attributes, bool(main))
             if not gone and name not in _CONTAINERS:
                 continue
             # A second main or article inside another is part of it.
-            is_main = name in _MAIN or "role" in m[3] and bool(re.search(r"\brole\s*=\s*[\"']?main\b", m[3]))
-            if is_main and forms:  # a form round the article
-                for s in stack:
-                    s[1] = s[1] and s[0] != "form"
-                forms = 0
+            is_main = name in _MAIN or "role" in attributes and bool(re.search(r"\brole\s*=\s*[\"']?main\b", attributes))
+            if is_main:  # forms round the article
+                for form in open_forms:
+                    form[1] = False
+                open_forms.clear()
             stack.append([name, gone, is_main])
+            named[name] = named.get(name, 0) + 1
             if gone:
-                forms += name == "form"
+                if name == "form":
+                    open_forms.append(stack[-1])
                 mute += name not in _BLOCKS
                 dropped += name != "form" and name in _BLOCKS
             main += is_main
@@ -161,8 +226,11 @@ def lines(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def aligned(a: list[int], b: list[int]) -> list[int]:
-    """Positions of a in a longest common subsequence of a and b."""
+def aligned(a: list, b: list) -> list[int]:
+    """Positions of a in a longest common subsequence of a and b.
+
+    A row of the table of lengths is one integer of a bit for each line of b (a zero where the length grows), so that a row is made by a few operations. Every
+    so many rows one is kept, and those between are made again on the way back: the table's rows are never held together."""
     begin = 0
     while begin < min(len(a), len(b)) and a[begin] == b[begin]:
         begin += 1
@@ -171,22 +239,36 @@ def aligned(a: list[int], b: list[int]) -> list[int]:
         end += 1
     x, y = a[begin : len(a) - end], b[begin : len(b) - end]
     keep = set(x) & set(y)
-    xs, ys = [i for i, v in enumerate(x) if v in keep], [i for i, v in enumerate(y) if v in keep]
-    x, y = np.array([x[i] for i in xs], np.int64), np.array([y[i] for i in ys], np.int64)
-    rows = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):  # longest from here on; a row is a running maximum from the right
-        step = np.maximum(rows[i + 1, :-1], np.where(y == x[i], rows[i + 1, 1:] + 1, 0))
-        rows[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
-    found, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j] and rows[i, j] == rows[i + 1, j + 1] + 1:
-            found.append(begin + xs[i])
-            i, j = i + 1, j + 1
-        elif rows[i + 1, j] >= rows[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return [*range(begin), *found, *range(len(a) - end, len(a))]
+    xs, y = [i for i, v in enumerate(x) if v in keep], [v for v in y if v in keep]
+    places: dict = {}
+    for j, v in enumerate(y):
+        places[v] = places.get(v, 0) | 1 << j
+    full = (1 << len(y)) - 1
+
+    def after(row: int, i: int) -> int:
+        hit = row & places[x[xs[i]]]
+        return (row + hit | row - hit) & full
+
+    step, kept, row = max(1, math.isqrt(len(xs))), [], full
+    for i in range(len(xs)):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, i)
+    found, j = [], len(y)
+    for part in range(len(kept) - 1, -1, -1):
+        rows = [kept[part]]  # rows[r]: before line part * step + r
+        for i in range(part * step, min(len(xs), (part + 1) * step)):
+            rows.append(after(rows[-1], i))
+        r = len(rows) - 1
+        while r and j:
+            if rows[r] >> (j - 1) & 1:
+                j -= 1
+            elif rows[r - 1] >> (j - 1) & 1:
+                found.append(begin + xs[part * step + r - 1])
+                r, j = r - 1, j - 1
+            else:
+                r -= 1
+    return [*range(begin), *reversed(found), *range(len(a) - end, len(a))]
 
 
 def _place(url: object) -> list:
@@ -195,34 +277,43 @@ def _place(url: object) -> list:
     return [host, path]
 
 
+def _mark(pages: DataFrame) -> Column:
+    """128 bits of a digest of a row's page_id, url and html: equal rows have equal results."""
+    parts = [F.col(c).cast("string") for c in ("page_id", "url", "html")]
+    sized = [F.concat_ws("", F.length(p).cast("string"), F.lit(":"), p) for p in parts]
+    return F.substring(F.unhex(F.sha2(F.concat(*sized).cast("binary"), 256)), 1, 16)
+
+
 def outlines(pages: DataFrame) -> DataFrame:
-    """mark (a hash of the row), host, path and hashed lines of unknown part, for pages that have such lines."""
+    """mark (of the row), host, path, same (a digest of host and lines) and digests of the lines of unknown part, for pages that have such lines.
+
+    Digests are of 128 bits and keyed by bytes drawn for this run, so that no lines can be made to collide."""
+    key = os.urandom(16)
+
+    def digest(of: bytes) -> bytes:
+        return blake2b(of, digest_size=16, key=key).digest()
 
     def run(slab: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, keep = [], []
-        for t in slab.column(3).to_pylist():
-            own = [x.encode() for x, part in lines(t or "") if part == UNKNOWN]
+        listed, same, keep = [], [], []
+        for host, t in zip(slab.column(1).to_pylist(), slab.column(3).to_pylist()):
+            own = [digest(x.encode("utf-8", "surrogatepass")) for x, part in lines(t or "") if part == UNKNOWN]
             keep.append(bool(own))
-            if own:
-                data, begins = tx.lay(own)
-                hashes.append(tx.run_hashes(data, begins[:-1], begins[1:]).view(np.int64).tolist())
-            else:
-                hashes.append(None)
-        batch = pa.RecordBatch.from_arrays([*slab.columns[:3], pa.array(hashes, pa.list_(pa.int64()))], names=["mark", "host", "path", "lines"])
+            listed.append(own or None)
+            same.append(digest(b"".join([*own, (host or "").encode()])))
+        batch = pa.RecordBatch.from_arrays([*slab.columns[:3], pa.array(same, pa.binary()), pa.array(listed, pa.list_(pa.binary()))], names=["mark", "host", "path", "same", "lines"])
         return batch.filter(pa.array(keep))
 
     host, path = _place(F.col("url"))
-    rows = pages.select(F.xxhash64("page_id", "url", "html").alias("mark"), host.alias("host"), path.alias("path"), F.col("html").alias("text"))
-    return map_text(rows, run, "mark long, host string, path string, lines array<long>")
+    rows = pages.select(_mark(pages).alias("mark"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("text"))
+    return map_text(rows, run, "mark binary, host string, path string, same binary, lines array<binary>")
 
 
 def entries(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(mark, entry) of each page with lines of unknown part, and (entry, host, lines): an entry stands for adjacent pages
     of a host with the same lines, and entries are numbered in order of host and path."""
-    ranked = cut(running_total(outlines(pages).distinct().withColumn("__one", F.lit(1).cast("long")), [F.col("host"), F.col("path"), F.col("mark")], "__one", "rank"))
-    page = F.xxhash64("host", "lines")
-    before = ranked.select((F.col("rank") + 1).alias("rank"), page.alias("__before"))
-    is_first = F.coalesce(page != F.col("__before"), F.lit(True))
+    ranked = cut(running_total(outlines(pages).dropDuplicates(["mark"]).withColumn("__one", F.lit(1).cast("long")), [F.col("host"), F.col("path"), F.col("mark")], "__one", "rank"))
+    before = ranked.select((F.col("rank") + 1).alias("rank"), F.col("same").alias("__before"))
+    is_first = F.coalesce(F.col("same") != F.col("__before"), F.lit(True))
     marked = ranked.join(before, "rank", "left").withColumn("first", is_first.cast("long"))
     rows = marked.select("rank", "mark", "host", F.when(F.col("first") == 1, F.col("lines")).alias("lines"), "first")
     numbered = cut(running_total(rows, [F.col("rank")], "first").withColumn("entry", F.col("before") + F.col("first") - 1))
@@ -260,7 +351,7 @@ def shared_lines(pages: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages."""
     gone = shared_lines(pages)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.xxhash64("page_id", "url", "html").alias("__mark"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _mark(pages).alias("__mark"))
     joined = rows.join(gone.withColumnRenamed("mark", "__of"), F.col("__mark") == F.col("__of"), "left").select("page_id", "url", F.col("html").alias("text"), "gone")
 
     def run(slab: pa.RecordBatch) -> pa.RecordBatch:
