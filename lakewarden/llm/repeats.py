@@ -3,7 +3,7 @@
 A window is 13 consecutive words of one document (runs of bytes other than 32 and 9 to 13, unchanged). Every word covered by a window
 whose words also start in a document with a smaller doc_id is removed.
 
-1. Seeds. A window's anchor is the 7-word gram of the least keyed digest in it, the leftmost of equal ones. Equal windows choose equal
+1. Seeds. A window's anchor is the 6-word gram of the least keyed digest in it, the leftmost of equal ones. Equal windows choose equal
    anchors, and a document has about one anchor for four words. Anchors of one document only are dropped: nothing else there repeats.
 2. Extension. An anchor is extended both ways to the ends of the windows that chose it. Such segments share out all windows of a document.
    Segments of equal words are one class; all its members but those of its first document are matched whole, without meeting each other.
@@ -22,7 +22,8 @@ Other columns are ignored, whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -32,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm.common import Stored, map_text, table, utf8
-from lakewarden.llm.text import U, Words, mix
+from lakewarden.llm.text import U, mix, word_digests
 
 WINDOW = 13
-GRAM = 7
+GRAM = 6
 _R = U(0xD1342543DE82EF95)
 
 
@@ -58,18 +59,8 @@ def _rolled(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def _word_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Both digests (two rows) of all words, one text after the other, and where each text's words begin (one more entry for the end)."""
-    known = Words()
-    at = [np.fromiter(map(known.__getitem__, w), np.int32, len(w)) for w in (t.split() for t in texts)]
-    begins = np.zeros(len(at) + 1, np.int64)
-    np.cumsum([len(a) for a in at], out=begins[1:])
-    digests = np.frombuffer(known.raw, U).reshape(-1, 2).T
-    return digests[:, np.concatenate([np.empty(0, np.int32), *at])], begins
-
-
-def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Segments:
-    h, begins = _word_digests(texts)
+def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM, key: bytes = b"", bodies: bool = True) -> Segments:
+    h, begins = word_digests(texts, key)
     n, reach = h.shape[1], window - gram + 1
     if n < window:
         none = np.empty(0, np.int64)
@@ -92,7 +83,7 @@ def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Segm
     text, anchor = text[new], where[new]
     body = np.zeros(len(first), U)
     length = last - first + window
-    for j in range(window + reach - 1):  # a segment has this many words at most
+    for j in range(window + reach - 1 if bodies else 0):  # a segment has this many words at most
         here = j < length
         body[here] = body[here] * _R + h[1, first[here] + j]
     body = mix(body ^ (length * 64 + anchor - first).astype(U))
@@ -102,38 +93,49 @@ def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Segm
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and key: rows of one doc_id with different texts are told apart by it."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.hash("text"))
+
+
+def _seed_rows(rows: DataFrame, window: int, gram: int, key: bytes) -> DataFrame:
+    """A row for each different anchor of each text of rows (doc_id, text, key)."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        s = segments(utf8(b.column(1)), window, gram, key, False)
+        if not len(s.text):
+            return None
+        order = np.lexsort((s.seed, s.text))
+        text, seed = s.text[order], s.seed[order]
+        new = np.ones(len(seed), bool)
+        new[1:] = (text[1:] != text[:-1]) | (seed[1:] != seed[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(seed[new].view(np.int64))], names=["seed"])
+
+    return map_text(rows, run, "seed long")
 
 
-def _segment_rows(rows: DataFrame, window: int, gram: int, whole: bool) -> DataFrame:
-    """A row for each segment of rows (doc_id, text, key): all that is known of it, or its anchor and document only."""
+def _segment_rows(rows: DataFrame, window: int, gram: int, key: bytes) -> DataFrame:
+    """A row for each segment of rows (doc_id, text, key); place is 64 times its first window and the number of windows after that."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        s = segments(utf8(b.column(1)), window, gram)
+        s = segments(utf8(b.column(1)), window, gram, key)
         if not len(s.text):
             return None
-        ids = b.column(0).take(pa.array(s.text))
-        seed = pa.array(s.seed.view(np.int64))
-        if not whole:
-            return pa.RecordBatch.from_arrays([seed, ids], names=["seed", "doc_id"])
-        more = [b.column(2).take(pa.array(s.text)), pa.array(s.body.view(np.int64)), pa.array(s.first.astype(np.int32)), pa.array(s.last.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([seed, ids, *more], names=["seed", "doc_id", "key", "body", "first", "last"])
+        take = pa.array(s.text)
+        cols = [pa.array(s.seed.view(np.int64)), pa.array(s.body.view(np.int64)), b.column(0).take(take), b.column(2).take(take), pa.array(s.first * 64 + s.last - s.first)]
+        return pa.RecordBatch.from_arrays(cols, names=["seed", "body", "doc_id", "key", "place"])
 
-    return map_text(rows, run, "seed long, doc_id long" + (", key long, body long, first int, last int" if whole else ""))
+    return map_text(rows, run, "seed long, body long, doc_id long, key int, place long")
 
 
-def _window_rows(texts: DataFrame, window: int) -> DataFrame:
-    """Each window of the segments of texts (doc_id, text, key, spans), with its digest."""
+def _window_rows(texts: DataFrame, window: int, key: bytes) -> DataFrame:
+    """Each window of the segments of texts (doc_id, text, key, places), with its digest."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        h, begins = _word_digests(utf8(b.column(1)))
+        h, begins = word_digests(utf8(b.column(1)), key)
         if h.shape[1] < window:
             return None
-        spans = b.column(3)
-        of = np.repeat(np.arange(b.num_rows), np.diff(spans.offsets.to_numpy()))
-        flat = spans.flatten()
-        first, last = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-        many = last - first + 1
+        places = b.column(3)
+        of, flat = np.repeat(np.arange(b.num_rows), np.diff(places.offsets.to_numpy())), places.flatten().to_numpy(zero_copy_only=False)
+        first, many = flat // 64, flat % 64 + 1
         of, start = np.repeat(of, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
         at, digests = begins[of] + start, []
         for i in (0, 1):
@@ -144,7 +146,7 @@ def _window_rows(texts: DataFrame, window: int) -> DataFrame:
         take = pa.array(of)
         return pa.RecordBatch.from_arrays([*digests, b.column(0).take(take), b.column(2).take(take), pa.array(start.astype(np.int32))], names=["w1", "w2", "doc_id", "key", "start"])
 
-    return map_text(texts, run, "w1 long, w2 long, doc_id long, key long, start int")
+    return map_text(texts, run, "w1 long, w2 long, doc_id long, key int, start int")
 
 
 def covered(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -185,19 +187,23 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 
 
 def _spans(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    named = rows.where(F.col("doc_id").isNotNull())
-    seeds = _segment_rows(named, window, gram, False).groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
+    if not 0 <= window - gram < 64:
+        raise ValueError("a window holds its gram and at most 63 words more")
+    named, key = rows.where(F.col("doc_id").isNotNull()), os.urandom(16)
+    first = F.floor(F.col("place") / 64).cast("int")
     with Stored(rows.sparkSession, "repeats") as keep:
-        shared = keep(_segment_rows(named, window, gram, True).join(seeds, "seed", "left_semi"))
-        classes = shared.groupBy("seed", "body").agg(F.min("doc_id").alias("least"))
+        # Sides of joins that have a key once are written before, so that Spark can split what a hot key has on the other side.
+        seeds = keep(_seed_rows(named, window, gram, key).groupBy("seed").agg(F.count("*").alias("texts")).where("texts > 1").select("seed"))
+        shared = keep(_segment_rows(named, window, gram, key).join(seeds, "seed", "left_semi"))
+        classes = keep(shared.groupBy("seed", "body").agg(F.min("doc_id").alias("least")))
         doubtful = classes.groupBy("seed").agg(F.count("*").alias("bodies")).where("bodies > 1")
-        classes = keep(classes.join(doubtful, "seed", "left").withColumn("doubtful", F.col("bodies").isNotNull()).drop("bodies"))
-        met = keep(shared.join(classes, ["seed", "body"]).where("doc_id > least or doubtful").select("doc_id", "key", "first", "last", (F.col("doc_id") > F.col("least")).alias("matched")))
-        leading = met.where("not matched").groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-        windows = keep(_window_rows(named.join(leading, ["doc_id", "key"]).select("doc_id", "text", "key", "spans"), window))
-        earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
+        classes = keep(classes.join(doubtful, "seed", "left").select("seed", "body", "least", F.col("bodies").isNotNull().alias("doubtful")))
+        met = keep(shared.join(classes, ["seed", "body"]).where("doc_id > least or doubtful").select("doc_id", "key", "place", (F.col("doc_id") > F.col("least")).alias("matched")))
+        leading = met.where("not matched").groupBy("doc_id", "key").agg(F.collect_list("place").alias("places"))
+        windows = keep(_window_rows(named.join(leading, ["doc_id", "key"]).select("doc_id", "text", "key", "places"), window, key))
+        earliest = keep(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least"))
         late = windows.join(earliest, ["w1", "w2"]).where("doc_id > least").select("doc_id", "key", F.struct(F.col("start").alias("a"), (F.col("start") + window).alias("b")).alias("span"))
-        whole = met.where("matched").select("doc_id", "key", F.struct(F.col("first").alias("a"), (F.col("last") + window).alias("b")).alias("span"))
+        whole = met.where("matched").select("doc_id", "key", F.struct(first.alias("a"), (first + (F.col("place") % 64).cast("int") + window).alias("b")).alias("span"))
         return keep(whole.unionByName(late).groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans")), last=True)
 
 

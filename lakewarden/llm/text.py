@@ -98,6 +98,36 @@ def class_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[keep], ends[keep], kind[keep]
 
 
+#: Words longer than this are digested one by one.
+LONG_WORD = 256
+
+
+def word_digests(texts: list[bytes], key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes (two rows) of all words, one text after the other, and where each text's words begin (one more entry for the end).
+
+    Words are read eight bytes at a time, all words together. Hashes depend on a key, which callers draw for each run, so that no text can be made
+    to collide; all tasks of a run share it."""
+    data, at = lay(texts)
+    starts, ends = word_runs(data)
+    begins = np.searchsorted(starts, at)
+    length = ends - starts
+    lanes = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    seeds = np.frombuffer(blake2b(key, digest_size=32, key=b"words").digest(), "<u8").astype(U)
+    out = np.stack([mix(length.astype(U) * (seeds[i] | U(1)) ^ seeds[2 + i]) for i in (0, 1)])
+    short = np.flatnonzero(length <= LONG_WORD)
+    for j in range(0, LONG_WORD, 8):
+        short = short[length[short] > j]
+        if not len(short):
+            break
+        lane, left = lanes[starts[short] + j], length[short] - j
+        lane = np.where(left >= 8, lane, lane & ((U(1) << (np.minimum(left, 7).astype(U) * U(8))) - U(1)))
+        for i in (0, 1):
+            out[i, short] = mix((out[i, short] ^ lane) * (seeds[i] | U(1)) + seeds[2 + i])
+    for w in np.flatnonzero(length > LONG_WORD):
+        out[:, w] = np.frombuffer(blake2b(data[starts[w] : ends[w]].tobytes(), digest_size=16, key=key).digest(), "<u8")
+    return out, begins
+
+
 class Words(dict):
     """Numbers of words in the order met, and two independent 64-bit hashes of each: halves of a keyed 128-bit digest of its bytes."""
 
