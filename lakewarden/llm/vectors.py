@@ -4,7 +4,9 @@ Centroids are the leaves of a balanced bisection of a bounded sample, between on
 square root of the number of vectors, so that lists are of even size and grow as slowly as their number does. A graph of each
 centroid's nearest others lies in memory and is searched best first, for many vectors at a time. Every vector goes to the list of
 its nearest centroid, and to those of other centroids hardly farther (boundary vectors). A query reads the lists whose centroid is
-within a ratio of its nearest centroid's distance, up to `probes`, so that all queries together read about N^1.5 rows.
+within a ratio of its nearest centroid's distance, up to a number of probes. Ratio and probes follow from a recall target: for TRIALS queries all vectors are compared,
+in one pass, and of the lists in which their nearest lie so many are read that `recall` of these are found. Vectors in groups need few lists at any size; unrelated ones have
+no structure to prune by, and need a share of all lists that grows with the number of dimensions. `nearest(exact=True)` reads all.
 
 The nearest are those of the largest inner product: stored vectors get one coordinate more that makes them equally long, queries
 are scaled to that length and have 0 there, and then the nearest by distance are those of the largest product.
@@ -16,7 +18,7 @@ bounded size; each shard scores its blocks against its queries as matrix product
 returns its best classes only. Scores are computed on the vectors found, in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Vectors are compared with those of their own
-length: the commonest length is indexed, each other one is a list that its queries read whole, in blocks. Repeated rows
+length: each length of FEW vectors or more has an index, each other one is a list that its queries read whole, in blocks. Repeated rows
 count once; rows without vec_id are left out; other columns are ignored; an empty table gives no rows.
 """
 
@@ -40,8 +42,12 @@ SMALL = 40
 DEGREE = 16
 #: A vector joins lists whose centroid's distance is within this ratio of its nearest centroid's, up to COPIES lists.
 BOUNDARY, COPIES = 1.12, 4
-#: A query reads lists within this ratio, up to PROBES, and the LEAST nearest ones in any case, as it may lie on a centroid.
-REACH, PROBES, LEAST = 1.35, 64, 8
+#: A query reads its LEAST nearest lists in any case, as it may lie on a centroid.
+LEAST = 8
+#: Of the nearest of so many queries this share is to lie in the lists read.
+RECALL, TRIALS = 0.98, 256
+#: Vectors of a length from which on it is indexed.
+FEW = 5_000
 SHARD_ROWS = 40_000
 #: Candidates of a list by single-precision products, beside those asked for, whose scores are computed in double precision.
 SPARE = 8
@@ -75,9 +81,13 @@ def bisect(x: np.ndarray, size: int) -> np.ndarray:
 
 def build(x: np.ndarray, list_size: int = LIST_SIZE) -> Index:
     c = bisect(x, list_size)
-    d = ((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2) if len(c) <= 512 else np.stack([((c - v) ** 2).sum(axis=1) for v in c])
-    np.fill_diagonal(d, np.inf)
-    graph = np.argsort(d, axis=1, kind="stable")[:, : max(1, min(DEGREE, len(c) - 1))]
+    degree, norm, near = max(1, min(DEGREE, len(c) - 1)), (c * c).sum(axis=1), []
+    for a in range(0, len(c), 256):  # a block of centroids at a time
+        d = norm - 2 * c[a : a + 256] @ c.T
+        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+        part = np.argpartition(d, degree - 1, axis=1)[:, :degree]
+        near.append(np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, axis=1), axis=1, kind="stable"), axis=1))
+    graph = np.concatenate(near)
     if len(c) > 1:  # a few far edges keep the graph in one piece
         far = np.random.default_rng(7).integers(0, len(c), (len(c), 4))
         ring = (np.arange(len(c))[:, None] + 1) % len(c)
@@ -127,11 +137,22 @@ def walk(index: Index, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray
     return np.take_along_axis(ids, order, axis=1), np.sqrt(np.maximum(np.take_along_axis(dist, order, axis=1), 0))
 
 
+def distances(index: Index, x: np.ndarray) -> np.ndarray:
+    """From each row of x to each centroid."""
+    c = index.centroids
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1), 0))
+
+
 def chosen(index: Index, x: np.ndarray, ratio: float, most: int, least: int = 1) -> list[np.ndarray]:
     """The lists of each row of x: those whose centroids are within `ratio` of the nearest one's distance, `least` to `most` of them."""
     out = []
     for a in range(0, len(x), 512):
-        ids, dist = walk(index, x[a : a + 512], 2 * most)
+        if 4 * most >= len(index.centroids):  # a walk would see nearly all
+            dist = distances(index, x[a : a + 512])
+            ids = np.argsort(dist, axis=1, kind="stable")
+            dist = np.take_along_axis(dist, ids, axis=1)
+        else:
+            ids, dist = walk(index, x[a : a + 512], 2 * most)
         ok = ((dist <= ratio * dist[:, :1] + 1e-12) | (np.arange(dist.shape[1]) < least)) & np.isfinite(dist)
         out += [i[k][:most] for i, k in zip(ids, ok)]
     return out
@@ -169,11 +190,77 @@ def _listed(rows: DataFrame, index: Index, longest: float, query: bool, ratio: f
     return rows.select("class", "embedding").mapInArrow(run, f"class long, embedding {kind}, list int")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REACH, probes: int = PROBES, rows: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
+def tuned(index: Index, queries: np.ndarray, found: list[np.ndarray], recall: float) -> tuple[float, int]:
+    """A ratio and a number of probes by which queries read lists that hold `recall` of what they should find; all are lifted vectors.
+
+    found: each query's nearest. What a nearest vector needs is the first of the query's lists that it is in."""
+    dist = distances(index, queries)
+    place = np.argsort(np.argsort(dist, axis=1, kind="stable"), axis=1, kind="stable")
+    homes = chosen(index, np.concatenate(found), BOUNDARY, COPIES)
+    of = np.repeat(np.arange(len(queries)), [len(f) for f in found])
+    first = [h[np.argmin(place[q, h])] for q, h in zip(of, homes)]
+    ranks = place[of, first] + 1
+    ratios = dist[of, first] / np.maximum(dist.min(axis=1)[of], 1e-12)
+    share = (1 + recall) / 2  # half of what may be missed goes to each
+    # Lists read in any case need no ratio.
+    ratio = max(1.0, float(np.quantile(np.where(ranks <= LEAST, 1.0, ratios), share))) * 1.001
+    probes = max(LEAST, int(np.quantile(ranks, share, method="higher")))
+    while probes < len(index.centroids):  # the walk may miss lists
+        read = [set(x) for x in chosen(index, queries, ratio, probes, LEAST)]
+        if np.mean([not read[q].isdisjoint(h) for q, h in zip(of, homes)]) >= recall:
+            break
+        probes, ratio = min(len(index.centroids), probes + probes // 4 + 1), ratio * 1.02
+    return ratio, probes
+
+
+def _trials(classes: DataFrame, chosen_: DataFrame, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The vectors of the chosen classes (TRIALS at most) and the k nearest other classes of each, by comparison with all: one pass over classes, k rows a query and task."""
+    asked = chosen_.collect()
+    ids, u = np.array([r["class"] for r in asked], np.int64), _matrix([r["embedding"] for r in asked])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.empty(0), np.empty(0, np.int64), np.empty((0, u.shape[1])))] * len(ids)
+        for b in batches:
+            for a in range(0, b.num_rows, 4096):
+                part = b.slice(a, 4096)
+                number, v = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1).to_numpy(zero_copy_only=False))
+                s = u @ v.T
+                s[ids[:, None] == number[None, :]] = -np.inf
+                top = np.argpartition(s, s.shape[1] - k, axis=1)[:, -k:] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(ids), 1))
+                for q in range(len(ids)):
+                    mine = tuple(np.concatenate(x) for x in zip(best[q], (s[q, top[q]], number[top[q]], v[top[q]])))
+                    order = np.argsort(-mine[0], kind="stable")[:k]
+                    best[q] = tuple(x[order] for x in mine)
+        rows = [(q, float(s), v.tolist()) for q in range(len(ids)) for s, v in zip(best[q][0], best[q][2]) if np.isfinite(s)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.list_(pa.float64())))], names=["q", "score", "v"])
+
+    place = Window.partitionBy("q").orderBy(F.desc("score"))
+    rows = classes.select("class", "embedding").mapInArrow(run, "q int, score double, v array<double>")
+    found: list[list] = [[] for _ in ids]
+    for r in rows.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k).collect():
+        found[r["q"]].append(r["v"])
+    some = [i for i, f in enumerate(found) if f]
+    return u[some], [_matrix(found[i]) for i in some]
+
+
+def _indexed(classes: DataFrame, total: int, length: int, longest: float, k: int, rows: int, list_size: int, recall: float) -> tuple[Index, float, int]:
+    """An index of classes of one length, and the ratio and number of probes of its queries."""
+    lists = int(np.ceil(np.sqrt(total)))
+    wanted = min(rows, SAMPLE_NUMBERS // length, lists * list_size)
+    sample = _matrix([r["embedding"] for r in hash_sample(classes, ["class"], wanted, total).select("embedding").collect()])
+    index = build(lifted(sample, longest, False), max(SMALL if total <= len(sample) else 1, len(sample) // lists))
+    queries, found = _trials(classes, hash_sample(classes, ["class"], TRIALS, total).select("class", "embedding"), k)
+    if not found:
+        return index, 1.0, len(index.centroids)
+    return index, *tuned(index, lifted(queries, longest, True), [lifted(f, longest, False) for f in found], recall)
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL, rows: int = SAMPLE, list_size: int = LIST_SIZE, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query: rows whose vec_id is divisible by `every`.
 
-    Centroids are fitted to at most `rows` vectors (and SAMPLE_NUMBERS numbers), `list_size` of them a list or fewer, as there are to be at least as many lists as
-    the square root of the number of vectors."""
+    Centroids of a length are fitted to at most `rows` vectors (and SAMPLE_NUMBERS numbers), `list_size` of them a list or fewer, as there are to be at least as many lists as
+    the square root of the number of vectors. With exact=True queries are compared with all vectors of their length."""
     spark = vectors.sparkSession
     valid = _valid(vectors).distinct()
     # The smallest k + 1 ids of each class; a class of any size is first thinned in parts.
@@ -184,33 +271,41 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REA
     every_class = members.where("class = vec_id").select("class", "embedding", F.size("embedding").alias("length"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     lengths = cut(every_class.groupBy("length").agg(F.count("*").alias("n"), F.max(norm).alias("longest")))
-    main = lengths.orderBy(F.desc("n"), "length").first()
     out = "query_id long, rank int, vec_id long, score double"
-    if main is None:
+    total = lengths.agg(F.sum("n")).first()[0]
+    if not total:
         return spark.createDataFrame([], out)
-    total, classes = main["n"], every_class.where(F.col("length") == main["length"])
-    lists = int(np.ceil(np.sqrt(total)))
-    wanted = min(rows, SAMPLE_NUMBERS // main["length"], lists * list_size)
-    sample = _matrix([r["embedding"] for r in hash_sample(classes, ["class"], wanted, total).select("embedding").collect()])
-    index = build(lifted(sample, main["longest"], False), max(SMALL if total <= len(sample) else 1, len(sample) // lists))
+    # The commonest length has an index in small tables too; at most total / FEW lengths have one.
+    most = lengths.orderBy(F.desc("n"), "length").first()["length"]
+    large = [] if exact else lengths.where((F.col("n") >= FEW) | (F.col("length") == most)).orderBy("length").collect()
 
     shards = max(1, -(-total * 2 // SHARD_ROWS), min(12, total // 500))
-    spread = max(1, -(-total // (len(index.centroids) * SHARD_ROWS)))
     # A list of many vectors is cut into `spread` blocks; which shard has a block is fixed by list and block.
     shard = F.pmod(F.xxhash64("list", "block"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("class"), F.col("spread")).cast("int")
-    stored = _listed(classes, index, main["longest"], False, BOUNDARY, COPIES).withColumn("spread", F.lit(spread))
     queries = valid.where(F.col("vec_id") % every == 0).join(members.where("class = vec_id").select("class", F.col("embedding").alias("e")), F.col("embedding") == F.col("e")).select(F.col("vec_id").alias("query_id"), "class", "embedding")
     queries = cut(queries)
-    asking = cut(queries.select("class", "embedding").dropDuplicates(["class"]))
-    # Walking the graph takes far longer than moving queries, of which a table has few bytes; AQE would put all into one task.
-    mine = asking.where(F.size("embedding") == main["length"]).repartition(max(1, asking.count() // 512), "class")
-    asked = _listed(mine, index, main["longest"], True, reach, probes).withColumn("spread", F.lit(spread))
-    others = lengths.where(F.col("length") != main["length"])
-    if not others.isEmpty():  # lists of negative numbers, one a length
+    asking = cut(queries.select("class", "embedding").dropDuplicates(["class"]).withColumn("length", F.size("embedding")))
+    # Lists of negative numbers, one a length, for lengths without an index.
+    others = lengths.where(~F.col("length").isin([r["length"] for r in large])) if large else lengths
+
+    def whole(rows: DataFrame) -> DataFrame:
         of = others.select("length", (-F.col("length")).alias("list"), F.ceil(F.col("n") / F.lit(SHARD_ROWS)).cast("int").alias("spread"))
-        stored = stored.unionByName(every_class.join(of, "length").drop("length"))
-        asked = asked.unionByName(asking.withColumn("length", F.size("embedding")).join(of, "length").drop("length"))
+        return rows.join(F.broadcast(of), "length").drop("length")  # a row a length
+
+    stored, asked, before = whole(every_class), whole(asking), 0
+    asks = asking.count()
+    for r in large:
+        classes = every_class.where(F.col("length") == r["length"])
+        index, ratio, probes = _indexed(classes, r["n"], r["length"], r["longest"], k, rows, list_size, recall)
+        spread = max(1, -(-r["n"] // (len(index.centroids) * SHARD_ROWS)))
+        named = (F.col("list") + before).alias("list")
+        before += len(index.centroids)
+        placed = _listed(classes, index, r["longest"], False, BOUNDARY, COPIES)
+        stored = stored.unionByName(placed.select("class", "embedding", named, F.lit(spread).alias("spread")))
+        # Walking the graph takes far longer than moving queries, of which a table has few bytes; AQE would put all into one task.
+        mine = asking.where(F.col("length") == r["length"]).repartition(max(1, asks // 512), "class")
+        asked = asked.unionByName(_listed(mine, index, r["longest"], True, ratio, probes).select("class", "embedding", named, F.lit(spread).alias("spread")))
     stored = stored.withColumn("block", block).select(shard.alias("shard"), "list", F.col("class").alias("c"), F.col("embedding").alias("v"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("spread") - 1))).select(shard.alias("to_shard"), "list", F.col("class").alias("q"), F.col("embedding").alias("u"))
 
@@ -245,7 +340,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, reach: float = REA
     # One row a query class with its nearest ids, so that queries of one class are expanded last.
     hits = near.join(ids, F.col("c") == F.col("class")).select("q", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = hits.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("__r", "vec_id", "score"))).alias("top"))
+    best = hits.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1)
+    found = cut(best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("__r", "vec_id", "score"))).alias("top")))
     answered = queries.select("query_id", "class").join(found, F.col("class") == F.col("q"))
     own = F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k)
     return answered.select("query_id", F.posexplode(own).alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))

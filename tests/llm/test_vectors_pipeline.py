@@ -141,3 +141,51 @@ def test_run_equals_stages(spark, sf, stages):
 def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+@pytest.mark.parametrize("n", [20_000, 80_000])
+def test_probes_follow_the_recall_target(n):
+    """Unrelated vectors: lists read grow with the table, so that recall stays; the sample has fewer vectors than the table."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors.build(vectors.lifted(x[: n // 4], 1.0, False), 60)
+
+    def near(q):
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -9
+        return np.argpartition(s, -20, axis=1)[:, -20:]
+
+    q = rng.permutation(n)
+    ratio, probes = vectors.tuned(index, vectors.lifted(x[q[:200]], 1.0, True), [vectors.lifted(x[i], 1.0, False) for i in near(q[:200])], 0.95)
+    other = q[200:350]
+    read = [set(r) for r in vectors.chosen(index, vectors.lifted(x[other], 1.0, True), ratio, probes, vectors.LEAST)]
+    homes = vectors.chosen(index, vectors.lifted(x[near(other).ravel()], 1.0, False), vectors.BOUNDARY, vectors.COPIES)
+    assert np.mean([not read[i // 20].isdisjoint(h) for i, h in enumerate(homes)]) >= 0.93
+    assert np.mean([len(r) for r in read]) < 0.8 * len(index.centroids)
+
+
+def test_two_large_lengths_and_an_exact_search(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "FEW", 300)
+    rng = np.random.default_rng(6)
+    x = [rng.normal(size=8 if i % 2 else 6) for i in range(1600)] + [rng.normal(size=3) for _ in range(50)]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    plans = {True: found(vectors.nearest(df, exact=True)), False: found(vectors.nearest(df))}
+    hits = total = 0
+    for q in range(0, len(x), 20):
+        same = [i for i, v in enumerate(x) if i != q and len(v) == len(x[q])]
+        want = sorted(same, key=lambda i: (-sum(x[q] * x[i]), i))[:20]
+        assert [i for i, _ in plans[True][q]] == want
+        total += len(want)
+        hits += len({i for i, _ in plans[False][q]} & set(want))
+    assert hits >= 0.95 * total
+
+
+def test_the_graph_has_each_centroids_nearest():
+    rng = np.random.default_rng(3)
+    index = vectors.build(rng.normal(size=(9000, 5)), 12)
+    c = index.centroids
+    d = ((c[:, None] - c[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert len(c) > 512
+    assert (np.sort(np.take_along_axis(d, index.graph[:, : vectors.DEGREE], axis=1), axis=1) == np.sort(d, axis=1)[:, : vectors.DEGREE]).mean() > 0.999
