@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewarden import config
-from lakewarden.functions.columns import dot, keyword_score, search_tokens, unit
+from lakewarden.functions.columns import dot, search_tokens, unit
+from lakewarden.operators.keywords import Index, build_index, indexed_search
+from lakewarden.operators.ranking import top_k
+from lakewarden.sources.tables import shared_folder
 
 #: Queries are sent to all tasks up to this many; more are joined in parts.
 MOST_QUERIES = 10_000
@@ -28,14 +33,6 @@ def _all_pairs(queries: DataFrame, passages: DataFrame) -> DataFrame:
     return out
 
 
-def top_k(scored: DataFrame, k: int, floor: float | None, by: str = "query_id", tie: str = "chunk_no") -> DataFrame:
-    """The k best of each query above the floor (exclusive), ties to the smaller passage number."""
-    if floor is not None:
-        scored = scored.where(F.col("score") > floor)
-    order = Window.partitionBy(by).orderBy(F.desc("score"), tie)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def with_vectors(passages: DataFrame, embed: Column | None) -> DataFrame:
     """passages with unit vectors by the given expression (a pandas UDF, say), or without any: keyword search then."""
     return passages if embed is None else passages.withColumn("embedding", unit(embed))
@@ -52,20 +49,23 @@ def vector_search(queries: DataFrame, passages: DataFrame, k: int, floor: float
     return top_k(pairs.select("query_id", "chunk_no", F.bround(dot(F.col("q"), F.col("p")), 4).alias("score")), k, floor)
 
 
-def keyword_search(queries: DataFrame, passages: DataFrame, k: int, floor: float | None = 0.0) -> DataFrame:
-    """query_id, chunk_no, score, rank by shared words.
+def keyword_search(queries: DataFrame, passages: DataFrame, k: int, floor: float | None = 0.0, index: Index | None = None) -> DataFrame:
+    """query_id, chunk_no, score, rank by shared words, passages above the floor (exclusive).
 
-    An inverted index by join: only pairs with a common word are made, and what a pair needs besides is each side's count.
     Queries whose words are few enough to send to all tasks meet each passage where it lies: pairs aren't shuffled, only the
-    best k of each query and task, and frequent words are no join keys. More queries are joined by word."""
+    best k of each query and task, and frequent words are no join keys. More queries, or those that bring a persisted index, are answered
+    by an inverted index, of which they read blocks that can hold one of their best only."""
+    if index is not None:
+        return indexed_search(index, queries, k, floor)
     q = queries.select("query_id", search_tokens(F.col("text")).alias("words"))
-    p = passages.select("chunk_no", search_tokens(F.col("text")).alias("words"))
     qs = q.select("query_id", F.size("words").alias("nq"), F.explode("words").alias("word"))
     size = qs.agg(F.sum(F.length("word") + F.lit(WORD_BYTES))).first()[0] or 0
-    if size <= MOST_BYTES:
-        qs, p = F.broadcast(qs), p.repartition("chunk_no")
+    if size > MOST_BYTES:
+        spark = passages.sparkSession
+        return indexed_search(build_index(passages, f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}"), queries, k, floor)
+    p = passages.select("chunk_no", search_tokens(F.col("text")).alias("words")).repartition("chunk_no")
     ps = p.select("chunk_no", F.size("words").alias("np"), F.explode("words").alias("word"))
-    both = ps.join(qs, "word").groupBy("query_id", "chunk_no").agg(F.count("*").alias("both"), F.first("nq").alias("nq"), F.first("np").alias("np"))
+    both = ps.join(F.broadcast(qs), "word").groupBy("query_id", "chunk_no").agg(F.count("*").alias("both"), F.first("nq").alias("nq"), F.first("np").alias("np"))
     score = F.bround(F.col("both") / F.sqrt(F.greatest("nq", F.lit(1)).cast("double") * F.greatest("np", F.lit(1)).cast("double")), 4)
     return top_k(both.select("query_id", "chunk_no", score.alias("score")), k, floor)
 

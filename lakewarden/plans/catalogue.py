@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakewarden import config
 from lakewarden.functions import columns as fx
-from lakewarden.operators import assistant, evaluate, privacy, profiling, quality, retrieval, review, risk, typing
+from lakewarden.operators import assistant, evaluate, keywords, privacy, profiling, quality, retrieval, review, risk, typing
 from lakewarden.plans import fixtures, pipeline
 from lakewarden.plans.fixtures import dirty_cte, findings_cte
 from lakewarden.sources import tables
@@ -412,16 +412,27 @@ _STOP = ", ".join(f"'{w}'" for w in fx.SEARCH_STOPWORDS)
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN (" + _STOP + ")))"
 
 
-@_query(f"""WITH q AS (SELECT item_id AS query_id, {_WORDS} AS w FROM benchmark), p AS (SELECT doc_id AS chunk_no, {_WORDS} AS w FROM documents),
+_KEYWORD_SQL = f"""WITH q AS (SELECT item_id AS query_id, {_WORDS} AS w FROM benchmark), p AS (SELECT doc_id AS chunk_no, {_WORDS} AS w FROM documents),
  qe AS (SELECT query_id, len(w) AS nq, unnest(w) AS word FROM q), pe AS (SELECT chunk_no, len(w) AS np, unnest(w) AS word FROM p),
  s AS (SELECT query_id, chunk_no, round_even(count(*) / sqrt(any_value(nq)::DOUBLE * any_value(np)::DOUBLE), 4) AS score FROM qe JOIN pe USING (word) GROUP BY 1, 2)
- SELECT * FROM (SELECT query_id, chunk_no, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_no)::INT AS rank FROM s) WHERE rank <= 5""")
+ SELECT * FROM (SELECT query_id, chunk_no, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_no)::INT AS rank FROM s) WHERE rank <= 5"""
+
+
+@_query(_KEYWORD_SQL)
 def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     """I1, I4, I5."""
     queries = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.keyword_search(queries, _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_no"), "text"), 5, None)
 
 
+@_query(_KEYWORD_SQL)
+def keyword_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by a persisted inverted index, of which a query reads the blocks that its bounds allow."""
+    passages = _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_no"), "text")
+    index = keywords.build_index(passages, f"{tables.shared_folder(spark)}/keywords-{uuid.uuid4().hex}")
+    return retrieval.keyword_search(_t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), passages, 5, None, index)
+
+
 @_query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS chunk_no, round_even(list_dot_product(a, embedding::DOUBLE[]), 4) AS score FROM q, embeddings)
  SELECT * FROM (SELECT query_id, chunk_no, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_no)::INT AS rank FROM s) WHERE rank <= 3""")
 def vector_search(spark: SparkSession, sf: str) -> DataFrame:
