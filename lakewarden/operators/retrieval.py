@@ -1,38 +1,24 @@
-"""Passages for queries: by vector or by shared words, exhaustive over a small side that is broadcast after a check of its size."""
+"""Passages for queries: by vector or by shared words. Results are exact; what can't be among them is ruled out by bounds, or a small side is sent to all tasks after a check of its size."""
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden import config
-from lakewarden.functions.columns import dot, search_tokens, unit
+from lakewarden.functions.columns import search_tokens, unit
+from lakewarden.operators import balls
 from lakewarden.operators.keywords import Index, build_index, indexed_search
 from lakewarden.operators.ranking import top_k
 from lakewarden.sources.tables import shared_folder
 
-#: Queries are sent to all tasks up to this many; more are joined in parts.
-MOST_QUERIES = 10_000
-
-#: The same for keyword search, in bytes: each word of a query counts its characters and this much for its row.
+#: Queries' words are sent to all tasks up to so many bytes: each counts its characters and this much for its row.
 MOST_BYTES, WORD_BYTES = 32 << 20, 40
 
 
-def _all_pairs(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """Every query with every passage; each part of the queries is small enough to send to all tasks."""
-    n = queries.count()
-    if n <= MOST_QUERIES:
-        return passages.crossJoin(F.broadcast(queries))
-    parts = -(-n // MOST_QUERIES)
-    out = None
-    for i in range(parts):
-        part = passages.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def with_vectors(passages: DataFrame, embed: Column | None) -> DataFrame:
     """passages with unit vectors by the given expression (a pandas UDF, say), or without any: keyword search then."""
     return passages if embed is None else passages.withColumn("embedding", unit(embed))
@@ -43,10 +29,16 @@ def backend(passages: DataFrame) -> str:
 
 
 def vector_search(queries: DataFrame, passages: DataFrame, k: int, floor: float | None = None) -> DataFrame:
-    """query_id, chunk_no, score, rank by the dot product of unit vectors, in double precision, to 4 digits."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = _all_pairs(q, passages.select("chunk_no", F.col("embedding").alias("p")))
-    return top_k(pairs.select("query_id", "chunk_no", F.bround(dot(F.col("q"), F.col("p")), 4).alias("score")), k, floor)
+    """query_id, chunk_no, score, rank by the dot product of unit vectors, in double precision, to 4 digits.
+
+    Each length of the queries' vectors has balls of its own, of which a query meets those that may hold one of its best."""
+    lengths = [r["n"] for r in queries.select(F.size("embedding").alias("n")).where("n > 0").distinct().orderBy("n").collect()]  # a row a length
+    found = [balls.nearest(b, queries, k) for b in (balls.build_balls(passages, n) for n in lengths) if b]
+    if not found:
+        empty = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_no {passages.schema['chunk_no'].dataType.simpleString()}, score double"
+        found = [passages.sparkSession.createDataFrame([], empty)]
+    scored = reduce(DataFrame.unionByName, found)
+    return top_k(scored.withColumn("score", F.bround("score", balls.DIGITS)), k, floor)
 
 
 def keyword_search(queries: DataFrame, passages: DataFrame, k: int, floor: float | None = 0.0, index: Index | None = None) -> DataFrame:
