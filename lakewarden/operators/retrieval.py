@@ -21,7 +21,23 @@ MOST_BYTES, WORD_BYTES = 32 << 20, 40
 
 def with_vectors(passages: DataFrame, embed: Column | None) -> DataFrame:
     """passages with unit vectors by the given expression (a pandas UDF, say), or without any: keyword search then."""
-    return passages if embed is None else passages.withColumn("embedding", unit(embed))
+    if embed is None:
+        return passages
+    # The expression first, in a step of its own: no UDF may stand within a function of elements.
+    return passages.withColumn("embedding", embed).withColumn("embedding", unit(F.col("embedding")))
+
+
+def embedded(passages: DataFrame, embed: Column | None) -> tuple[DataFrame, str | None]:
+    """passages with vectors, written to the shared folder; or without, and the reason why they can't be had: keyword search then."""
+    if embed is None:
+        return passages, "no expression for vectors is given"
+    try:
+        shared_folder(passages.sparkSession)
+        made = with_vectors(passages, embed).checkpoint()
+        missing = made.where("embedding is null").count()
+    except Exception as e:  # whatever the model raises
+        return passages, f"{type(e).__name__}: {(str(e).strip() or 'no message').splitlines()[0]}"
+    return (passages, f"{missing} passages have no vector") if missing else (made, None)
 
 
 def backend(passages: DataFrame) -> str:

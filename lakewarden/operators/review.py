@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 from enum import StrEnum
 
@@ -26,12 +27,17 @@ class Decision(StrEnum):
 STATUSES = ["pending_review", "approved", "rejected", "auto_logged"]
 
 
-def _append(spark: SparkSession, path: str, row: Row, audit: str | None, dataset: str) -> Row:
+def audit_path(path: str) -> str:
+    """Where decisions of the log at path are audited if no other place is named."""
+    return path.rstrip("/") + "-audit"
+
+
+def _append(spark: SparkSession, path: str, row: Row, audit: str | None, dataset: str, **told: str) -> Row:
+    """Appends row to the log and tells the audit log of it."""
     spark.createDataFrame([row], DECISION).write.mode("append").json(path)
-    if audit is not None:
-        told = f"{row.finding_id}: {row.note}" if row.note else row.finding_id
-        entry = (row.decided_at, row.actor, f"review_{row.decision}", dataset, told)
-        append_audit(spark.createDataFrame([entry], AUDIT), audit)
+    detail = json.dumps({"finding_id": row.finding_id, **told}, sort_keys=True)
+    entry = (row.decided_at, row.actor, f"review_{row.decision}", dataset, detail)
+    append_audit(spark.createDataFrame([entry], AUDIT), audit or audit_path(path))
     return row
 
 
@@ -46,17 +52,27 @@ def _now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="microseconds")
 
 
-def record(spark: SparkSession, path: str, finding_id: str, decision: str, actor: str, note: str = "", audit: str | None = None, dataset: str = "") -> Row:
-    """Appends a person's approval or rejection of a finding to the log at path, and to the audit log, if its path is given, as `review_approved` or `review_rejected`."""
+def record(spark: SparkSession, path: str, finding_id: str, decision: str, actor: str, note: str = "", audit: str | None = None, dataset: str = "", finding: str = "") -> Row:
+    """Appends a person's approval or rejection of a finding to the log at path.
+
+    It always goes to an audit log as well (`audit`, or the one beside the log), as `review_approved` or `review_rejected` with the note and `finding`, what the finding says."""
     settled = Decision(decision)  # ValueError for what isn't a decision
     if settled is Decision.REOPENED:
         raise ValueError("clear() reopens a finding")
-    return _append(spark, path, Row(finding_id=finding_id, decision=settled.value, actor=_named(actor), note=note.strip(), decided_at=_now()), audit, dataset)
+    row = Row(finding_id=finding_id, decision=settled.value, actor=_named(actor), note=note.strip(), decided_at=_now())
+    return _append(spark, path, row, audit, dataset, note=row.note, finding=finding)
+
 
+def clear(spark: SparkSession, path: str, finding_id: str, actor: str, audit: str | None = None, dataset: str = "") -> Row | None:
+    """Takes a decision back by an entry of its own, and tells the audit log (`review_reopened`) what had been decided; nothing is deleted.
 
-def clear(spark: SparkSession, path: str, finding_id: str, actor: str, audit: str | None = None, dataset: str = "") -> Row:
-    """Takes a decision back by an entry of its own (`review_reopened` in the audit log); nothing is deleted."""
-    return _append(spark, path, Row(finding_id=finding_id, decision=Decision.REOPENED.value, actor=_named(actor), note="", decided_at=_now()), audit, dataset)
+    Where nothing is decided nothing is written, and None returned."""
+    name = _named(actor)
+    held = current(log(spark, path).where(F.col("finding_id") == finding_id)).first()
+    if held is None:
+        return None
+    row = Row(finding_id=finding_id, decision=Decision.REOPENED.value, actor=name, note="", decided_at=_now())
+    return _append(spark, path, row, audit, dataset, previous_decision=held["decision"])
 
 
 def log(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,15 +175,52 @@ def test_review_log(spark, tmp_path):
 
 def test_decisions_are_audited(spark, tmp_path):
     path, audit = str(tmp_path / "log"), str(tmp_path / "audit")
-    review.record(spark, path, "f1", "approved", " ann ", "seen", audit=audit, dataset="d")
+    review.record(spark, path, "f1", "approved", " ann ", "seen", audit=audit, dataset="d", finding="3 rows repeat")
     review.record(spark, path, "f1", "rejected", "bob", audit=audit, dataset="d")
     review.clear(spark, path, "f1", "ann", audit=audit, dataset="d")
-    assert [(r["action"], r["actor"], r["dataset"], r["detail"]) for r in tables.audit_tail(spark, audit).collect()] == [("review_reopened", "ann", "d", "f1"), ("review_rejected", "bob", "d", "f1"), ("review_approved", "ann", "d", "f1: seen")]
+    got = [(r["action"], r["actor"], r["dataset"], json.loads(r["detail"])) for r in tables.audit_tail(spark, audit).collect()]
+    assert got == [
+        ("review_reopened", "ann", "d", {"finding_id": "f1", "previous_decision": "rejected"}),
+        ("review_rejected", "bob", "d", {"finding_id": "f1", "note": "", "finding": ""}),
+        ("review_approved", "ann", "d", {"finding_id": "f1", "note": "seen", "finding": "3 rows repeat"}),
+    ]
     assert review.current(review.log(spark, path)).count() == 0
     with pytest.raises(ValueError):
         review.record(spark, path, "f1", "reopened", "ann")
 
 
+def test_every_decision_is_audited_and_only_decisions_are_taken_back(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert review.clear(spark, path, "f1", "ann") is None
+    review.record(spark, path, "f1", "approved", "ann")
+    assert review.clear(spark, path, "f2", "ann") is None and review.clear(spark, path, "f1", "bob") is not None and review.clear(spark, path, "f1", "bob") is None
+    assert review.log(spark, path).count() == 2
+    assert [r["action"] for r in tables.audit_tail(spark, review.audit_path(path)).collect()] == ["review_reopened", "review_approved"]
+    with pytest.raises(ValueError):
+        review.clear(spark, path, "f1", " ")
+
+
+def test_why_there_are_no_vectors(spark):
+    passages = spark.createDataFrame([(0, "one"), (1, "two")], "chunk_no int, text string")
+    made, why = retrieval.embedded(passages, F.array(F.length("text").cast("double"), F.lit(4.0)))
+    assert why is None and retrieval.backend(made) == "vector" and made.first()["embedding"] == [0.6, 0.8]
+
+    @F.pandas_udf("array<double>")
+    def lengths(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: [3.0, float(len(x) + 1)])
+
+    assert retrieval.embedded(passages, lengths("text"))[0].first()["embedding"] == [0.6, 0.8]
+
+    @F.pandas_udf("array<double>")
+    def broken(t: pd.Series) -> pd.Series:
+        raise RuntimeError("no model here")
+
+    same, why = retrieval.embedded(passages, broken("text"))
+    assert retrieval.backend(same) == "keyword" and why.startswith("PythonException")
+    assert retrieval.embedded(passages, F.when(F.col("chunk_no") > 0, F.array(F.lit(1.0))))[1] == "1 passages have no vector"
+    assert retrieval.embedded(passages, None) == (passages, "no expression for vectors is given")
+
+
 def test_audit_of_one_second_keeps_its_order(spark, tmp_path):
     for actions in (["profiled", "assessed", "not_cited"], ["b", "a"]):
         rows = [{"timestamp": "2026-01-01T00:00:00", "actor": "a", "action": x, "dataset": "d", "detail": ""} for x in actions]
