@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row
@@ -195,44 +196,94 @@ def rule_results(df: DataFrame, names: list[str], expression: str, dates: set[st
     return filled.where(" and ".join(f"`{n}` is not null" for n in names)).select("row_id", F.expr(expression).cast("boolean").alias("ok"))
 
 
-def consistency(df: DataFrame, types: list[Typed], rules: list, total: int) -> tuple[Dimension, list[DataFrame], list[str]]:
-    """The mean of all checks' agreements; the rows at fault; and rules that couldn't be evaluated."""
-    agreements, rows, broken = [], [], []
-    out = Dimension("consistency", None, config.THRESHOLDS["consistency"])
-    dates = {t.name for t in types if t.semantic_type == "date"}
-    for name, mapping in config.CANONICAL.items():
-        if name not in df.columns:
-            continue
-        checked = odd_spellings(df, name, mapping)
-        r = checked.agg(F.count("*").alias("n"), F.count_if("odd").alias("odd")).first()
-        if not r["n"]:
-            continue
-        agreements.append(1 - r["odd"] / r["n"])
-        if r["odd"]:
-            out.failing.append(name)
-            out.findings.append(Finding("quality", "inconsistent_value", name, config.DESCRIPTIONS["spelling"].format(n=r["odd"], column=name), _class_of(types, name), total, r["odd"], evidence={"agreement_pct": round(100 * agreements[-1], 2)}, kind="spelling"))
-            rows.append(checked.where("odd").select(F.lit("inconsistent_value").alias("issue_type"), F.lit(name).alias("column"), F.lit("spelling").alias("kind"), "row_id"))
+def check_counts(df: DataFrame, spellings: dict[str, dict[str, str]], rules: list, dates: set[str] = frozenset(), row: str = ROW) -> tuple[list[Row], dict[str, str]]:
+    """Counts of all checks by one job, however many there are: rows of (check, value, ok, n, first); and the rules that can't be evaluated, with the reason.
+
+    A check is the name of a column (value: a spelling of it that its mapping knows) or of a rule (ok: of rows in which all its columns are filled). There are as many
+    rows as spellings, and two a rule."""
+    used = {n for _, names, _ in rules for n in names}
+    cells = [(as_timestamp(_cell(df, n), df.schema[n].dataType) if n in dates else _cell(df, n)).alias(n) for n in used]
+    texts = {n: f"__text{i}" for i, n in enumerate(spellings)}
+    frame = df.select(F.col(row).cast("long").alias("__row"), *cells, *[_cell(df, n).cast("string").alias(t) for n, t in texts.items()])
+    records, broken = [], {}
+
+    def checked(name: str, applies: Column, value: Column, ok: Column) -> Column:
+        return F.struct(F.lit(name).alias("check"), applies.alias("applies"), value.cast("string").alias("value"), ok.alias("ok"))
+
+    for name, mapping in spellings.items():
+        records.append(checked(name, F.col(texts[name]).isin(list(mapping)), F.col(texts[name]), F.lit(None).cast("boolean")))
     for rule, names, expression in rules:
-        if not set(names) <= set(df.columns):
-            continue
+        ok = F.coalesce(F.expr(expression).cast("boolean"), F.lit(False))
         try:
-            checked = rule_results(df, names, expression, dates)
-            r = checked.agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).first()
+            frame.select(ok)
         except AnalysisException as e:
-            broken.append(f"{rule}: {str(e).splitlines()[0]}")
+            broken[rule] = str(e).splitlines()[0]
             continue
-        if not r["n"]:
+        filled = reduce(lambda x, y: x & y, [column(n).isNotNull() for n in names])
+        records.append(checked(rule, filled, F.lit(None), F.when(filled, ok)))
+    if not records:
+        return [], broken
+    long = frame.select("__row", F.inline(F.array(*records))).where("applies")
+    return long.groupBy("check", "value", "ok").agg(F.count("*").alias("n"), F.min("__row").alias("first")).collect(), broken
+
+
+def _spelling(df: DataFrame, types: list[Typed], name: str, mapping: dict[str, str], counts: list[Row], total: int) -> tuple[float, Finding | None, DataFrame | None]:
+    """Agreement of a column's spellings, and what disagrees. Of equally common spellings the one that occurs first counts."""
+    common: dict[str, Row] = {}
+    for r in counts:
+        canon = mapping[r["value"]]
+        if canon not in common or (r["n"], -r["first"]) > (common[canon]["n"], -common[canon]["first"]):
+            common[canon] = r
+    odd = sum(r["n"] for r in counts if r is not common[mapping[r["value"]]])
+    agreement = 1 - odd / sum(r["n"] for r in counts)
+    if not odd:
+        return agreement, None, None
+    description = config.DESCRIPTIONS["spelling"].format(n=odd, column=name)
+    found = Finding("quality", "inconsistent_value", name, description, _class_of(types, name), total, odd, evidence={"agreement_pct": round(100 * agreement, 2)}, kind="spelling")
+    wrong = [r["value"] for r in counts if r is not common[mapping[r["value"]]]]
+    rows = df.where(_cell(df, name).cast("string").isin(wrong))
+    return agreement, found, rows.select(F.lit("inconsistent_value").alias("issue_type"), F.lit(name).alias("column"), F.lit("spelling").alias("kind"), F.col(ROW).cast("long").alias("row_id"))
+
+
+def consistency(df: DataFrame, types: list[Typed], rules: list, total: int) -> tuple[Dimension, list[DataFrame], list[str]]:
+    """The mean of all checks' agreements; the rows at fault; and rules that couldn't be evaluated. One job counts for all checks."""
+    agreements, rows = [], []
+    out = Dimension("consistency", None, config.THRESHOLDS["consistency"])
+    dates = {t.name for t in types if t.semantic_type == "date"}
+    spellings = {n: m for n, m in config.CANONICAL.items() if n in df.columns}
+    rules = [r for r in rules if set(r[1]) <= set(df.columns)]
+    # Checks are told apart by their place, as a rule may be named like a column.
+    named = {f"s{i}": n for i, n in enumerate(spellings)}
+    counted = [(f"r{i}", names, expression) for i, (_, names, expression) in enumerate(rules)]
+    copies = df.withColumns({f"__{k}": column(n) for k, n in named.items()}) if named else df
+    counts, failed = check_counts(copies, {f"__{k}": spellings[n] for k, n in named.items()}, counted, dates)
+    by: dict[str, list[Row]] = {}
+    for r in counts:
+        by.setdefault(r["check"], []).append(r)
+    for k, name in named.items():
+        if f"__{k}" in by:
+            agreement, found, odd = _spelling(df, types, name, spellings[name], by[f"__{k}"], total)
+            agreements.append(agreement)
+            if found:
+                out.failing.append(name)
+                out.findings.append(found)
+                rows.append(odd)
+    for (key, _, _), (rule, names, expression) in zip(counted, rules):
+        n, good = sum(r["n"] for r in by.get(key, [])), sum(r["n"] for r in by.get(key, []) if r["ok"])
+        if not n:
             continue
-        agreements.append(r["ok"] / r["n"])
-        if bad := r["n"] - r["ok"]:
+        agreements.append(good / n)
+        if bad := n - good:
+            description, evidence = config.DESCRIPTIONS["rule"].format(n=bad, expression=expression), {"rule": rule, "expression": expression, "rows_evaluated": n}
             out.failing.append(names[0])
-            out.findings.append(Finding("quality", "inconsistent_value", names[0], config.DESCRIPTIONS["rule"].format(n=bad, expression=expression), _class_of(types, names[0]), total, bad, evidence={"rule": rule, "expression": expression, "rows_evaluated": r["n"]}, kind=rule))
-            rows.append(checked.where("not coalesce(ok, false)").select(F.lit("inconsistent_value").alias("issue_type"), F.lit(names[0]).alias("column"), F.lit(rule).alias("kind"), "row_id"))
+            out.findings.append(Finding("quality", "inconsistent_value", names[0], description, _class_of(types, names[0]), total, bad, evidence=evidence, kind=rule))
+            wrong = rule_results(df, names, expression, dates).where("not coalesce(ok, false)")
+            rows.append(wrong.select(F.lit("inconsistent_value").alias("issue_type"), F.lit(names[0]).alias("column"), F.lit(rule).alias("kind"), "row_id"))
     if agreements:
         out.score = round(100 * sum(agreements) / len(agreements), 2)
     else:
         out.reason = "no consistency check applies"
-    return out, rows, broken
+    return out, rows, [f"{rule}: {failed[key]}" for (key, _, _), (rule, _, _) in zip(counted, rules) if key in failed]
 
 
 def overall(dimensions: list[Dimension]) -> float | None:

@@ -75,13 +75,13 @@ def infer(name: str, kind: T.DataType, rates: Row, mean_length: float | None) ->
     return Typed(name, found, evidence, config.DATA_CLASS.get(found, config.NON_PERSONAL), found == "free_text", rate, rates["non_null"])
 
 
-def typed_columns(df: DataFrame, profiles: DataFrame | list[Row]) -> list[Typed]:
-    """One entry a column; a few numbers a column reach the driver. Of the profiles, `basics` suffice."""
+def typed_columns(df: DataFrame, profiles: DataFrame | list[Row], rates: list[Row] | None = None) -> list[Typed]:
+    """One entry a column; a few numbers a column reach the driver. Of the profiles, `basics` suffice. rates: rows of `match_rates`, if it has run already."""
     kinds = {f.name: f.dataType for f in profiled_fields(df)}
     rows = profiles.select("name", "mean_length").collect() if isinstance(profiles, DataFrame) else profiles
     lengths = {r["name"]: r["mean_length"] for r in rows}
-    rates = {r["name"]: r for r in match_rates(df).collect()}
-    return [infer(n, k, rates[n], lengths.get(n)) for n, k in kinds.items()]
+    by_name = {r["name"]: r for r in (match_rates(df).collect() if rates is None else rates)}
+    return [infer(n, k, by_name[n], lengths.get(n)) for n, k in kinds.items()]
 
 
 def catalog(df: DataFrame, profiles: DataFrame, types: list[Typed] | None = None) -> DataFrame:

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from lakewarden import config
 from lakewarden.operators import privacy, quality, retrieval, risk
 from lakewarden.operators.findings import Finding, as_table
 from lakewarden.operators.profiling import basics, profile, profiled_fields
 from lakewarden.operators.quality import CELL, Dimension
-from lakewarden.operators.typing import Typed, catalog, typed_columns
+from lakewarden.operators.typing import Typed, catalog, match_rates, typed_columns
 from lakewarden.sources.tables import ROW, unique_names, with_row_id
 
 NO_ROWS = "the table has no rows"
@@ -50,6 +52,12 @@ def distinct_headers(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return (df.toDF(*names), renamed) if renamed else (df, {})
 
 
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
+    """Results of jobs that don't depend on each other, run at the same time; each sees the session's settings. The first failure is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 def assess(df: DataFrame, dataset: str = "table", rules: config.Profile | None = None, passages: DataFrame | None = None, row: str | None = None) -> Assessment:
     """Runs every step on df. `row` names a column that numbers the rows; without it rows are numbered in reading order."""
     spark, rules, audit = df.sparkSession, rules or config.profile_for(dataset), []
@@ -61,8 +69,10 @@ def assess(df: DataFrame, dataset: str = "table", rules: config.Profile | None =
     if renamed:
         note("headers_renamed", renamed=renamed)
     df = df.withColumnRenamed(row, ROW) if row else with_row_id(df)
-    base = basics(df).collect() if profiled_fields(df) else []
-    types = typed_columns(df, base) if base else []
+    base, types = [], []
+    if profiled_fields(df):
+        base, rates = together(spark, lambda: basics(df).collect(), lambda: match_rates(df).collect())
+        types = typed_columns(df, base, rates)
     total = base[0]["rows"] if base else df.count()
     note("profiled", columns=len(types), rows=total)
 
@@ -71,20 +81,23 @@ def assess(df: DataFrame, dataset: str = "table", rules: config.Profile | None =
     if not total or not types:
         dimensions = [Dimension(d, None, t, reason=NO_ROWS) for d, t in config.THRESHOLDS.items()]
     else:
-        unique, repeated = quality.uniqueness(df, types, rules.key, total)
+        hidden = privacy.high_confidence_scan(df, types)
+        free = [t.name for t in types if t.is_freetext]
+        if free:
+            hidden = hidden.unionByName(privacy.freetext_scan(df, free))
+        (unique, repeated), (consistent, odd, broken), counts = together(
+            spark,
+            lambda: quality.uniqueness(df, types, rules.key, total),
+            lambda: quality.consistency(df, types, rules.rules, total),
+            lambda: hidden.groupBy("issue_type", "column", "kind").agg(F.count("*").alias("n")).collect(),
+        )
         valid, invalid = quality.validity(df, types, total)
-        consistent, odd, broken = quality.consistency(df, types, rules.rules, total)
         dimensions = [quality.completeness(df, types, rules.required, base), unique, valid, consistent]
         cells += [c for c in (repeated, invalid, *odd) if c is not None]
         for b in broken:
             note("rule_failed", rule=b)
         found += [f for d in dimensions for f in d.findings]
         found += privacy.classify(types, total)
-        hidden = privacy.high_confidence_scan(df, types)
-        free = [t.name for t in types if t.is_freetext]
-        if free:
-            hidden = hidden.unionByName(privacy.freetext_scan(df, free))
-        counts = hidden.groupBy("issue_type", "column", "kind").agg(F.count("*").alias("n")).collect()
         found += privacy.scan_findings(counts, types, total)
         cells.append(hidden)
     dimensions += quality.unassessed()

@@ -311,3 +311,28 @@ def test_approximate_profile(spark, sf):
     for name, r in exact.items():
         assert abs(near[name]["distinct_count"] - r["distinct_count"]) <= max(3, 0.1 * r["distinct_count"]) and near[name]["samples"] == []
     assert "Exchange hash" not in profiling.approximate_distincts(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_number_of_jobs_does_not_depend_on_the_number_of_checks(spark):
+    rows_ = [(i, f"a{i}@x.org", float(i - 2), float(i % 3), ["TX", "Texas", "FL", "Florida", "TX"][i % 5]) for i in range(40)]
+    df = spark.createDataFrame(rows_, "row_id long, email string, a double, b double, state string")
+    jobs, scores = [], []
+    for n in (1, 12):
+        rules = config.Profile(key=["email"], rules=[(f"rule{i}", ["a", "b"], f"a + {i} >= b") for i in range(n)])
+        spark.sparkContext.setJobGroup(f"rules{n}", "")
+        a = pipeline.assess(df, "t", rules, row="row_id")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rules{n}")))
+        scores.append({d.dimension: d for d in a.dimensions}["consistency"])
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+    good = [sum(r[2] + i >= r[3] for r in rows_) / 40 for i in range(12)]
+    spelt = 1 - 16 / 40  # the commonest spelling of TX is TX; of FL the two are as common, and the first one counts
+    assert scores[0].score == round(100 * (spelt + good[0]) / 2, 2) and scores[1].score == round(100 * (spelt + sum(good)) / 13, 2)
+
+
+def test_rules_and_spellings_of_one_name_and_rules_that_cannot_be_evaluated(spark):
+    df = spark.createDataFrame([(0, "TX", 1.0), (1, "Texas", -1.0), (2, "TX", None), (3, None, 2.0)], "_row_id long, state string, x double")
+    rules = [("state", ["x"], "x > 0"), ("broken", ["x"], "nowhere > x"), ("absent", ["y"], "y > 0"), ("null", ["x"], "nullif(x, 2.0) > 0")]
+    out, found, broken = quality.consistency(df, [], rules, 4)
+    assert out.score == round(100 * (2 / 3 + 2 / 3 + 1 / 3) / 3, 2) and [b.split(":")[0] for b in broken] == ["broken"]
+    assert sorted((r["column"], r["kind"], r["row_id"]) for f in found for r in f.collect()) == [("state", "spelling", 1), ("x", "null", 1), ("x", "null", 3), ("x", "state", 1)]
