@@ -28,6 +28,7 @@ A null doc_id is left out of classes (kept null component, kept false) as it can
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,11 +107,12 @@ def similarity(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray) -
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), bytes (of the text), digest and registers of every document."""
+    """doc_id, n (set size), bytes (of the text), digest and registers of every document. Hashes are keyed by bytes drawn for this run."""
+    key = os.urandom(16)
 
     def run(slab: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(slab.column(1))
-        sets = tx.shingle_sets(texts, k)
+        sets = tx.shingle_sets(texts, k, key)
         return pa.RecordBatch.from_arrays(
             [
                 slab.column(0),

@@ -128,25 +128,6 @@ def word_digests(texts: list[bytes], key: bytes) -> tuple[np.ndarray, np.ndarray
     return out, begins
 
 
-class Words(dict):
-    """Numbers of words in the order met, and two independent 64-bit hashes of each: halves of a keyed 128-bit digest of its bytes."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.raw = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.raw += blake2b(word, digest_size=16, key=b"shingles").digest()
-        return n
-
-    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
-        """Both hashes (two rows) of all words of lower-cased texts, one after the other, and each text's number of words."""
-        at = [np.fromiter(map(self.__getitem__, w), np.int32, len(w)) for w in map(split, texts)]
-        table = np.frombuffer(self.raw, U).reshape(-1, 2).T
-        return table[:, np.concatenate([np.empty(0, np.int32), *at])], [len(a) for a in at]
-
-
 _LOWER = LOWER.tobytes()
 
 
@@ -155,23 +136,24 @@ def split(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def shingle_sets(texts: list[bytes], k: int, at_once: int = 500_000) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's distinct k-word shingles as sorted hashes, and a second, independent hash of each; with fewer words the whole sequence as one; without words none.
+def shingle_sets(texts: list[bytes], k: int, key: bytes = b"", at_once: int = 500_000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct k-word shingles (of lower-cased words) as sorted hashes, and a second, independent hash of each; with fewer words the whole sequence as one; without
+    words none. Hashes of one key can be compared.
 
     Texts are hashed about `at_once` bytes at a time, whatever their number."""
     out, part, size = [], [], 0
     for t in texts:
         if part and size + len(t) > at_once:
-            out += _shingle_sets(part, k)
+            out += _shingle_sets(part, k, key)
             part, size = [], 0
         part.append(t)
         size += len(t)
-    return out + _shingle_sets(part, k) if part else out
+    return out + _shingle_sets(part, k, key) if part else out
 
 
-def _shingle_sets(texts: list[bytes], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    h, counts = Words().hashes(texts)  # words are remembered for this slab only, so that workers hold none
-    n = h.shape[1]
+def _shingle_sets(texts: list[bytes], k: int, key: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    h, begins = word_digests([t.translate(_LOWER) for t in texts], key)
+    n, counts = h.shape[1], np.diff(begins).tolist()
     if n >= k:
         rolled = np.zeros((2, n - k + 1), U)
         for j in range(k):
