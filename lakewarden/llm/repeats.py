@@ -196,7 +196,7 @@ def _spans(rows: DataFrame, window: int, gram: int) -> DataFrame:
         seeds = keep(_seed_rows(named, window, gram, key).groupBy("seed").agg(F.count("*").alias("texts")).where("texts > 1").select("seed"))
         shared = keep(_segment_rows(named, window, gram, key).join(seeds, "seed", "left_semi"))
         classes = keep(shared.groupBy("seed", "body").agg(F.min("doc_id").alias("least")))
-        doubtful = classes.groupBy("seed").agg(F.count("*").alias("bodies")).where("bodies > 1")
+        doubtful = keep(classes.groupBy("seed").agg(F.count("*").alias("bodies")).where("bodies > 1"))
         classes = keep(classes.join(doubtful, "seed", "left").select("seed", "body", "least", F.col("bodies").isNotNull().alias("doubtful")))
         met = keep(shared.join(classes, ["seed", "body"]).where("doc_id > least or doubtful").select("doc_id", "key", "place", (F.col("doc_id") > F.col("least")).alias("matched")))
         leading = met.where("not matched").groupBy("doc_id", "key").agg(F.collect_list("place").alias("places"))
