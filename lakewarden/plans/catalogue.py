@@ -91,16 +91,19 @@ def profile_columns(spark: SparkSession, sf: str) -> DataFrame:
 _SAMPLE_SQL = "SELECT '{c}' AS name, array_to_string(list(v ORDER BY f, v)[1:5], '|') AS samples FROM (SELECT {x} AS v, min(row_id) AS f FROM dirty WHERE {x} IS NOT NULL GROUP BY 1)"
 
 
-@_query("WITH " + dirty_cte() + _union([_SAMPLE_SQL.format(c=c, x=_norm(c)) for c in _DIRTY_TEXT]))
+@_query("WITH " + dirty_cte() + _union([_SAMPLE_SQL.format(c=c, x=_norm(c)) for c in _DIRTY_TEXT] + [_SAMPLE_SQL.format(c="lifetime_value", x="lifetime_value::DECIMAL(38,6)::VARCHAR")]))
 def profile_samples(spark: SparkSession, sf: str) -> DataFrame:
     """First distinct values in row order."""
-    return profiling.distincts(_numbered(spark, sf).drop("lifetime_value")).select("name", F.array_join("samples", "|").alias("samples"))
+    return profiling.distincts(_numbered(spark, sf)).select("name", F.array_join("samples", "|").alias("samples"))
 
 
-@_query("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT 'event_type' AS name, max(n) AS top_count, sum(n)::BIGINT AS non_null, max(n) / sum(n)::DOUBLE > 0.95 AS near_constant FROM c")
+_TOP_SQL = "SELECT '{n}' AS name, max(n) AS top_count, sum(n)::BIGINT AS non_null, max(n) / sum(n)::DOUBLE > 0.95 AS near_constant FROM (SELECT {e} AS v, count(*) AS n FROM events GROUP BY 1)"
+
+
+@_query(_union([_TOP_SQL.format(n=n, e=e) for n, e in (("event_type", "event_type"), ("nearly_one", "event_id % 50 = 0"), ("not_quite", "event_id % 10 = 0"))]))
 def profile_top_share(spark: SparkSession, sf: str) -> DataFrame:
-    """C8."""
-    d = profiling.distincts(_t(spark, sf, "events").select("event_type"))
+    """Columns that are, and aren't, nearly constant."""
+    d = profiling.distincts(_t(spark, sf, "events").selectExpr("event_type", "event_id % 50 = 0 AS nearly_one", "event_id % 10 = 0 AS not_quite"))
     return d.select("name", "top_count", "non_null", (F.col("top_count") / F.col("non_null") > config.NEAR_CONSTANT).alias("near_constant"))
 
 
@@ -138,7 +141,28 @@ def match_rates(spark: SparkSession, sf: str) -> DataFrame:
 _TYPES = [("customer_id", "customer_id", "name"), ("first_name", "person_name", "name"), ("last_name", "person_name", "name"), ("customer_email", "email", "name"), ("phone_no", "phone", "name"), ("street_address", "address", "name"), ("city", "categorical", "default"), ("state", "categorical", "default"), ("postcode", "postcode_us", "name"), ("signup_date", "date", "value"), ("last_order_date", "date", "value"), ("lifetime_value", "numeric", "dtype"), ("cust_ref", "categorical", "default"), ("notes", "free_text", "length")]
 
 
-@_query(_union([f"SELECT '{n}' AS name, '{t}' AS semantic_type, '{e}' AS type_evidence, '{config.DATA_CLASS.get(t, config.NON_PERSONAL)}' AS data_class, {str(t == 'free_text').lower()} AS is_freetext" for n, t, e in _TYPES]))
+def _types_cte() -> str:
+    """types(name, semantic_type, type_evidence, data_class, rate, filled) of the dirty table's columns, worked out from their names and values."""
+    hints = ", ".join(f"('{h}', '{k}', {i})" for i, (h, k) in enumerate((h, k) for k, hs in config.NAME_HINTS.items() for h in hs))
+    rates = []
+    for c, *_ in _TYPES:
+        x, number = (_norm(c), False) if c != "lifetime_value" else ("lifetime_value::DECIMAL(38,6)::VARCHAR", True)
+        each = ", ".join(f"coalesce(avg(regexp_full_match({x}, '{p}')::INT), 0)::DOUBLE AS {k}" for k, p in config.PATTERNS.items())
+        dated = "0::DOUBLE" if number else f"coalesce(avg(CASE WHEN {x} IS NOT NULL THEN (try_cast({x} AS DATE) IS NOT NULL)::INT END), 0)::DOUBLE"
+        rates.append(f"SELECT '{c}' AS name, {number} AS number, count({x}) AS filled, avg(length({x})) AS long, {dated} AS date_rate, {each} FROM dirty")
+    by_value = "[" + ", ".join(f"({k}, {-i}, '{k}')" for i, k in enumerate(config.PATTERNS) if k not in config.NAME_ONLY_KINDS) + "]"
+    by_value = by_value.replace("(", "row(")
+    own = " ".join(f"WHEN '{k}' THEN {k}" for k in config.PATTERNS)
+    classes = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in config.DATA_CLASS.items())
+    return f"""rates AS ({_union(rates)}), hints(hint, kind, i) AS (VALUES {hints}),
+ named AS (SELECT name, first(kind ORDER BY length(hint) DESC, i) AS kind FROM rates JOIN hints ON contains(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), hint) GROUP BY name),
+ chosen AS (SELECT rates.*, kind, list_max({by_value}) AS best FROM rates LEFT JOIN named USING (name)),
+ typed AS (SELECT *, CASE WHEN kind IS NOT NULL THEN 'name' WHEN filled > 0 AND best[1] >= 0.8 THEN 'value' WHEN number THEN 'dtype' WHEN date_rate >= 0.8 THEN 'value' WHEN long > 25 THEN 'length' ELSE 'default' END AS type_evidence,
+  coalesce(kind, CASE WHEN filled > 0 AND best[1] >= 0.8 THEN best[3] WHEN number THEN 'numeric' WHEN date_rate >= 0.8 THEN 'date' WHEN long > 25 THEN 'free_text' ELSE 'categorical' END) AS semantic_type FROM chosen),
+ types AS (SELECT name, semantic_type, type_evidence, CASE semantic_type {classes} ELSE '{config.NON_PERSONAL}' END AS data_class, CASE semantic_type {own} ELSE 0 END AS rate, filled FROM typed)"""
+
+
+@_query("WITH " + dirty_cte() + ", " + _types_cte() + " SELECT name, semantic_type, type_evidence, data_class, semantic_type = 'free_text' AS is_freetext FROM types")
 def type_inference(spark: SparkSession, sf: str) -> DataFrame:
     """D1, D3-D5."""
     d = _numbered(spark, sf)
@@ -455,14 +479,16 @@ _PASSAGES = [(i, f"Art. {i}", k.replace("_", " "), v) for i, (k, v) in enumerate
 _PASSAGE_ROWS = ", ".join(f"({i}, '{r}', '{t}', '{x}')" for i, r, t, x in _PASSAGES)
 
 
-@_query(f"""WITH {findings_cte()}, p(chunk_no, reference, title, body) AS (VALUES {_PASSAGE_ROWS}), pw AS (SELECT chunk_no, reference, {_WORDS} AS w FROM (SELECT *, concat_ws('. ', reference, title, body) AS text FROM p)),
+@_query(f"""WITH {findings_cte()}, p AS (SELECT * FROM (VALUES {_PASSAGE_ROWS}) t(chunk_no, reference, title, body) UNION ALL SELECT 1000 + doc_id, 'Doc ' || doc_id, lang, text FROM documents), pw AS (SELECT chunk_no, reference, {_WORDS} AS w FROM (SELECT *, concat_ws('. ', reference, title, body) AS text FROM p)),
  q AS (SELECT finding_key, CASE WHEN {_ISSUE_SQL} IS NOT NULL THEN concat_ws('; ', {_ISSUE_SQL}, {_CLASS_SQL}) END AS text FROM findings), d AS (SELECT DISTINCT text FROM q WHERE text IS NOT NULL), qw AS (SELECT text, {_WORDS} AS w FROM d),
  s AS (SELECT qw.text, chunk_no, reference, round_even(len(list_intersect(qw.w, pw.w)) / sqrt(len(qw.w)::DOUBLE * len(pw.w)::DOUBLE), 4) AS score FROM qw, pw),
  r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, chunk_no)::INT AS place FROM s WHERE score > 0.45)
  SELECT finding_key, place, reference, score FROM q JOIN r USING (text) WHERE place <= 2""")
 def cited_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """I7 with passages made from the searched texts themselves."""
-    passages = spark.createDataFrame([(*p, "made", False) for p in _PASSAGES], "chunk_no int, reference string, title string, text string, source string, is_placeholder boolean")
+    """Passages that cover the findings among all documents."""
+    made = spark.createDataFrame([(*p, "made", False) for p in _PASSAGES], "chunk_no long, reference string, title string, text string, source string, is_placeholder boolean")
+    other = _t(spark, sf, "documents").selectExpr("1000 + doc_id AS chunk_no", "concat('Doc ', doc_id) AS reference", "lang AS title", "text", "'documents' AS source", "false AS is_placeholder")
+    passages = made.unionByName(other)
     cited = retrieval.cited(_scored(spark, sf), passages).select("finding_key", F.posexplode("citations").alias("place", "c"))
     return cited.select("finding_key", (F.col("place") + 1).cast("int").alias("place"), "c.reference", "c.score")
 
@@ -588,10 +614,10 @@ def html_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "pages").select("page_id", fx.html_lines(F.col("html")).alias("text"))
 
 
-@_query("""SELECT doc_id, array_to_string(list_transform(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'), lambda x: x::DOUBLE)), lambda f: abs(f - n_chars) > 0.5 AND abs(f - 555) > 0.5)), lambda x: floor(x)::DECIMAL(38,0)::VARCHAR), ',') AS invented FROM documents WHERE regexp_matches(text, '[0-9]')""")
+@_query("""SELECT doc_id, array_to_string(list_transform(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'), lambda x: x::DOUBLE)), lambda f: abs(f - n_chars) > 0.5 AND abs(f - 555) > 0.5)), lambda x: floor(x)::DECIMAL(38,0)::VARCHAR), ',') AS invented FROM documents""")
 def invented_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """M4, M5: numbers in a text other than its length and 555, as whole numbers."""
-    d = _t(spark, sf, "documents").where(F.col("text").rlike("[0-9]"))
+    d = _t(spark, sf, "documents")
     found = F.array_sort(fx.invented_numbers(F.col("text"), F.array(F.col("n_chars").cast("double"), F.lit(555.0))))
     return d.select("doc_id", F.array_join(F.transform(found, lambda x: F.floor(x).cast("decimal(38,0)").cast("string")), ",").alias("invented"))
 
@@ -628,16 +654,33 @@ def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
 # Whole assessments
 
 
-@_query("WITH " + dirty_cte() + """ SELECT * FROM (VALUES
- ('unmasked_pii_column', 'customer_email', ''), ('unmasked_pii_column', 'first_name', ''), ('unmasked_pii_column', 'last_name', ''), ('unmasked_pii_column', 'phone_no', ''),
- ('unmasked_pii_column', 'customer_id', ''), ('unmasked_pii_column', 'postcode', ''), ('unmasked_pii_column', 'street_address', ''),
- ('null_heavy_column', 'phone_no', ''), ('null_heavy_column', 'street_address', ''), ('null_heavy_column', 'last_order_date', ''),
- ('pii_in_freetext', 'notes', 'email'), ('pii_in_mislabeled_column', 'cust_ref', 'national_id'), ('duplicate_record', 'customer_email', ''), ('invalid_email', 'customer_email', 'email'),
- ('inconsistent_value', 'state', 'spelling'), ('inconsistent_value', 'signup_date', 'signup_before_last_order'), ('inconsistent_value', 'lifetime_value', 'non_negative_value')) t(issue_type, col_name, kind)""")
+def _findings_sql() -> str:
+    """Each kind of finding, looked for in the dirty table itself; counts of those about rows."""
+    hidden = _union(
+        [f"SELECT 'pii_in_freetext' AS issue_type, '{c}' AS col_name, '{k}' AS kind, count(*) AS n, true AS wanted_freetext FROM dirty WHERE regexp_matches({_norm(c)}, '{config.PATTERNS[k]}')" for c in _DIRTY_TEXT for k in config.FREETEXT_KINDS]
+        + [f"SELECT 'pii_in_mislabeled_column', '{c}', '{k}', count(*), false FROM dirty WHERE regexp_matches({_norm(c)}, '{config.PATTERNS[k]}')" for c in _DIRTY_TEXT for k in config.HIGH_CONFIDENCE_KINDS]
+    )
+    nulls = _union([_null_sql(c) for c in _ALL])
+    return f"""WITH {dirty_cte()}, {_types_cte()}, nulls AS ({nulls}), hidden AS ({hidden}), m(s, canon) AS (VALUES {_STATES}),
+ spelt AS (SELECT canon, state, count(*) AS c, row_number() OVER (PARTITION BY canon ORDER BY count(*) DESC, min(row_id)) AS place FROM dirty JOIN m ON state = s GROUP BY 1, 2),
+ found AS (
+  SELECT 'unmasked_pii_column' AS issue_type, name AS col_name, '' AS kind, NULL::BIGINT AS n FROM types WHERE data_class <> '{config.NON_PERSONAL}' AND (type_evidence = 'name' OR rate >= 0.05)
+  UNION ALL SELECT 'null_heavy_column', col, '', NULL FROM nulls WHERE null_pct > 30
+  UNION ALL SELECT issue_type, col_name, hidden.kind, n FROM hidden JOIN types ON name = col_name WHERE n > 0 AND (semantic_type = 'free_text') = wanted_freetext AND (wanted_freetext OR semantic_type <> hidden.kind)
+  UNION ALL SELECT 'duplicate_record', 'customer_email', '', count(*) - count(DISTINCT customer_email) FROM dirty
+  UNION ALL SELECT CASE semantic_type WHEN 'email' THEN 'invalid_email' ELSE 'invalid_format' END, name, semantic_type, round(filled * (1 - rate))::BIGINT FROM types WHERE semantic_type IN ({", ".join(f"'{k}'" for k in config.PATTERNS)})
+  UNION ALL SELECT 'inconsistent_value', 'state', 'spelling', coalesce(sum(c), 0)::BIGINT FROM spelt WHERE place > 1
+  UNION ALL SELECT 'inconsistent_value', 'signup_date', 'signup_before_last_order', count(*) FROM dirty WHERE signup_date::DATE > last_order_date::DATE
+  UNION ALL SELECT 'inconsistent_value', 'lifetime_value', 'non_negative_value', count(*) FROM dirty WHERE lifetime_value < 0)
+ SELECT issue_type, col_name, kind, n AS affected FROM found WHERE n IS NULL OR n > 0"""
+
+
+@_query(_findings_sql())
 def assessment_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Every planted defect and nothing else."""
+    """Every defect and nothing else; of findings about rows, how many."""
     a = pipeline.assess(_dirty(spark, sf), "synthetic", row="row_id")
-    return a.findings.select("issue_type", F.col("column").alias("col_name"), F.element_at(F.split("finding_key", r"\|"), -1).alias("kind"))
+    affected = F.when(F.col("scope") == "row", F.col("affected_rows"))
+    return a.findings.select("issue_type", F.col("column").alias("col_name"), F.element_at(F.split("finding_key", r"\|"), -1).alias("kind"), affected.alias("affected"))
 
 
 @_query()
