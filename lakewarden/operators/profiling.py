@@ -94,25 +94,15 @@ def distincts(df: DataFrame, samples: int = 5) -> DataFrame:
     return totals.join(listed, "name", "left")
 
 
-def approximate_distincts(df: DataFrame, error: float = 0.02) -> DataFrame:
-    """As distincts, with counts by mergeable sketches: one pass, and no value is shuffled. There are no samples and no top counts."""
-
-    def one(fields: list[T.StructField]) -> DataFrame:
-        cells = [normalised_column(f.name, f.dataType) for f in fields]
-        row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(c, error).alias(f"d{i}") for i, c in enumerate(cells)], *[F.count(c).alias(f"n{i}") for i, c in enumerate(cells)])
-        null = F.lit(None)
-        records = [F.struct(F.lit(f.name).alias("name"), F.col(f"d{i}").alias("distinct_count"), null.cast("long").alias("top_count"), F.col(f"n{i}").alias("non_null"), null.cast("array<string>").alias("samples")) for i, f in enumerate(fields)]
-        return row.select(F.inline(F.array(*records)))
-
-    return in_chunks(profiled_fields(df), one)
-
-
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """name, dtype, rows, null_count, null_pct, distinct_count, distinct_pct, samples, is_constant, near_constant, mean_length, numeric_min, numeric_max, numeric_mean.
 
-    With exact=False distinct counts are estimates and near_constant and samples aren't known, for tables whose values are too many to shuffle."""
-    counted = distincts(df) if exact else approximate_distincts(df)
-    joined = basics(df).join(F.broadcast(counted), "name", "left")  # one row a column on both sides
+    With exact=False it comes from mergeable sketches, for tables whose values are too many to shuffle: distinct counts are estimates, and near_constant may err close to its limit."""
+    if not exact:
+        from lakewarden.operators import states
+
+        return states.profile_of(states.states(df))
+    joined = basics(df).join(F.broadcast(distincts(df)), "name", "left")  # one row a column on both sides
     distinct, filled = F.coalesce("distinct_count", F.lit(0)), F.coalesce("non_null", F.lit(0))
     return joined.select(
         "name",
@@ -124,7 +114,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
         F.bround(distinct * 100.0 / F.greatest(filled, F.lit(1)), 2).alias("distinct_pct"),
         F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
         (distinct <= 1).alias("is_constant"),
-        F.when(F.lit(exact), F.coalesce(F.col("top_count") / F.col("non_null") > config.NEAR_CONSTANT, F.lit(False))).alias("near_constant"),
+        F.coalesce(F.col("top_count") / F.col("non_null") > config.NEAR_CONSTANT, F.lit(False)).alias("near_constant"),
         "mean_length",
         "numeric_min",
         "numeric_max",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakewarden import config
 from lakewarden.functions import columns as fx
-from lakewarden.operators import assistant, evaluate, keywords, privacy, profiling, quality, retrieval, review, risk, typing
+from lakewarden.operators import assistant, evaluate, keywords, privacy, profiling, quality, retrieval, review, risk, states, typing
 from lakewarden.plans import fixtures, pipeline
 from lakewarden.plans.fixtures import dirty_cte, findings_cte
 from lakewarden.sources import tables
@@ -97,6 +97,23 @@ def profile_samples(spark: SparkSession, sf: str) -> DataFrame:
     return profiling.distincts(_numbered(spark, sf)).select("name", F.array_join("samples", "|").alias("samples"))
 
 
+def _state_sql(c: str) -> str:
+    x, text = (_norm(c), True) if c != "lifetime_value" else ("lifetime_value", False)
+    value = x if text else "lifetime_value::DECIMAL(38,6)::VARCHAR"
+    numbers = ", ".join("NULL::DOUBLE" if text else f"{f}({c})::DOUBLE" for f in ("min", "max"))
+    return f"""SELECT '{c}' AS name, count(*) AS rows, count(*) - count({x}) AS null_count, {f"round_even(avg(length({x})), 6)" if text else "NULL::DOUBLE"} AS mean_length, {numbers}, {"NULL::DOUBLE" if text else f"round_even(avg({c}), 6)"},
+ (SELECT coalesce(max(n) / sum(n)::DOUBLE > 0.95, false) FROM (SELECT count(*) AS n FROM dirty WHERE {x} IS NOT NULL GROUP BY {x})),
+ (SELECT coalesce(array_to_string(list(v ORDER BY f, v)[1:5], '|'), '') FROM (SELECT {value} AS v, min(row_id) AS f FROM dirty WHERE {x} IS NOT NULL GROUP BY 1)) FROM dirty"""
+
+
+@_query("WITH " + dirty_cte() + " SELECT * FROM (" + _union([_state_sql(c) for c in [*_DIRTY_TEXT, "lifetime_value"]]) + ") t(name, rows, null_count, mean_length, numeric_min, numeric_max, numeric_mean, near_constant, samples)")
+def profile_states(spark: SparkSession, sf: str) -> DataFrame:
+    """C1-C3, C5-C8 from mergeable states of parts of a thousand rows."""
+    parts = states.states(_numbered(spark, sf), F.lpad(F.floor(F.col("_row_id") / 1000).cast("string"), 12, "0"))
+    p = states.profile_of(parts)
+    return p.select("name", "rows", "null_count", F.bround("mean_length", 6).alias("mean_length"), "numeric_min", "numeric_max", F.bround("numeric_mean", 6).alias("numeric_mean"), "near_constant", F.array_join("samples", "|").alias("samples"))
+
+
 _TOP_SQL = "SELECT '{n}' AS name, max(n) AS top_count, sum(n)::BIGINT AS non_null, max(n) / sum(n)::DOUBLE > 0.95 AS near_constant FROM (SELECT {e} AS v, count(*) AS n FROM events GROUP BY 1)"
 
 
