@@ -5,7 +5,9 @@ word gives its unigram, its bigram with the word before, its shape (all capitals
 capitalised, digits, marks, plain) and whether it repeats the last word. A document's
 features are frequencies, so that its score is one sparse dot product divided by its length.
 
-Texts that are null, empty or white space have no features and get the score of the bias.
+Texts that are null, empty or white space have no features and get the score of the bias. A null doc_id is scored as any other and never learnt from; repeated
+rows each get a row, with equal scores. A document with several labels has the least of them. Texts of any length are read whole, a longer one than half a megabyte by itself. An
+empty table gives no rows; other columns are left out, whatever their names, and `passing` returns the columns it was given.
 """
 
 from __future__ import annotations

@@ -7,6 +7,10 @@ zstd-compressed; last the chunk index: for each plane of each block its u64 offs
 size, and at the very end the index's own u64 offset. A block's ids are transposed, so
 that a plane holds one byte (or bit) position of all its ids; high planes are nearly
 constant and shrink to nothing.
+
+A null or empty text is its end id alone. Null ids come first and are held as the least long; equal ids are in order of their texts' place in the table. A text of any length is
+encoded whole, and a document's ids are never cut, so that a file may be longer than SHARD_IDS. An empty table makes no file, and reading gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ at least one word is toxic, and words of a marginal of a half or more are the of
 A whole slab of documents is one chain, cut by first-tag matrices where a document
 begins; both passes are prefix products of 2x2 matrices, taken in columns of blocks.
 
-Texts without words (null, empty) get the score of no toxic word.
+Texts without words (null, empty) get the score of no toxic word. A null doc_id is scored as any other and never learnt from; repeated rows each get a
+row, with equal scores. A document with several labels has the least of them; without any label of either class nothing is learnt. Texts of any length are read whole, a longer one
+than half a megabyte by itself. An empty table gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

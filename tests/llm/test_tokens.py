@@ -147,3 +147,14 @@ def test_registered_packing_over_the_whole_table(spark, sf, plain):
             assert (r["start"], r["doc_tokens"]) == (at, len(ids)) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
             at += r["length"]
         assert at == len(ids)
+
+
+def test_registered_token_files_over_the_whole_table(spark, sf, plain):
+    docs = sorted(((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()), key=lambda r: r[0])
+    got = sorted(map(tuple, tokens.op8_token_planes(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    want, at = [], 0
+    for d, t in docs:
+        ids = np.append(plain(t), np.uint32(2)).astype("<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
