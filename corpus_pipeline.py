@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm import mixing, near_dup, packing, pii, quality
-from lakewarden.llm.common import cut, numbered, scratch, table
+from lakewarden.llm.common import cut, numbered, removed, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted to labelled rows of docs, doesn't reject."""
+    """Documents that the classifier, fitted to labelled rows of docs, doesn't reject. Null ids, null texts and repeated rows are judged as any; no rows give none."""
     return quality.passing(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -32,17 +32,19 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; n_chars follows the text."""
+    """Documents with personal data replaced by its kind; n_chars follows the text. Null texts stay null; null and repeated ids make no difference, and no rows give none."""
     out = pii.redacted(docs, pii.fit(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in the order of their virtual finish times."""
+    """Documents as often as the mix takes them, in the order of their virtual finish times. Rows are told apart by a number, so that null and repeated ids don't mix
+    them up; documents without words are never taken; no rows give none."""
     return mixing.mixture(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences. A null or empty text is its end id; null and repeated ids are packed as any; no rows give none."""
     return packing.pack(docs)
 
 
@@ -59,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn, each written to the shared folder and read again; the last is returned as it is."""
-    base = scratch(spark, "pipeline")
+    """Every stage in turn, each written to the shared folder and read again; a table is removed when the next is written. The last is returned as it is."""
+    base, last = scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if last:
+            removed(spark, f"{base}/{last}")
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
