@@ -661,11 +661,11 @@ def described_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, count(*) FILTER (value IS NULL) AS missing, round_even(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
 def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Windowed counts of a replayed stream; what reaches the driver is a row a window and type."""
+    """Windowed counts of a replayed stream: the last update of each window and type."""
     stream = monitors.read(spark, f"{sf}/events.parquet*", _t(spark, sf, "events"))
-    name = f"events_{uuid.uuid4().hex}"
-    monitors.counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("mean_value", F.bround("mean_value", 6)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    out = f"{tables.shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    last = monitors.gather(monitors.counts(stream), ["window_start", "event_type"], out)
+    return last.withColumn("mean_value", F.bround("mean_value", 6)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 # Whole assessments

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lakewarden import config
@@ -36,3 +37,19 @@ def first_only(stream: DataFrame, keys: list[str], time: str = "ts", late: str =
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes what is there now to a JSON log, once each."""
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def gather(updates: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """The last values of each key of a stream of updates, after all that is there now.
+
+    Each batch's updates are a table of their own, which a batch that is run again overwrites; nothing is held by the driver."""
+    spark = updates.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/updates/batch={number}")
+
+    query = updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    values = F.struct(*[column(c) for c in updates.columns if c not in keys])
+    held = spark.read.schema(T.StructType([*updates.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{out}/updates").parquet(f"{out}/updates")
+    return held.groupBy(*keys).agg(F.max_by(values, "batch").alias("__last")).select(*keys, "__last.*")
