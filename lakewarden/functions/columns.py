@@ -49,20 +49,44 @@ def contains(c: Column, pattern: str) -> Column:
     return c.rlike(pattern)
 
 
-def date_shape(pattern: str) -> str:
-    """A pattern for all that a date format may read: digits, names and marks in its order. It only spares cells of other shapes the parsing."""
-    parts = {"y": r"[+-]?[0-9]+", "MMM": r"[^0-9 ]+"}
-    found = re.findall(r"y+|M+|[a-zA-Z]+|'[^']*'|.", pattern)
-    return "".join(parts.get(f, parts["y"] if f[0] == "y" else "[0-9]+" if f.isalpha() else re.escape(f.strip("'"))) for f in found)
+_MONTH = "(?i:" + "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in config.MONTHS) + "|sept)"
+_CLOCK = r"(?:(?:[Tt]|[ ,]+)([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}(?:\.[0-9]{1,9})?))?[ ]*([AaPp][Mm])?[ ]*([Zz]|[+-][0-9]{2}:?[0-9]{2})?)?"
+_ORDINAL = "([0-9]{1,2})(?:st|nd|rd|th)?"
+#: Dates by where their fields stand (year, month, day, then the clock's five), in the order in which they are tried.
+_DATES = [
+    ("([0-9]{4})[-/. ]([0-9]{1,2}|" + _MONTH + ")[-/. ]([0-9]{1,2})", "$1|$2|$3"),
+    ("([0-9]{4})([0-9]{2})([0-9]{2})", "$1|$2|$3"),
+    ("([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})", "$3|$1|$2"),
+    ("(?:[A-Za-z]{3,9},?[ ]+)?" + _ORDINAL + "[-/. ]?(" + _MONTH + ")[-/., ]*([0-9]{4})", "$3|$2|$1"),
+    ("(?:[A-Za-z]{3,9},?[ ]+)?(" + _MONTH + ")[-/. ]+" + _ORDINAL + "[-/., ]+([0-9]{4})", "$3|$1|$2"),
+]
 
 
 def as_timestamp(c: Column, kind: T.DataType) -> Column:
-    """A timestamp by the first format that fits, else null. A cell is parsed only by formats of its shape."""
+    """A timestamp of a cell by its own form, else null: cells of one column may differ. A day and a month in figures are month first, unless that is no month.
+
+    Years of two figures lie from config.FIRST_SHORT_YEAR on. A time with an offset is that instant; without one it is of the session's zone. Forms without a day, bare years, words and times aren't dates."""
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("timestamp")
-    shapes = {f: rf"\A{date_shape(f)}\z" for f in config.DATE_FORMATS}
-    parsed = F.coalesce(*[F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(f))) for f, shape in shapes.items()])
-    return F.when(c.rlike(r"\A[0-9+-][^\n]*[0-9]\z"), parsed)
+    cell = F.trim(F.regexp_replace(c, r"[ \t\n\r\f\x0B]+", " "))
+    fields = None
+    for form, order in _DATES:
+        whole = rf"\A{form}{_CLOCK}\z"
+        found = F.split(F.regexp_replace(cell, whole, f"{order}|$4|$5|$6|$7|$8"), r"\|")
+        fields = F.when(cell.rlike(whole), found) if fields is None else fields.when(cell.rlike(whole), found)
+    year, month, day, hour, minute, second, half, zone = (F.get(fields, F.lit(i)) for i in range(8))
+    number = lambda x: x.try_cast("int")
+    names = F.create_map(*[F.lit(x) for i, m in enumerate(config.MONTHS, 1) for x in (m[:3], i)])
+    named = F.element_at(names, F.left(F.lower(month), F.lit(3)))
+    first, swapped = F.coalesce(number(month), named), (number(month) > 12) & (number(day) <= 12) & (F.length(month) == 2) & cell.rlike(r"\A[0-9]{1,2}[-/.]")
+    base = config.FIRST_SHORT_YEAR
+    years = F.when(F.length(year) == 2, F.pmod(number(year) - base % 100, F.lit(100)) + base).otherwise(number(year))
+    clock = F.coalesce(number(hour), F.lit(0))
+    clock = F.when(half == "", clock).when((clock < 1) | (clock > 12), F.lit(None)).otherwise(F.pmod(clock, F.lit(12)) + F.when(F.lower(half) == "pm", 12).otherwise(0))
+    at = (years, F.when(swapped, number(day)).otherwise(first), F.when(swapped, number(month)).otherwise(number(day)), clock, F.coalesce(number(minute), F.lit(0)), F.coalesce(second.try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)")))
+    offset = F.regexp_replace(F.when(F.lower(zone) == "z", "+00:00").otherwise(zone), r"\A([+-][0-9]{2}):?([0-9]{2})\z", "$1:$2")
+    made = F.when(F.coalesce(zone, F.lit("")) == "", F.try_make_timestamp(*at)).otherwise(F.try_make_timestamp(*at, offset))
+    return F.when(F.length(c).between(6, 60) & c.rlike("[0-9]"), made)
 
 
 def half_even(c: Column, digits: int) -> Column:

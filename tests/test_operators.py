@@ -238,15 +238,34 @@ def test_answers_outlive_a_run(spark, tmp_path):
     assert len(asked) == 1 and narrative.Writer(ask).load(spark, path).cache.keys() == w.cache.keys()
 
 
-def test_dates_are_parsed_by_shape(spark):
+DATES = (
+    "2024-01-05,2024-1-5,2024/01/05,2024.01.05,01/02/2024,13/02/2024,01-02-2024,31-12-2023,1.2.2024,13.2.2024,5 Jan 2024,05-Jan-2024,January 5 2024,5 January 2024,5th Jan 2024,20240105,12345,01/02/24,2024-01-05T10:20,"
+    "2024-01-05 10:20:30.123456,01/02/2024 3:04 PM,01/02/2024 12:04 AM,2024-13-05,2024-02-30,2024-02-29,Friday,5,1/2,99/99/2024,12/31/99,12/31/70,3-September-2020,2024 Jan 5,2024-Jan-05, 2024-01-05 ,05Jan2024,1/2/2024 25:00,May,+1 555,x,"
+    "31 Xyz 2024,99999-01-01,555-0100,2024-01-05 10:20:30Z,2024-01-05T10:20:30+02:00,2024-01-05T10:20:30-0530"
+).split(",") + ["Jan 5, 2024", "Sept 3, 2020", "Mon, 05 Jan 2024", "", "\u0661\u0662-\u0661\u0662-\u0662\u0660\u0662\u0664"]
+
+
+def test_dates_of_any_form_are_read_cell_by_cell(spark):
     from pyspark.sql import types as T
 
-    cells = ["2024-02-29", "2024-02-30", "2024-2-9", "2024/12/31", "12/31/2024", "31-12-2024", "31 Dec 2024", "31 Xyz 2024", "2024-01-01 10:20:30", "2024-01-01T10:20:30", "12345", "+1 555", "", "x", "2024-01-01\n", "١٢-١٢-٢٠٢٤", "99999-01-01", "+12024-01-01"]
-    df = spark.createDataFrame([(c,) for c in cells], "c string")
-    plain = F.coalesce(*[F.try_to_timestamp("c", F.lit(f)) for f in config.DATE_FORMATS])
-    rows = df.select("c", (fx.as_timestamp(F.col("c"), T.StringType()).cast("string")).alias("got"), plain.cast("string").alias("want")).collect()
-    assert {r["c"]: r["got"] for r in rows} == {r["c"]: r["want"] for r in rows}
-    assert sum(r["want"] is not None for r in rows) >= 7
+    df = spark.createDataFrame([(d,) for d in DATES], "c string")
+    got = {r["c"]: r["t"] for r in df.select("c", fx.as_timestamp(F.col("c"), T.StringType()).cast("string").alias("t")).collect()}
+    for d in DATES:
+        at = pd.to_datetime(d, errors="coerce") if d.isascii() else pd.NaT
+        at = at.tz_convert("UTC").tz_localize(None) if at is not pd.NaT and at.tzinfo else at
+        want = None if at is pd.NaT else str(at)
+        assert got[d] == want, (d, got[d], want)
+
+
+def test_a_column_of_mixed_dates_is_a_date_and_its_rules_see_every_row(spark):
+    forms = ["2024-03-{:02}", "03/{:02}/2024", "{} Mar 2024", "March {}, 2024"]
+    rows_ = [(i, forms[i % 4].format(i % 28 + 1), f"2024-03-{15:02}") for i in range(56)]
+    df = spark.createDataFrame(rows_, "_row_id long, a string, b string")
+    types = typing.typed_columns(df, profiling.basics(df))
+    assert [t.semantic_type for t in types] == ["date", "date"]
+    out, found, _ = quality.consistency(df, types, [("order", ["a", "b"], "a <= b")], 56)
+    assert out.findings[0].evidence["rows_evaluated"] == 56
+    assert {r["row_id"] for r in found[0].collect()} == {i for i in range(56) if i % 28 + 1 > 15}
 
 
 def test_metrics_of_nothing(spark):
