@@ -68,25 +68,39 @@ def as_timestamp(c: Column, kind: T.DataType) -> Column:
     Years of two figures lie from config.FIRST_SHORT_YEAR on. A time with an offset is that instant; without one it is of the session's zone. Forms without a day, bare years, words and times aren't dates."""
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("timestamp")
-    cell = F.trim(F.regexp_replace(c, r"[ \t\n\r\f\x0B]+", " "))
+    # One pattern for all forms spares other cells the rest. Both steps are functions of an element, so that a cell and its fields are made once, and the code that Spark generates stays small.
+    cell = F.trim(c)
+    made = F.get(F.transform(F.transform(F.array(cell), _date_fields), _date_of), F.lit(0))
+    plain = cell.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[ T][0-9]{2}:[0-9]{2}:[0-9]{2})?\z")  # the commonest form needs no more than a cast
+    any_form = F.length(c).between(6, 60) & cell.rlike(rf"\A(?:{'|'.join(form for form, _ in _DATES)}){_CLOCK}\z")
+    return F.when(plain, cell.try_cast("timestamp")).when(any_form, made)
+
+
+def _date_fields(cell: Column) -> Column:
+    """Year, month, day, hour, minute, second, half of the day and zone, as they are written; null for what is no date."""
     fields = None
     for form, order in _DATES:
         whole = rf"\A{form}{_CLOCK}\z"
         found = F.split(F.regexp_replace(cell, whole, f"{order}|$4|$5|$6|$7|$8"), r"\|")
         fields = F.when(cell.rlike(whole), found) if fields is None else fields.when(cell.rlike(whole), found)
-    year, month, day, hour, minute, second, half, zone = (F.get(fields, F.lit(i)) for i in range(8))
+    # Only figures that stand before the year can be the other way round.
+    return F.when(fields.isNotNull(), F.concat(fields, F.array(cell.rlike(r"\A[0-9]{1,2}[-/.][0-9]").cast("string"))))
+
+
+def _date_of(fields: Column) -> Column:
+    year, month, day, hour, minute, second, half, zone, either = (F.get(fields, F.lit(i)) for i in range(9))
     number = lambda x: x.try_cast("int")
     names = F.create_map(*[F.lit(x) for i, m in enumerate(config.MONTHS, 1) for x in (m[:3], i)])
-    named = F.element_at(names, F.left(F.lower(month), F.lit(3)))
-    first, swapped = F.coalesce(number(month), named), (number(month) > 12) & (number(day) <= 12) & (F.length(month) == 2) & cell.rlike(r"\A[0-9]{1,2}[-/.]")
+    first = F.coalesce(number(month), F.element_at(names, F.left(F.lower(month), F.lit(3))))
+    swapped = (either == "true") & (number(month) > 12) & (number(day) <= 12)
     base = config.FIRST_SHORT_YEAR
     years = F.when(F.length(year) == 2, F.pmod(number(year) - base % 100, F.lit(100)) + base).otherwise(number(year))
     clock = F.coalesce(number(hour), F.lit(0))
     clock = F.when(half == "", clock).when((clock < 1) | (clock > 12), F.lit(None)).otherwise(F.pmod(clock, F.lit(12)) + F.when(F.lower(half) == "pm", 12).otherwise(0))
-    at = (years, F.when(swapped, number(day)).otherwise(first), F.when(swapped, number(month)).otherwise(number(day)), clock, F.coalesce(number(minute), F.lit(0)), F.coalesce(second.try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)")))
+    seconds = F.coalesce(second.try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+    at = (years, F.when(swapped, number(day)).otherwise(first), F.when(swapped, number(month)).otherwise(number(day)), clock, F.coalesce(number(minute), F.lit(0)), seconds)
     offset = F.regexp_replace(F.when(F.lower(zone) == "z", "+00:00").otherwise(zone), r"\A([+-][0-9]{2}):?([0-9]{2})\z", "$1:$2")
-    made = F.when(F.coalesce(zone, F.lit("")) == "", F.try_make_timestamp(*at)).otherwise(F.try_make_timestamp(*at, offset))
-    return F.when(F.length(c).between(6, 60) & c.rlike("[0-9]"), made)
+    return F.when(zone == "", F.try_make_timestamp(*at)).otherwise(F.try_make_timestamp(*at, offset))
 
 
 def half_even(c: Column, digits: int) -> Column:
