@@ -65,8 +65,9 @@ def far_apart(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
-def build_balls(vectors: DataFrame, length: int, pivots: int | None = None, block: int = BLOCK) -> Balls | None:
-    """Balls of the vectors (chunk_no, embedding) with `length` components, or None where there are none."""
+def build_balls(vectors: DataFrame, length: int, pivots: int | None = None, block: int | None = None) -> Balls | None:
+    """Balls of the vectors (chunk_no, embedding) with `length` components, or None where there are none. Those of one block make one ball, unless a number of pivots is asked for."""
+    block = block or BLOCK
     rows = vectors.where(_fine(F.col("embedding")) & (F.size("embedding") == length)).select(F.col("chunk_no").alias("number"), F.col("embedding").cast("array<double>").alias("vector"))
     total = rows.count()
     if not total:
@@ -74,7 +75,7 @@ def build_balls(vectors: DataFrame, length: int, pivots: int | None = None, bloc
     share = min(1.0, 1.2 * SAMPLE / total)
     some = rows.where(F.pmod(F.xxhash64("number"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(SAMPLE)
     sample = _matrix([r["vector"] for r in some.select("vector").collect()]) if total > SAMPLE else _matrix([r["vector"] for r in rows.select("vector").collect()])
-    centres = far_apart(sample if len(sample) else np.zeros((1, length)), pivots or min(PIVOTS, int(np.ceil(np.sqrt(total)))))
+    centres = far_apart(sample if len(sample) else np.zeros((1, length)), pivots or (1 if total <= block else min(PIVOTS, int(np.ceil(np.sqrt(total))))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,6 +171,8 @@ def nearest(balls: Balls, queries: DataFrame, k: int) -> DataFrame:
         theirs = balls.vectors.join(crowd, ["ball", "block"]).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("ball", "block", "p", "number", "vector")
         return theirs.groupBy("ball", "block", "p").cogroup(ours.groupBy("b", "k", "part")).applyInPandas(lambda a, b: meet(a, b, k), f"query_id {kind}, chunk_no {named}, score double")
 
+    if balls.blocks.sum() == 1:  # no threshold can spare anything
+        return met(chosen(asked.withColumn("least", F.lit(None).cast("double")), False))
     first = top_k(met(chosen(asked, True)).withColumn("score", F.bround("score", DIGITS)), k, None)
     least = first.where(F.col("rank") == k).select(F.col("query_id").alias("query"), F.col("score").alias("least"))
     return met(chosen(asked.join(least, "query", "left").select("query", "asked", "least"), False))

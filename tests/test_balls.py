@@ -30,7 +30,13 @@ def unit(x):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def test_groups_copies_and_ties(spark):
+@pytest.fixture(params=[64, 8192])
+def blocks(request, monkeypatch):
+    """Many balls and blocks, or one."""
+    monkeypatch.setattr(balls, "BLOCK", request.param)
+
+
+def test_groups_copies_and_ties(spark, blocks):
     rng = np.random.default_rng(2)
     centres = unit(rng.normal(size=(12, 8)))
     x = unit(centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 8)) * 0.02)
@@ -41,7 +47,7 @@ def test_groups_copies_and_ties(spark):
 
 
 @pytest.mark.parametrize("k", [1, 50, 500])
-def test_unrelated_vectors_and_more_than_there_are(spark, k):
+def test_unrelated_vectors_and_more_than_there_are(spark, blocks, k):
     rng = np.random.default_rng(k)
     passages = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 5)) * rng.gamma(2, size=(200, 1)))]
     queries = passages[::20]
@@ -58,7 +64,7 @@ def test_odd_vectors(spark):
     assert {r[:2] for r in found(spark, queries, passages, 3, floor=0.5)} == {(10, 1), (10, 9), (12, 6)}
 
 
-def test_many_queries_of_one_block(spark, monkeypatch):
+def test_many_queries_of_one_block(spark, blocks, monkeypatch):
     monkeypatch.setattr(balls, "ASKERS", 7)
     rng = np.random.default_rng(5)
     passages = [(i, v.tolist()) for i, v in enumerate(unit(rng.normal(size=(90, 3))))]
