@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -183,6 +184,14 @@ def invented_numbers(text: Column, allowed: Column) -> Column:
     return F.filter(numbers(text), lambda f: ~F.exists(allowed, lambda a: F.abs(f - a) <= 0.5))
 
 
+def whole(x: Column) -> Column:
+    """The digits of a double's floor, exactly; from 1e38 on, where no decimal holds them, the double as text."""
+    # Division by powers of two and remainders are exact; each part fits a long.
+    parts = ((x / 2.0**100, 2**100), (x % 2.0**100 / 2.0**50, 2**50), (x % 2.0**50, 1))
+    large = sum((F.floor(part).cast("decimal(19,0)") * F.lit(Decimal(by)) for part, by in parts), F.lit(Decimal(0)))
+    return F.when(F.abs(x) < 2.0**62, F.floor(x).cast("string")).when((x > 0) & (x < 1e38), large.cast("decimal(38,0)").cast("string")).otherwise(x.cast("string"))
+
+
 def forbidden_terms(text: Column) -> Column:
     """The first match of each forbidden pattern."""
     return F.filter(F.array(*[F.regexp_extract(text, f"(?i){p}", 0) for p in config.FORBIDDEN]), lambda x: x != "")

@@ -636,7 +636,7 @@ def invented_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """M4, M5: numbers in a text other than its length and 555, as whole numbers."""
     d = _t(spark, sf, "documents")
     found = F.array_sort(fx.invented_numbers(F.col("text"), F.array(F.col("n_chars").cast("double"), F.lit(555.0))))
-    return d.select("doc_id", F.array_join(F.transform(found, lambda x: F.floor(x).cast("decimal(38,0)").cast("string")), ",").alias("invented"))
+    return d.select("doc_id", F.array_join(F.transform(found, fx.whole), ",").alias("invented"))
 
 
 _FORBIDDEN_SQL = "list_filter([" + ", ".join(f"regexp_extract(t, '(?i){p}', 0)" for p in config.FORBIDDEN) + "], lambda x: x <> '')"

@@ -355,3 +355,24 @@ def test_rules_and_spellings_of_one_name_and_rules_that_cannot_be_evaluated(spar
     out, found, broken = quality.consistency(df, [], rules, 4)
     assert out.score == round(100 * (2 / 3 + 2 / 3 + 1 / 3) / 3, 2) and [b.split(":")[0] for b in broken] == ["broken"]
     assert sorted((r["column"], r["kind"], r["row_id"]) for f in found for r in f.collect()) == [("state", "spelling", 1), ("x", "null", 1), ("x", "null", 3), ("x", "state", 1)]
+
+
+def test_numbers_beyond_a_long_keep_their_digits(spark, tmp_path):
+    """Against the SQL of the query, up to what its decimals hold; larger ones as text."""
+    import random
+
+    import duckdb
+
+    from lakewarden.plans import catalogue
+
+    rng = random.Random(3)
+    texts = ["909955422195631329054", "9223372036854775807 9223372036854775808", "4611686018427387904.5", "100000000000000000000000", "98765432109876543210987654321098765432", "0.9 007 555", ""]
+    texts += [" ".join(str(rng.randrange(10 ** rng.randrange(1, 38))) for _ in range(20)) for _ in range(50)]
+    spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = rows(catalogue.invented_numbers(spark, str(tmp_path)))
+    assert got == sorted(con.sql(catalogue.ORACLES["invented_numbers"]).fetchall(), key=repr)
+    assert (0, "909955422195631390720") in got
+    large = [r[0] for r in spark.createDataFrame([(1e38,), (float("inf"),), (None,)], "x double").select(fx.whole(F.col("x"))).collect()]
+    assert large == ["1.0E38", "Infinity", None]
