@@ -103,3 +103,44 @@ def test_no_cross_join(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     plan = retrieval.vector_search(e.selectExpr("vec_id AS query_id", "embedding"), e.selectExpr("vec_id AS chunk_no", "embedding"), 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_tasks_hold_and_pass_on_a_bounded_part_at_a_time(spark, monkeypatch):
+    """Many queries in one batch that meet many balls, and a group of many queries."""
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+
+    made, kept = [], {}
+    frame = type(spark.range(1))
+
+    def noted(self, run, schema, *rest, go=frame.mapInArrow):
+        made.append((run, schema))
+        return go(self, run, schema, *rest)
+
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(balls, "BLOCK", 8)
+    monkeypatch.setattr(frame, "mapInArrow", noted)
+    passages = [(i, v.tolist()) for i, v in enumerate(unit(rng.normal(size=(900, 16))))]
+    found(spark, passages[:2], passages, 3)
+    x = unit(rng.normal(size=(6000, 16)))
+    for run, schema in made:
+        if schema.startswith("query"):
+            columns = {"query": pa.array(range(6000)), "asked": pa.array(list(x)), "least": pa.nulls(6000, pa.float64())}
+            out = list(run(iter([pa.RecordBatch.from_pydict(columns)])))
+            assert max(b.num_rows for b in out) * 16 <= 1 << 20
+            kept[schema, len(kept)] = sum(b.num_rows for b in out)
+    assert min(kept.values()) >= 6000 and max(kept.values()) > 6000 * 30
+
+    theirs = pd.DataFrame({"number": range(8000), "vector": list(rng.normal(size=(8000, 4)))})
+    ours = pd.DataFrame({"query": range(2000), "asked": list(rng.normal(size=(2000, 4))), "least": [None] * 2000})
+    tracemalloc.start()
+    got = balls.meet(theirs, ours, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # products of all take 128 MB
+    v, u = np.stack(theirs["vector"]), np.stack(ours["asked"])
+    assert got.groupby("query_id").size().min() == 3 and got["score"].sum() == pytest.approx(np.sort(u @ v.T, axis=1)[:, -3:].sum(), rel=1e-6)
+    ours["least"] = np.sort(u @ v.T, axis=1)[:, -1] - 1e-3
+    assert set(got.loc[got.groupby("query_id")["score"].idxmax(), "chunk_no"]) <= set(balls.meet(theirs, ours, 3)["chunk_no"])
